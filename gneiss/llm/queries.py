@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import bpe, packing, splitting
+from gneiss.llm import bpe, packing, secrets, splitting
 from gneiss.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    files = secrets.find(table(spark, d, "codefile"), "codefile", "file_id", "raw_content")
+    return files.unionByName(secrets.find(table(spark, d, "chunks"), "chunks", "chunk_id", "code")).distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that hold secrets, redacted."""
+    files = secrets.redacted(table(spark, d, "codefile"), "codefile", "file_id", "raw_content")
+    return files.unionByName(secrets.redacted(table(spark, d, "chunks"), "chunks", "chunk_id", "code")).distinct()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that the splitting operator had to cut."""
     return splitting.split(table(spark, d, "chunks")).where("n_pieces > 1").select("chunk_id").distinct()
@@ -37,7 +48,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.sizes(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_redacted, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers)}
 
 SQL: dict[str, str] = {
     "p7_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(code) > 6000",
