@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import bpe, packing, secrets, splitting
+from gneiss.llm import bpe, docpairs, packing, secrets, splitting
 from gneiss.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,15 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return files.unionByName(secrets.redacted(table(spark, d, "chunks"), "chunks", "chunk_id", "code")).distinct()
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Functions with documentation of their own; what the symbol table lends from elsewhere is in p6_pairs only."""
+    return docpairs.pairs(table(spark, d, "chunks"), with_code=False).where("doc_from <> 'declaration'").select("chunk_id").distinct()
+
+
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.pairs(table(spark, d, "chunks"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that the splitting operator had to cut."""
     return splitting.split(table(spark, d, "chunks")).where("n_pieces > 1").select("chunk_id").distinct()
@@ -48,7 +57,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.sizes(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_redacted, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_redacted, p6_found, p6_pairs, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers)}
 
 SQL: dict[str, str] = {
     "p7_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(code) > 6000",
