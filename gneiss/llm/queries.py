@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import bpe, docpairs, packing, secrets, splitting
+from gneiss.llm import bpe, docpairs, packing, secrets, splitting, truncation
 from gneiss.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +57,21 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.sizes(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_redacted, p6_found, p6_pairs, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judged(table(spark, d, "documents")).where("cut").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(table(spark, d, "documents"))
+
+
+def p10_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The hidden storage limits: source, encoding and length."""
+    names = F.array(*map(F.lit, truncation.ENCODINGS))
+    return truncation.limits(truncation.endings(table(spark, d, "documents"))).select("source", names[F.col("encoding")].alias("encoding"), "most")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_redacted, p6_found, p6_pairs, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers, p10_found, p10_rates, p10_limits)}
 
 SQL: dict[str, str] = {
     "p7_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(code) > 6000",
