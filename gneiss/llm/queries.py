@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import bpe, docpairs, packing, secrets, splitting, truncation
+from gneiss.llm import bpe, docpairs, packing, prose, secrets, splitting, truncation
 from gneiss.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks")
+    return prose.found(chunks, prose.fit(table(spark, d, "documents"), chunks)).select("chunk_id", "lang").distinct()
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Natural text of every file by language, and its share."""
+    chunks = table(spark, d, "chunks")
+    return prose.shares(chunks, prose.fit(table(spark, d, "documents"), chunks))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     files = secrets.find(table(spark, d, "codefile"), "codefile", "file_id", "raw_content")
     return files.unionByName(secrets.find(table(spark, d, "chunks"), "chunks", "chunk_id", "code")).distinct()
@@ -71,7 +82,7 @@ def p10_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.limits(truncation.endings(table(spark, d, "documents"))).select("source", names[F.col("encoding")].alias("encoding"), "most")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_redacted, p6_found, p6_pairs, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers, p10_found, p10_rates, p10_limits)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_shares, p5_found, p5_redacted, p6_found, p6_pairs, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers, p10_found, p10_rates, p10_limits)}
 
 SQL: dict[str, str] = {
     "p7_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(code) > 6000",
