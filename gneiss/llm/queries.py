@@ -8,11 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import bpe, docpairs, packing, prose, secrets, splitting, truncation
+from gneiss.llm.syntax import invalid
 from gneiss.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return invalid.judged(table(spark, d, "codefile")).where("not valid").select("file_id").distinct()
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Every file that is rejected, where and why, or the dialects that would accept it."""
+    return invalid.judged(table(spark, d, "codefile")).where("not valid")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return invalid.rates(invalid.judged(table(spark, d, "codefile")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
     return prose.found(chunks, prose.fit(table(spark, d, "documents"), chunks)).select("chunk_id", "lang").distinct()
@@ -82,7 +96,7 @@ def p10_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.limits(truncation.endings(table(spark, d, "documents"))).select("source", names[F.col("encoding")].alias("encoding"), "most")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_shares, p5_found, p5_redacted, p6_found, p6_pairs, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers, p10_found, p10_rates, p10_limits)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_report, p3_rates, p4_found, p4_shares, p5_found, p5_redacted, p6_found, p6_pairs, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers, p10_found, p10_rates, p10_limits)}
 
 SQL: dict[str, str] = {
     "p7_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(code) > 6000",
