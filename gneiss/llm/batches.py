@@ -10,11 +10,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., Iterable[tuple]]], slots: int | None = None) -> DataFrame:
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., Iterable[tuple]]], heavy: bool = False) -> DataFrame:
     """For each row of df, calls the function made by make (once per task) with the row's columns and yields its tuples.
 
     Rows stream through in Arrow batches; nothing is kept between batches except what make() caches.
-    slots: spreads the rows over that many partitions first, where input files are too few for the work.
+    heavy: spreads the rows over all cores first where the input has fewer splits than those.
     """
     out: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(out)
@@ -31,7 +31,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., Iterab
             if rows:
                 yield _batch(rows, arrow)
 
-    if slots:
+    if heavy and df.rdd.getNumPartitions() < (slots := df.sparkSession.sparkContext.defaultParallelism):
         df = df.repartition(slots)
     return df.mapInArrow(run, out)
 

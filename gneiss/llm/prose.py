@@ -267,7 +267,7 @@ def found(chunks: DataFrame, known: dict[str, bytes], with_sizes: bool = False)
 
         return call
 
-    return map_rows(rows, "chunk_id string, file_path string, kind string, lang string, n_chars int, total int", make)
+    return map_rows(rows, "chunk_id string, file_path string, kind string, lang string, n_chars int, total int", make, heavy=True)
 
 
 def shares(chunks: DataFrame, known: dict[str, bytes]) -> DataFrame:

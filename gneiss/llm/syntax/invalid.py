@@ -65,7 +65,7 @@ def judged(files: DataFrame) -> DataFrame:
 
         return call
 
-    found = map_rows(rows, "file_id bigint, repo string, extension string, valid boolean, dialects array<string>, line int, why string", make)
+    found = map_rows(rows, "file_id bigint, repo string, extension string, valid boolean, dialects array<string>, line int, why string", make, heavy=True)
     return found.dropDuplicates(["file_id"])
 
 
