@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import bpe, docpairs, generated, packing, prose, secrets, splitting, truncation
+from gneiss.llm import bpe, docpairs, generated, knn, packing, prose, secrets, splitting, truncation
 from gneiss.llm.syntax import invalid
 from gneiss.session import table
 
@@ -23,6 +23,15 @@ def p1_nodes(spark: SparkSession, d: str) -> DataFrame:
     return generated.nodes_judged(table(spark, d, "nodes"), generated.judged(table(spark, d, "codefile"))).where("not by_hand").select("id", "file_id", "why")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return knn.pairs(knn.neighbours(table(spark, d, "chunks")))
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar chunks of every chunk, with their cosines."""
+    return knn.neighbours(table(spark, d, "chunks")).select("chunk_id", F.posexplode("near").alias("rank", "e")).select("chunk_id", (F.col("rank") + 1).alias("rank"), F.col("e.id").alias("near_id"), F.col("e.cosine").alias("cosine"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return invalid.judged(table(spark, d, "codefile")).where("not valid").select("file_id").distinct()
 
@@ -105,7 +114,7 @@ def p10_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.limits(truncation.endings(table(spark, d, "documents"))).select("source", names[F.col("encoding")].alias("encoding"), "most")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nodes, p3_found, p3_report, p3_rates, p4_found, p4_shares, p5_found, p5_redacted, p6_found, p6_pairs, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers, p10_found, p10_rates, p10_limits)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nodes, p2_found, p2_neighbours, p3_found, p3_report, p3_rates, p4_found, p4_shares, p5_found, p5_redacted, p6_found, p6_pairs, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers, p10_found, p10_rates, p10_limits)}
 
 SQL: dict[str, str] = {
     "p7_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(code) > 6000",
