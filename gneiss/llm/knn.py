@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 SAMPLE, ROUNDS = 20_000, 8
 #: Entries that a query compares at least, entries of a group at most, and bounds of the number of centroids of a half.
-CANDIDATES, GROUP = 1500, 12_000
+CANDIDATES, GROUP = 8000, 16_000
 FEWEST, MOST = 8, 1024
 
 
