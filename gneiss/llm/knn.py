@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE, ROUNDS = 20_000, 8
-#: Entries that a query compares at least, entries of a group at most, and bounds of the number of centroids of a half.
-CANDIDATES, GROUP = 8000, 16_000
-FEWEST, MOST = 8, 1024
+#: Entries that a query compares at least, and entries of a group at most; bounds of the number of centroids of a half, and
+#: vectors per pair of centroids that the number aims at.
+CANDIDATES, GROUP = 10_000, 16_000
+FEWEST, MOST, DENSITY = 8, 1024, 150
 
 
 def centroids(n: int) -> int:
-    return int(min(MOST, max(FEWEST, round((n / 16) ** 0.5))))
+    return int(min(MOST, max(FEWEST, round((n / DENSITY) ** 0.5))))
 
 
 def fit(half: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -239,10 +240,11 @@ def neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embedding",
                     continue
                 if store is None:
                     store = _Store(entries, ids)
-                q = part.slice(start)
-                keys = q.column(2).to_pylist()
-                best = store.search(_halves(q.column(3), dim), keys, q.column(4), k)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(best, pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float32())])))], names=["k_", "near"])
+                for at in range(start, len(is_query), 512):
+                    q = part.slice(at, 512)
+                    keys = q.column(2).to_pylist()
+                    best = store.search(_halves(q.column(3), dim), keys, q.column(4), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(best, pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float32())])))], names=["k_", "near"])
 
     found = parts.mapInArrow(search, schema)
     merged = found.groupBy("k_").agg(F.flatten(F.collect_list("near")).alias("all_"))  # at most k per visited group
@@ -276,45 +278,44 @@ class _Store:
         ids = np.array(ids, dtype=object)[order]
         cells, x = cells[order], x[order]
         fresh = np.ones(len(ids), bool)
-        fresh[1:] = (ids[1:] != ids[:-1]) | (cells[1:] != cells[:-1])
+        fresh[1:] = ids[1:] != ids[:-1]
         self.ids, cells, self.x = ids[fresh], cells[fresh], x[fresh]
         values, starts = np.unique(cells, return_index=True)
         ends = np.append(starts[1:], len(cells))
         self.place = {int(c): (int(a), int(b)) for c, a, b in zip(values, starts, ends)}
 
     def search(self, q: np.ndarray, keys: list[str], visited, k: int) -> list[list[tuple]]:
-        offsets = visited.offsets.to_numpy() if hasattr(visited, "offsets") else None
+        """The k best entries for each query among the cells it visits; a running bar keeps what can't be among them out."""
+        lengths = np.diff(visited.offsets.to_numpy())
         flat = visited.flatten().to_numpy()
-        lengths = np.diff(offsets)
         who = np.repeat(np.arange(len(keys)), lengths)
-        order = np.argsort(flat, kind="stable")
-        flat, who = flat[order], who[order]
-        rows, near, score = [], [], []
-        edges = [0, *(np.flatnonzero(np.diff(flat)) + 1).tolist(), len(flat)] if len(flat) else [0]
+        # each query's nearest cells come first, so its bar is high early
+        turn = np.concatenate([np.arange(n) for n in lengths]) if len(lengths) else np.zeros(0, int)
+        order = np.lexsort((flat, turn // 8))
+        flat, who, turn = flat[order], who[order], turn[order] // 8
+        best = np.full((len(keys), k + 1), -2.0, np.float32)
+        near = np.full((len(keys), k + 1), -1, np.int64)
+        edges = [0, *(np.flatnonzero((np.diff(flat) != 0) | (np.diff(turn) != 0)) + 1).tolist(), len(flat)] if len(flat) else [0]
         for lo, hi in zip(edges, edges[1:]):
             place = self.place.get(int(flat[lo]))
             if place is None:
                 continue
             a, b = place
-            w = who[lo:hi]
-            m = min(k + 1, b - a)
-            for at in range(0, len(w), 1024):
-                part = w[at : at + 1024]
-                s = q[part] @ self.x[a:b].T
-                top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < b - a else np.broadcast_to(np.arange(b - a), s.shape)
-                rows.append(np.repeat(part, m))
-                near.append((top + a).ravel())
-                score.append(np.take_along_axis(s, top, 1).ravel())
-        out: list[list[tuple]] = [[] for _ in keys]
-        if not rows:
-            return out
-        rows, near, score = np.concatenate(rows), np.concatenate(near), np.concatenate(score)
-        order = np.lexsort((near, -score, rows))
-        for r, j, s in zip(rows[order].tolist(), near[order].tolist(), score[order].tolist()):
-            found = out[r]
-            if len(found) < k and self.ids[j] != keys[r] and not any(x[0] == self.ids[j] for x in found):
-                found.append((self.ids[j], s))
-        return out
+            for at in range(lo, hi, 256):
+                w = who[at : min(hi, at + 256)]
+                s = q[w] @ self.x[a:b].T
+                better = np.flatnonzero(s.max(1) > best[w, -1])
+                if not len(better):
+                    continue
+                w, s = w[better], s[better]
+                m = min(k + 1, b - a)
+                top = np.argpartition(s, b - a - m, axis=1)[:, b - a - m :] if m < b - a else np.broadcast_to(np.arange(b - a), s.shape)
+                score = np.concatenate([best[w], np.take_along_axis(s, top, 1)], axis=1)
+                place_ = np.concatenate([near[w], top + a], axis=1)
+                keep = np.lexsort((place_, -score), axis=1)[:, : k + 1]
+                best[w], near[w] = np.take_along_axis(score, keep, 1), np.take_along_axis(place_, keep, 1)
+        ids = self.ids
+        return [[(ids[j], v) for j, v in zip(js, vs) if j >= 0 and ids[j] != key][:k] for key, js, vs in zip(keys, near.tolist(), best.tolist())]
 
 
 def pairs(near: DataFrame, key: str = "chunk_id") -> DataFrame:
