@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 SAMPLE, ROUNDS = 20_000, 8
 #: Entries that a query compares at least, and entries of a group at most; bounds of the number of centroids of a half, and
 #: vectors per pair of centroids that the number aims at.
-CANDIDATES, GROUP = 10_000, 16_000
+CANDIDATES, GROUP = 10_000, 32_000
 FEWEST, MOST, DENSITY = 8, 1024, 150
 
 
