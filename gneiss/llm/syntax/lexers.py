@@ -229,6 +229,7 @@ def javascript(text: str) -> tuple[list[str], list[int]]:
     kinds: list[str] = []
     places: list[int] = []
     stack: list[str] = []
+    control: list[bool] = []  # whether a bracket belongs to a statement, so that an expression begins behind it
     at, n, line = 0, len(text), ""
     last = ""
     if text.startswith("#!"):
@@ -242,6 +243,7 @@ def javascript(text: str) -> tuple[list[str], list[int]]:
                 kind, at2 = _template(text, at + 1, True)
                 if kind == "THEAD":
                     stack.append("`")
+                    control.append(False)
                 kinds.append(kind + line)
                 places.append(at)
                 last, line, at = kind, "", at2
@@ -290,11 +292,13 @@ def javascript(text: str) -> tuple[list[str], list[int]]:
                 kind = s
                 if s in "([{":
                     stack.append(s)
+                    control.append(s == "(" and last in ("if", "while", "for", "with"))
                 elif s in ")]}":
                     if s == "}" and stack and stack[-1] == "`":
                         kind, end = _template(text, end, False)
                         if kind == "TTAIL":
                             stack.pop()
+                            control.pop()
                         kinds.append(kind)
                         places.append(at)
                         last, line, at = kind, "", end
@@ -302,6 +306,11 @@ def javascript(text: str) -> tuple[list[str], list[int]]:
                     if not stack or _OPEN.get(stack[-1]) != s:
                         raise Bad(at, "unmatched bracket")
                     stack.pop()
+                    if control.pop():
+                        kinds.append(kind + line)
+                        places.append(at)
+                        last, line, at = "control )", "", end
+                        continue
             last = kind
         kinds.append(kind + line)
         places.append(at)
