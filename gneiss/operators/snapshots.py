@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 def classify(before: DataFrame, after: DataFrame, key: str = "path", tolerance: float = 0.1) -> DataFrame:
     """(key, change): added, deleted, changed or unchanged, from (key, mtime, size) of two snapshots.
 
-    A file is unchanged while its size is the same and its time moved by no more than the tolerance in seconds.
+    A file is unchanged while its size is the same and its time moved by no more than the tolerance in seconds (less than a
+    microsecond more is rounding).
     """
     b = before.select(F.col(key), F.col("mtime").alias("m0"), F.col("size").alias("s0"))
     a = after.select(F.col(key), F.col("mtime").alias("m1"), F.col("size").alias("s1"))
-    same = (F.abs(F.col("m1") - F.col("m0")) <= tolerance) & F.col("s0").eqNullSafe(F.col("s1"))
+    same = (F.abs(F.col("m1") - F.col("m0")) <= tolerance + 1e-6) & F.col("s0").eqNullSafe(F.col("s1"))
     change = F.when(F.col("m0").isNull(), "added").when(F.col("m1").isNull(), "deleted").when(same, "unchanged").otherwise("changed")
     return b.join(a, key, "full_outer").select(key, change.alias("change"))
 

@@ -17,7 +17,7 @@ def scan_directory(spark: SparkSession, root: str, extensions: tuple[str, ...] =
     path = F.col("path")
     ignored = path.rlike("/(?:" + "|".join(x.replace(".", r"\.") for x in IGNORED) + ")/")
     rows = files.where(~ignored & T.extension(path).isin(*extensions))
-    return rows.select(path.alias("file_path"), T.language(path).alias("language"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), F.when(F.col("length") <= most_bytes, F.decode("content", F.lit("UTF-8"))).alias("raw_content"))
+    return rows.select(path.alias("file_path"), T.language(path).alias("language"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), F.when(F.col("length") <= most_bytes, F.decode("content", "UTF-8")).alias("raw_content"))
 
 
 def snapshot(files: DataFrame) -> DataFrame:
