@@ -7,7 +7,7 @@ category at a time, over a few numbers per row.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,18 +77,30 @@ def merge_adjacent(findings: DataFrame, window: int = 5) -> DataFrame:
     """(file_path, category, tool, line_start, line_end, n, first_id): findings of a tool and category are merged while
     their lines lie within a window of the first line of the merged one."""
     keys = ["file_path", "category", "tool"]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for line, end, n, i in pdf.sort_values(["line", "id"])[["line", "line_end", "count", "id"]].itertuples(index=False):
-            if rows and line - rows[-1][3] <= window:
-                rows[-1][4], rows[-1][5] = max(rows[-1][4], end), rows[-1][5] + n
-            else:
-                rows.append([*(pdf[k].iloc[0] for k in keys), line, end, n, i])
-        return pd.DataFrame(rows, columns=[*keys, "line_start", "line_end", "n", "first_id"])
+    names = [*keys, "line_start", "line_end", "n", "first_id"]
+    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+
+    def fold(batches):
+        now = None  # the merged row that is still open: group, first line, last line, count, first id
+        for b in batches:
+            rows = []
+            for path, category, tool, line, end, n, i in zip(*(c.to_pylist() for c in b.columns)):
+                group = (path, category, tool)
+                if now and now[0] == group and line - now[1] <= window:
+                    now[2], now[3] = max(now[2], end), now[3] + n
+                else:
+                    if now:
+                        rows.append((*now[0], *now[1:]))
+                    now = [group, line, end, n, i]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        if now:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((*now[0], *now[1:]), types)], names=names)
 
     slim = findings.select(*keys, "line", F.greatest("line", F.coalesce("line_end", "line")).alias("line_end"), F.coalesce("count", F.lit(1)).alias("count"), "id")
-    return slim.groupBy(*keys).applyInPandas(fold, "file_path string, category string, tool string, line_start int, line_end int, n int, first_id bigint")
+    # groups stream through in order, so a hot one needs no more memory than any other
+    ordered = slim.repartition(*keys).sortWithinPartitions(*keys, "line", "id")
+    return ordered.mapInArrow(fold, "file_path string, category string, tool string, line_start int, line_end int, n int, first_id bigint")
 
 
 def merge_bursts(findings: DataFrame, above: int = 8) -> DataFrame:

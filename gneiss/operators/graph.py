@@ -182,37 +182,46 @@ def strong_components(arcs: DataFrame, rounds: int = 200) -> DataFrame:
     what reaches the colour's own vertex within its colour is one component; the rest goes on.
     """
     left = cut(arcs.where("a <> b").distinct())
+    n = left.count()
     every = arcs.select(F.col("a").alias("id")).unionByName(arcs.select(F.col("b").alias("id"))).distinct()
     done = None
     for _ in range(rounds):
-        while True:  # trim
-            sources, targets = left.select(F.col("a").alias("id")).distinct(), left.select(F.col("b").alias("id")).distinct()
-            inner = sources.intersect(targets)
-            kept = left.join(inner.select(F.col("id").alias("a")), "a", "left_semi").join(inner.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
-            kept = cut(kept)
-            if kept.count() == left.count():
+        while n:  # trim, two layers a pass
+            kept = left
+            for _ in range(2):
+                inner = kept.select(F.col("a").alias("id")).intersect(kept.select(F.col("b").alias("id")))
+                kept = kept.join(inner.select(F.col("id").alias("a")), "a", "left_semi").join(inner.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
+            left, was = cut(kept), n
+            n = left.count()
+            if n == was:
                 break
-            left = kept
-        if left.isEmpty():
+        if not n:
             break
-        color = cut(left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct().withColumn("color", F.col("id")))
-        while True:  # forward: the smallest id that reaches each vertex
-            better = left.join(color, left.a == color.id).groupBy(F.col("b").alias("id")).agg(F.min("color").alias("from"))
-            new = cut(color.join(better, "id", "left").select("id", F.least("color", F.coalesce("from", "color")).alias("color"), F.col("color").alias("was")))
-            moved = new.where("color <> was").limit(1).count()
+        color = cut(left.select(F.col("a").alias("id")).distinct().withColumn("color", F.col("id")))
+        while True:  # forward: the smallest id that reaches each vertex, three steps a pass
+            new = color.withColumn("was", F.col("color"))
+            for _ in range(3):
+                better = left.join(new.select(F.col("id").alias("a"), "color"), "a").groupBy(F.col("b").alias("id")).agg(F.min("color").alias("from"))
+                new = new.join(better, "id", "left").select("id", F.least("color", F.coalesce("from", "color")).alias("color"), "was")
+            new = cut(new)
+            moved = not new.where("color <> was").isEmpty()
             color = new.select("id", "color")
             if not moved:
                 break
         within = cut(left.join(color.select(F.col("id").alias("a"), F.col("color").alias("ca")), "a").join(color.select(F.col("id").alias("b"), F.col("color").alias("cb")), "b").where("ca = cb").select("a", "b", F.col("ca").alias("color")))
-        found = cut(color.where("id = color"))
+        found = color.where("id = color")
         frontier = found
-        while True:  # backward from each colour's own vertex
-            frontier = cut(within.join(frontier.select(F.col("id").alias("b"), F.col("color").alias("c_")), "b").where("color = c_").select(F.col("a").alias("id"), "color").distinct().join(found, ["id", "color"], "left_anti"))
+        while True:  # backward from each colour's own vertex, two steps a pass
+            one = within.join(frontier.select(F.col("id").alias("b"), F.col("color").alias("c_")), "b").where("color = c_").select(F.col("a").alias("id"), "color")
+            two = within.join(one.select(F.col("id").alias("b"), F.col("color").alias("c_")), "b").where("color = c_").select(F.col("a").alias("id"), "color")
+            frontier = cut(one.unionByName(two).distinct().join(found, ["id", "color"], "left_anti"))
             if frontier.isEmpty():
                 break
-            found = cut(found.unionByName(frontier))
+            found = found.unionByName(frontier)
+        found = cut(found)
         done = found if done is None else done.unionByName(found)
         left = cut(left.join(found.select(F.col("id").alias("a")), "a", "left_anti").join(found.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b"))
+        n = left.count()
     if done is None:
         return every.select("id", F.col("id").alias("scc"))
     return every.join(done, "id", "left").select("id", F.coalesce("color", "id").alias("scc"))
