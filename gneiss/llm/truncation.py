@@ -95,7 +95,8 @@ def ending(text: str | None) -> tuple[str, str, str, str]:
         return ("whole" if whole else "cut"), "table", *tail
     if _ITEM.match(decorated) or re.fullmatch(r"[-*+•]|\d+[.)]?", decorated) and len(lines) > 1 and _ITEM.match(lines[-2]):
         before = [_bare(x) for x in lines[:-1] if _ITEM.match(x)]
-        if _NUMBERED.search(last) or decorated != last:
+        remark = re.sub(r"\s*\([^()\d]+\)$", "", last)
+        if _NUMBERED.search(last) or decorated != last or remark != last:
             return "whole", "list", *tail
         if before and all(_NUMBERED.search(x) for x in before[-3:]) or not _ITEM.match(decorated):
             return "cut", "list", *tail
@@ -105,9 +106,10 @@ def ending(text: str | None) -> tuple[str, str, str, str]:
     if _URL.match(last):
         return ("whole" if _WHOLE_URL.match(last) else "cut"), "address", *tail
     alone = len(lines) == 1 or not lines[-2].strip()
-    if re.search(r"\[[^\]]*\]\([^)]*$|\[[^\]]*$", last) or last.count("(") > last.count(")") or last.count("{") > last.count("}") or last.count("`") % 2:
+    ends = _TERMINAL.search(last) and not re.search(r"[;；:：,，]$", last)
+    if not ends and (re.search(r"\[[^\]]*\]\([^)]*$|\[[^\]]*$", last) or last.count("(") > last.count(")") or last.count("{") > last.count("}") or last.count("`") % 2):
         return "cut", "open bracket", *tail
-    if _TERMINAL.search(last) and not re.search(r"[;；:：,，]$", last):
+    if ends:
         return "whole", "sentence", *tail
     if alone and len(lines) > 1 and _FOOTER.match(last):
         return "whole", "footer", *tail
