@@ -32,6 +32,15 @@ SAMPLE, SAMPLE_CHARS, DICTIONARY = 3000, 4000, 48 * 1024
 #: An encoding as text must be shorter than that as code by this share.
 MARGIN = 0.12
 MIN_WORDS, MIN_CJK = 5, 10
+#: Common words of the languages written with spaces, fixed values; labelled text besides the documents.
+COMMON = {
+    "en": "the of and to in a is that this for it as was with be by on not he she his her but at are or from have an they which one you were all their there been if more when will would who so no please replace can has do any use only add by text later function",
+    "de": "der die das und ist in zu den nicht von sie mit dem sich ein eine auf für als auch es an werden aus er hat dass wird bei nach durch nur noch wie oder wenn über so zum zur",
+    "fr": "le la les de des et un une est en que qui dans pour ne pas sur au par plus avec ce il elle sont se aux mais ou comme cette tout être avant après si",
+    "es": "el la los las de y en que un una es por con no para su se del al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también antes después",
+    "pt": "o a os as de e em que um uma é por com não para se do da no na dos das ao como mais mas foi ele ela ou quando muito sem já também antes depois pela pelo",
+    "ru": "и в не на что с по это как а то все она так его но да ты к у же вы за бы только её мне было вот от меня ещё нет о из ему теперь когда если для после",
+}
 #: Compression level; the dictionaries are small enough for a thorough search.
 LEVEL = 6
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]")
@@ -156,7 +165,11 @@ class Identifier:
         if "code" in self.by:
             code = self.size("code", raw)
             words = sentence.split()
-            margin = MARGIN + (0.25 if len(_CODEY.findall(sentence)) * 4 > len(words) else 0)
+            signs = len(_CODEY.findall(sentence))
+            if not signs and sentence[0].isupper() and sentence[-1] in ".!?":
+                margin = -MARGIN  # looks like a sentence; code must fit it clearly better to win
+            else:
+                margin = MARGIN + (0.25 if signs * 4 > len(words) else 0)
             if n > code * (1 - margin) and not _CJK.search(sentence):
                 return ""
         return best if n < len(raw) * 1.1 + 8 else ""
@@ -209,7 +222,7 @@ class Words:
 
 def dictionaries(labelled: pd.DataFrame, code: list[tuple[str, str]], docstrings: list[str] = ()) -> dict[str, bytes]:
     prose = [(lang, s) for lang, text in zip(labelled.lang, labelled.text) for s in sentences(re.sub(r"```[\s\S]*?(?:```|\Z)", "\n\n", text)) if enough(s) and not _CODEY.search(s)]
-    words = Words(prose)
+    words = Words(prose + [(lang, text) for lang, text in COMMON.items() if any(x == lang for x, _ in prose)])
     kept = [(lang, s) for lang, s in prose if words.language(s) == lang]
     spoken = [(words.language(s), s) for text in docstrings for s in sentences(text) if enough(s) and not _CODEY.search(s)]
     half = DICTIONARY // 2
