@@ -161,7 +161,7 @@ class Identifier:
         names = self.candidates(sentence)
         if not names or _SQL.match(sentence):
             return ""
-        n, best = min((self.size(name, raw), name) for name in names)
+        n, _, best = min((self.size(name, raw), LANGS.index(name), name) for name in names)
         if "code" in self.by:
             code = self.size("code", raw)
             words = sentence.split()
@@ -245,12 +245,22 @@ def dictionaries(labelled: pd.DataFrame, code: list[tuple[str, str]], docstrings
 
 
 def _build(parts: list[str], size: int) -> bytes:
-    """Distinct parts up to a size, spread over all of them."""
-    parts = list(dict.fromkeys(parts))
+    """Distinct parts up to a size: those that repeat first, up to half of it, the others spread over all of them."""
+    counts = Counter(parts)
+    often = [p for p, n in counts.most_common() if n >= 3]
+    head: list[str] = []
+    room = size // 2
+    for p in often:
+        if (room := room - len(p.encode()) - 1) < 0:
+            break
+        head.append(p)
+    known = set(head)
+    parts = [p for p in counts if p not in known]
+    size -= sum(len(p.encode()) + 1 for p in head)
     total = sum(len(p.encode()) + 1 for p in parts)
     step = max(1.0, total / size)
     picked = [parts[int(i * step)] for i in range(int(len(parts) / step))]
-    return "\n".join(picked).encode()[:size]
+    return "\n".join(picked + head[::-1]).encode()
 
 
 def found(chunks: DataFrame, known: dict[str, bytes], with_sizes: bool = False) -> DataFrame:
