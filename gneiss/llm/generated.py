@@ -30,9 +30,11 @@ from gneiss.llm.batches import map_rows
 from gneiss.session import cut
 
 #: Files without notices that the forest is fitted on at most, fewest labels of a kind, trees and their depth.
-OTHERS, LEAST, TREES, DEPTH = 20_000, 4, 40, 8
+OTHERS, LEAST, TREES, DEPTH = 20_000, 4, 80, 10
 #: Likelihood of a tool from which a file is a case; the two kinds leave a wide gap around it.
-THRESHOLD = 0.3
+THRESHOLD = 0.15
+#: The likelihood that is enough where the name of file or folder says generated as well.
+NAMED = 0.08
 #: Lines at the head of a file in which a notice counts.
 HEAD = 12
 
@@ -49,7 +51,7 @@ _BANNER = re.compile(r"/\*!\s*([\w.-]+) v?\d+\.\d+[\w.]*\s*(?:\||\*/|-)")
 #: Folders of third-party copies, fixed values; a folder below one of these is one library.
 FOLDERS = r"(?:^|/)(?:vendor|_vendor|third_party|third-party|thirdparty|3rdparty|node_modules|bower_components|externals?|static/libs?|site-packages|jspm_packages|Pods)/[^/]+/"
 PRODUCTS = r"(?:^|/)(?:dist|build/(?:lib|out|static|js)|target/classes|out/production)/[^/]+\.(?:js|mjs|css|map)$|\.(?:min|bundle|chunk)\.(?:js|mjs|css)$"
-TOOL_FILES = r"(?:_pb2(?:_grpc)?\.pyi?|\.pb\.go|\.pb\.(?:cc|h)|\.g\.dart|\.(?:gen|generated)\.\w+|_generated\.\w+|Grpc\.java)$|(?:^|/)(?:__generated__|gen-src|generated-sources?)/"
+TOOL_FILES = r"(?:_pb2(?:_grpc)?\.pyi?|\.pb\.go|\.pb\.(?:cc|h)|\.g\.dart|\.(?:gen|generated)\.\w+|_generated\.\w+|Grpc\.java)$|(?:^|/)(?:__generated__|gen-src|generated-sources?|generated|gen)/"
 LOCKS = r"(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|poetry\.lock|Pipfile\.lock|composer\.lock|Cargo\.lock|go\.sum)$|[-.]lock\.json$"
 _LOCK = re.compile(r'^\s*\{\s*"(?:lockfile_?version|lockversion|_meta|dependencies_hash)"\s*:|^# (?:This file is automatically @generated|yarn lockfile)', re.I)
 
@@ -181,7 +183,7 @@ def fit(found: DataFrame) -> RandomForestClassificationModel | None:
     sizes = {r["label"]: r["n"] for r in both.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if min(sizes.get(0.0, 0), sizes.get(1.0, 0)) < LEAST:
         return None
-    weight = sizes[0.0] / sizes[1.0] * 0.5
+    weight = sizes[0.0] / sizes[1.0]
     rows = _vectors(both).withColumn("weight", F.when(F.col("label") == 1, F.lit(max(1.0, weight))).otherwise(1.0))
     return RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=7, subsamplingRate=0.8).fit(rows)
 
@@ -204,7 +206,7 @@ def judged(files: DataFrame) -> DataFrame:
         .when(by_path() != "", by_path())
         .when(F.col("named"), F.lit("copy"))
         .when(F.col("data"), F.lit("data"))
-        .when((F.col("likelihood") > THRESHOLD) & (F.element_at("features", -2) > 4.6), F.lit("look"))
+        .when((F.col("likelihood") > F.when(F.col("path").rlike(TOOL_FILES), NAMED).otherwise(THRESHOLD)) & (F.element_at("features", -2) > 4.6), F.lit("look"))
         .otherwise("")
     )
     return found.select("file_id", "path", (why == "").alias("by_hand"), why.alias("why"), "likelihood")
