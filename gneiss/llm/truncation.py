@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm.batches import map_rows
+from gneiss.session import cut
 
 #: A pile is this many texts of a source at one length and this share of its texts.
 PILE, PILE_SHARE = 5, 0.02
@@ -181,13 +182,13 @@ def item_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, source, cut boolean, kind) of every row."""
-    found = endings(docs, key, text, source)
+    found = cut(endings(docs, key, text, source))  # a few numbers and words a text, read by several jobs below
     most = limits(found)
     at = most.groupBy("source").agg(F.collect_list(F.struct("encoding", "most")).alias("limits"))  # one small row per source
     found = found.join(F.broadcast(at), "source", "left").withColumn(
         "at_limit", F.exists(F.coalesce("limits", F.array().cast("array<struct<encoding:int,most:int>>")), lambda x: F.get(F.col("n"), x["encoding"]) == x["most"])
     )
-    words = item_words(docs, text)
+    words = cut(item_words(docs, text))
     unsure = found.where("verdict = 'unsure'").select("last", "before").distinct()
     asked = unsure.select("last").distinct()
     by_word = words.join(asked, words.word == asked["last"], "left_semi").groupBy("word").agg(F.sum("n_end").alias("n_end"), F.sum("n_inside").alias("n_inside"))
