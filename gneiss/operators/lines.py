@@ -54,7 +54,71 @@ QUALITY = (
     Rule("conflict_mark", "high", r"^(<<<<<<< |>>>>>>> |=======$)"),
     Rule("throw_error", "info", r"^\s*(throw new |raise |return fmt\.Errorf)"),
 )
-PACKS = {"security": SECURITY, "quality": QUALITY}
+#: Governance and agent rules. Their ids are fixed values, the patterns are this project's own; several rules may share an id.
+GOVERNANCE = (
+    Rule("IRON-SEC-01", "critical", r"(?i)\b\w*(password|passwd|secret|api_?key|token)\w*\s*[:=]+\s*[\"'][^\"'\s$<{]{8,}[\"']", r"(?i)changeme|example|dummy|placeholder|your[_-]|environ|getenv|process\.env|token_?budget|x-auth|\*{4}|x{6}"),
+    Rule("IRON-SEC-01", "critical", r"\b(ghp_|gho_|ghs_|glpat-|xox[bap]-|AKIA[0-9A-Z]{12}|sk-(live|proj)-)"),
+    Rule("IRON-SEC-02", "critical", r"(?i)\b(execute|query|raw)\(\s*(f[\"']|[\"'][^\"']*(select|insert|update|delete)\b[^\"']*[\"']\s*(%|\+|\.format))"),
+    Rule("IRON-SEC-03", "high", r"\bos\.(system|popen)\(|\bcommands\.getoutput\("),
+    Rule("IRON-SEC-04", "high", r"\b(pickle|marshal|shelve)\.(loads?|open)\(|\byaml\.load\(", r"SafeLoader|safe_load"),
+    Rule("IRON-SEC-05", "medium", r"[\"'](\d{1,3}\.){3}\d{1,3}(:\d+)?[\"']|[\"']https?://localhost", r"127\.0\.0\.1|0\.0\.0\.0"),
+    Rule("IRON-SEC-06", "critical", r"\b(eval|exec|compile)\(", r"^\s*(#|//)|\.compile\(|re\.compile"),
+    Rule("IRON-SEC-07", "high", r"subprocess\.\w+\(.*shell\s*=\s*True"),
+    Rule("IRON-SEC-08", "high", r"\bopen\(\s*(request|input|argv|params|sys\.argv)|\.\./\.\./"),
+    Rule("IRON-SEC-09", "medium", r"(?i)\b(log|logger|print|console)\b.*\b(password|secret|token|api_?key)\b\s*[,)%+]"),
+    Rule("IRON-SEC-10", "high", r"\b(DES|RC4|ECB|Blowfish)\b|\bdill\.loads?\(|jsonpickle\.decode\("),
+    Rule("IRON-SEC-11", "high", r"\b(requests|urllib|httpx|http)\.(get|post|urlopen|request)\(\s*(url|request|params|user)"),
+    Rule("IRON-SEC-12", "high", r"innerHTML\s*=|document\.write\(|\|\s*safe\b|Markup\("),
+    Rule("IRON-SEC-13", "medium", r"\brandom\.(random|randint|choice)\(|Math\.random\(|new Random\("),
+    Rule("IRON-SEC-14", "medium", r"\b(hashlib\.)?(md5|sha1)\(|MessageDigest\.getInstance\(.(MD5|SHA-1)"),
+    Rule("IRON-SEC-15", "medium", r"verify\s*=\s*False|CERT_NONE|rejectUnauthorized\s*:\s*false|InsecureSkipVerify:\s*true"),
+    Rule("IRON-SEC-16", "low", r"while\s+True\s*:|for\s*\(\s*;\s*;\s*\)|\.read\(\)\s*$"),
+    Rule("IRON-SEC-17", "high", r"\bexec\.Command\(|child_process|Runtime\.getRuntime\(\)\.exec|ProcessBuilder\("),
+    Rule("IRON-GOV-02", "medium", r"(?i)\b(100\s?%|fully|completely|guaranteed)\b.*\b(safe|secure|tested|accurate)\b"),
+    Rule("PITFALL-01", "high", r"^\s*except(\s+\w+)?\s*:\s*(pass)?\s*$", "", ("python",)),
+    Rule("PITFALL-02", "medium", r"\bdef\s+\w+\([^)]*=\s*(\[\]|\{\}|set\(\))", "", ("python",)),
+    Rule("PITFALL-03", "medium", r"^\s*\w+\s*=\s*open\(", r"\bwith\b", ("python",)),
+    Rule("PITFALL-05", "medium", r"os\.path\.exists\(.*\).*open\(|if\s+os\.path\.exists\("),
+    Rule("PITFALL-06", "low", r"^\s*global\s+\w+", "", ("python",)),
+    Rule("PITFALL-07", "medium", r"\b(open|requests\.\w+|urlopen)\(", r"timeout|with |encoding", ("python",)),
+)
+AGENT = (
+    Rule("AGENT-SEC-01", "critical", r"(?i)(prompt|system_message|instructions?)\s*(=|\+=)\s*f[\"'].*\{(user|input|query|request|message)"),
+    Rule("AGENT-SEC-02", "high", r"(?i)(prompt|messages?)\.(format|append|replace)\(.*(user|input|query)"),
+    Rule("AGENT-SEC-03", "high", r"(?i)\bcontext\s*\+=|history\.(append|extend)\(.*(input|user)"),
+    Rule("AGENT-SEC-06", "blocker", r"shutil\.rmtree\(|os\.remove\(|\brm -rf\b|unlinkSync\(|os\.RemoveAll\("),
+    Rule("AGENT-SEC-07", "blocker", r"\bos\.system\(|subprocess\.(run|call|Popen)\("),
+    Rule("AGENT-SEC-08", "high", r"(?i)\.execute\(\s*[\"']?\s*(insert|update|delete|drop|alter)\b|[\"'](DELETE|DROP|UPDATE) \w+"),
+    Rule("AGENT-SEC-09", "medium", r"(?i)\bwrite_text\(|open\([^)]*[\"']w"),
+    Rule("AGENT-SEC-10", "blocker", r"(?i)while\s+true.*\b(llm|model|agent|complete|chat)"),
+    Rule("AGENT-SEC-11", "high", r"(?i)max_?(tokens|iterations|steps)\s*[:=]+\s*(None|null|nil|-1|[1-9]\d{5,})"),
+    Rule("AGENT-SEC-12", "medium", r"(?i)\bmax_?tokens\s*[:=]+\s*\d{4,}"),
+    Rule("AGENT-SEC-13", "high", r"(?i)(requests\.post|fetch|http\.Post)\(.*(prompt|context|history|memory)"),
+    Rule("AGENT-SEC-14", "medium", r"(?i)https?://hooks\.|webhook"),
+    Rule("AGENT-SEC-16", "medium", r"(?i)auto_?(approve|confirm|run|execute)\s*[:=]+\s*true"),
+    Rule("AGENT-SEC-18", "high", r"(?i)\b(log|logger|print|console)\w*[.(].*\b(email|phone|ssn|id_?card|address)\b"),
+    Rule("AGENT-SEC-20", "blocker", r"\b\d{3}-\d{2}-\d{4}\b|\b(?:4\d{3}|5[1-5]\d{2})(?:[ -]?\d{4}){3}\b"),
+    Rule("AGENT-SEC-22", "high", r"(?i)\bdebug\s*[:=]+\s*true|DEBUG\s*=\s*True"),
+    Rule("AGENT-SEC-24", "high", r"(?i)cors|access-control-allow-origin.*\*|allow_origins\s*=\s*\[\s*[\"']\*"),
+    Rule("AGENT-SEC-30", "blocker", r"exec\.Command\(\s*[\"'](sh|bash)[\"']", "", ("go",)),
+    Rule("AGENT-SEC-32", "high", r"fmt\.Sprintf\(\s*[\"`](SELECT|INSERT|UPDATE|DELETE)", "", ("go",)),
+    Rule("AGENT-SEC-35", "medium", r"_\s*=\s*\w+\.\w+\(|,\s*_\s*:?=\s*\w+\(", "", ("go",)),
+    Rule("AGENT-SEC-36", "blocker", r"\beval\(|new Function\(", "", ("javascript", "typescript")),
+    Rule("AGENT-SEC-37", "high", r"child_process|execSync\(", "", ("javascript", "typescript")),
+    Rule("AGENT-SEC-60", "high", r"Runtime\.getRuntime\(\)|ProcessBuilder\(", "", ("java",)),
+    Rule("AGENT-SEC-62", "blocker", r"ObjectInputStream\(|readObject\(\)", "", ("java",)),
+    Rule("AGENT-SEC-64", "high", r"Statement\(\)|createStatement\(|executeQuery\(\s*\"[^\"]*\"\s*\+", "", ("java",)),
+    Rule("AGENT-SEC-69", "medium", r"(?i)\b(connect|open)\w*\(", r"(?i)with |close|defer|using|try"),
+    Rule("AGENT-SEC-LEAK", "high", r"(?i)traceback\.(print_exc|format_exc)\(|printStackTrace\(|err\.stack"),
+    Rule("AGENT-SEC-SSRF", "high", r"(?i)(get|post|fetch|urlopen)\(\s*(url|target|address|endpoint)\w*\s*[,)]"),
+)
+#: What a robust project shows somewhere; AGENT-RESILIENCE checks report what no line of it shows.
+RESILIENCE = {
+    "AGENT-RESILIENCE-01": r"(?i)\btimeout\b", "AGENT-RESILIENCE-02": r"(?i)\bretr(y|ies)\b|\bbackoff\b", "AGENT-RESILIENCE-03": r"(?i)\bfallback\b|\bdefault_model\b", "AGENT-RESILIENCE-04": r"(?i)rate_?limit|throttl",
+    "AGENT-RESILIENCE-05": r"(?i)circuit_?breaker", "AGENT-RESILIENCE-06": r"(?i)health_?check|/healthz?\b", "AGENT-RESILIENCE-07": r"(?i)\bpool(_?size)?\b", "AGENT-RESILIENCE-08": r"(?i)\bcache\w*\b",
+    "AGENT-RESILIENCE-09": r"(?i)\b(validate|sanitize)\w*\b", "AGENT-RESILIENCE-10": r"(?i)\b(metrics?|counter|histogram)\b",
+}
+PACKS = {"security": SECURITY, "quality": QUALITY, "governance": GOVERNANCE, "agent": AGENT}
 
 
 def latest(files: DataFrame) -> DataFrame:

@@ -30,6 +30,18 @@ def lines_quality(spark, d):
     return L.hits(_rows(spark, d), L.QUALITY).groupBy("rule", "language").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("n_files"))
 
 
+def lines_governance(spark, d):
+    return L.hits(_rows(spark, d), L.GOVERNANCE).groupBy("rule", "severity", "language").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("n_files"))
+
+
+def lines_agent(spark, d):
+    return L.hits(_rows(spark, d), L.AGENT, skip_comments=True).groupBy("file_id", "rule", "severity").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
+
+
+def lines_resilience(spark, d):
+    return L.absent_signals(_rows(spark, d), L.RESILIENCE)
+
+
 def lines_first_hits(spark, d):
     return L.first_per_file(L.hits(_rows(spark, d), L.SECURITY, skip_comments=True)).select("file_id", "rule", "line_no")
 
@@ -164,7 +176,7 @@ def files_languages(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        lines_security, lines_quality, lines_first_hits, lines_confirmed, lines_todo, lines_commented_code, lines_deep_nesting, lines_magic_numbers, lines_io_in_loops, lines_docstrings, lines_silent_except,
+        lines_security, lines_quality, lines_governance, lines_agent, lines_resilience, lines_first_hits, lines_confirmed, lines_todo, lines_commented_code, lines_deep_nesting, lines_magic_numbers, lines_io_in_loops, lines_docstrings, lines_silent_except,
         lines_absent_signals, files_latest, files_long_functions, files_complexity, files_cognitive, files_parameters, files_naming, files_duplicates, files_blank, files_no_final_newline, files_documentation,
         files_missing_modules, files_dead_imports, files_dead_functions, files_env_unreferenced, files_maturity, files_capabilities, files_capability_gaps, files_capability_clusters, files_architectures, files_languages,
     )
@@ -204,6 +216,9 @@ _MATURE = ", ".join(f"max(regexp_matches(concat_ws(chr(10), file_path, raw_conte
 SQL = {
     "lines_security": _W + "," + _hits(L.SECURITY) + " SELECT file_id, rule, severity, count(*) AS n, min(line_no) AS first_line FROM h GROUP BY ALL",
     "lines_quality": _W + "," + _hits(L.QUALITY) + " SELECT rule, language, count(*) AS n, count(DISTINCT file_id) AS n_files FROM h GROUP BY ALL",
+    "lines_governance": _W + "," + _hits(L.GOVERNANCE) + " SELECT rule, severity, language, count(*) AS n, count(DISTINCT file_id) AS n_files FROM h GROUP BY ALL",
+    "lines_agent": _W + "," + _hits(L.AGENT, f" AND NOT {_COMMENT}") + " SELECT file_id, rule, severity, count(*) AS n, min(line_no) AS first_line FROM h GROUP BY ALL",
+    "lines_resilience": _W + ", s AS (" + " UNION ALL ".join(f"SELECT split_part(file_path, '/', 1) AS repo, {_q(n)} AS signal, max(regexp_matches(line, {_q(p)})::INT) AS seen FROM l GROUP BY 1" for n, p in L.RESILIENCE.items()) + ") SELECT repo, signal FROM s WHERE seen = 0",
     "lines_first_hits": _W + "," + _hits(L.SECURITY, f" AND NOT {_COMMENT}") + " SELECT file_id, rule, min(line_no) AS line_no FROM h GROUP BY ALL",
     "lines_confirmed": _W + "," + _hits(L.SECURITY) + r" SELECT file_id, line_no FROM h WHERE rule = 'sql_text' AND file_id IN (SELECT file_id FROM l WHERE regexp_matches(line, '\bload\w*\('))",
     "lines_todo": _W + r", t AS (SELECT file_id, line_no, regexp_extract(line, '^\s*(?:#+|//+|/?\*+)\s*(BUG|FIXME|HACK|TODO|XXX)\b', 1) AS tag FROM l) SELECT file_id, line_no, tag, CASE WHEN tag IN ('BUG','FIXME') THEN 'high' WHEN tag IN ('HACK','TODO') THEN 'medium' ELSE 'low' END AS severity FROM t WHERE tag <> ''",
