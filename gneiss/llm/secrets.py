@@ -35,7 +35,7 @@ QUERY = re.compile(r"[?&;]([A-Za-z_][\w.-]*)=([^&\s\"'`<>#;]{6,})")
 HEADER = re.compile(r"\b(?:Bearer|Basic|Token|token)\s+([A-Za-z0-9+/_.~=-]{12,})")
 #: name, separator, literal: in quotes, or to the end of the line in configuration and comments
 _NAMED = r"(?<![\w.-])(?=[\w.-]*?(?i:pass|pwd|pw|secret|token|key|cred|auth|pem|salt))"
-QUOTED = re.compile(_NAMED + r"""(?P<name>[A-Za-z_][\w.-]*)["'`]?\]?[ \t]*(?::[ \t]*[\w.<>\[\], |]{1,40}?[ \t]*)?(?::=|=>|=|:|,(?<=["'`],))[ \t]*(?:[rbuf]{0,2})?(?P<q>\"\"\"|'''|["'`])(?P<value>(?:\\.|(?!(?P=q)).)*?)(?P=q)""")
+QUOTED = re.compile(_NAMED + r"""(?P<name>[A-Za-z_][\w.-]*)["'`]?\]?[ \t]*(?::[ \t]*[\w.<>\[\], |]{1,40}?[ \t]*)?(?::=|=>|=|:|\|\||\?\?|\bor\b|,(?<=["'`],))[ \t]*(?:[rbuf]{0,2})?(?P<q>\"\"\"|'''|["'`])(?P<value>(?:\\.|(?!(?P=q)).)*?)(?P=q)""")
 BARE = re.compile(r"""^[ \t]*(?:(?:\#|//|\*|--|;)+[ \t]*)?(?:export[ \t]+|set[ \t]+)?""" + _NAMED + r"""(?P<name>[A-Za-z_][\w.-]*)[ \t]*[=:][ \t]*(?P<value>[^\s"'`#;,(){}\[\]][^\s"'`(){}\[\]]*)[ \t]*(?:\#.*|;)?\r?$""", re.M)
 #: literals joined by an operator, or by standing next to each other
 JOIN = re.compile(r"""(?<!["'`\\\w])(["'])(?:\\.|(?!\1)[^\\\n])+\1(?:(?:[ \t]*\+[ \t]*|[ \t]+)(?:\\?\r?\n[ \t]*)?(?:\+[ \t]*)?\1(?:\\.|(?!\1)[^\\\n])+\1|\\?\r?\n[ \t]*(?:\+[ \t]*)?\1(?:\\.|(?!\1)[^\\\n])+\1)+""")
