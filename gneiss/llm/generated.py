@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm import lexing
-from gneiss.llm.batches import map_rows
+from gneiss.llm.batches import hashed, map_rows
 from gneiss.session import cut
 
 #: Files without notices that the forest is fitted on at most, fewest labels of a kind, trees and their depth.
@@ -178,7 +178,7 @@ def fit(found: DataFrame) -> RandomForestClassificationModel | None:
     """The forest, or None where labels are too few."""
     telling = (F.col("notice") != "") | (by_path() != "") | F.col("path").rlike(TOOL_FILES) | F.col("data")
     tools = found.where(F.col("notice").isin("tool", "minified")).select("features", F.lit(1.0).alias("label"))
-    others = found.where(~telling & (F.element_at("features", -2) > 3)).orderBy(F.xxhash64("file_id"), "file_id").limit(OTHERS).select("features", F.lit(0.0).alias("label"))
+    others = hashed(found.where(~telling & (F.element_at("features", -2) > 3)), "file_id", OTHERS).select("features", F.lit(0.0).alias("label"))
     both = tools.unionByName(others)
     sizes = {r["label"]: r["n"] for r in both.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if min(sizes.get(0.0, 0), sizes.get(1.0, 0)) < LEAST:

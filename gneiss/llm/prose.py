@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm import lexing
-from gneiss.llm.batches import map_rows
+from gneiss.llm.batches import hashed, map_rows
 
 LANGS = ("en", "zh", "ja", "de", "fr", "es", "pt", "ru")
 #: Rows of each kind that the dictionaries are fitted on, their largest size, and the bytes of a dictionary.
@@ -177,15 +177,10 @@ class Identifier:
 
 def fit(docs: DataFrame, chunks: DataFrame) -> dict[str, bytes]:
     """The dictionaries, from bounded samples of labelled documents and of code."""
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select(F.lower(F.trim("lang")).alias("lang"), "text", F.xxhash64("doc_id").alias("h"))
-    labelled = rows.where(F.col("lang").isin(*LANGS)).orderBy("h", "text").limit(SAMPLE).toPandas()
-    code = (
-        chunks.where(F.col("code").isNotNull() & (F.length("code") <= SAMPLE_CHARS) & ~F.lower(F.trim("chunk_type")).eqNullSafe("module"))
-        .select("code", "file_path", "docstring", F.xxhash64("chunk_id").alias("h"))
-        .orderBy("h", "code")
-        .limit(SAMPLE)
-        .toPandas()
-    )
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select(F.lower(F.trim("lang")).alias("lang"), "text", "doc_id")
+    labelled = hashed(rows.where(F.col("lang").isin(*LANGS)), "doc_id", SAMPLE).select("lang", "text").toPandas()
+    parts = chunks.where(F.col("code").isNotNull() & (F.length("code") <= SAMPLE_CHARS) & ~F.lower(F.trim("chunk_type")).eqNullSafe("module")).select("code", "file_path", "docstring", "chunk_id")
+    code = hashed(parts, "chunk_id", SAMPLE).select("code", "file_path", "docstring").toPandas()
     return dictionaries(labelled, [(c, lexing.language_of(p)) for c, p in zip(code.code, code.file_path)], [x for x in code.docstring if x])
 
 
