@@ -17,13 +17,14 @@ END = "$"
 
 
 class Grammar:
-    def __init__(self, text: str, start: str, dialects: tuple[str, ...], breaks: bool = False, eos: str | None = None, barred: dict[str, set[str]] | None = None):
+    def __init__(self, text: str, start: str, dialects: tuple[str, ...], breaks: bool = False, eos: str | None = None, barred: dict[str, set[str]] | None = None, inline: tuple[str, ...] = ()):
         """breaks: tokens after a line break have a ~ at their end. eos: a rule that may be empty only before a closing
-        brace, the end, or after a line break. barred: tokens with which a rule must not begin."""
+        brace, the end, or after a line break. barred: tokens with which a rule must not begin. inline: rules that
+        are copied to where they are used, which saves calls; they must not contain themselves."""
         self.dialects, self.breaks = dialects, breaks
         self.bits = {d: 1 << i for i, d in enumerate(dialects)}
         self._arcs: list[list[tuple]] = []  # of the nondeterministic automata
-        rules = self._rules(text)
+        rules = self._rules(text, frozenset(inline))
         self.rules = rules
         self.moves: list[dict[tuple, int]] = []  # of the deterministic ones
         self.accepts: list[bool] = []
@@ -45,12 +46,19 @@ class Grammar:
         self._arcs.append([])
         return len(self._arcs) - 1
 
-    def _rules(self, text: str) -> dict[str, tuple[int, int]]:
+    def _rules(self, text: str, inline: frozenset[str]) -> dict[str, tuple[int, int]]:
         symbols = [(m.lastgroup, m.group()) for m in _SYMBOL.finditer(text) if m.lastgroup]
-        at, out = 0, {}
+        bodies: dict[str, int] = {}
+        at = 0
+        while at < len(symbols):  # names of rules and where their right sides begin
+            assert symbols[at + 1][1] == "=", (symbols[at], symbols[at + 1])
+            bodies[symbols[at][1]] = at = at + 2
+            while symbols[at] != ("sign", ";"):
+                at += 1
+            at += 1
 
-        def sequence(stops: str) -> tuple[int, int]:
-            nonlocal at
+        def sequence(at: int, stops: str) -> tuple[int, int, int]:
+            """(first state, last state, position of the sign that ends it)."""
             first, last = self._new(), self._new()
             here = self._new()
             self._arcs[first].append((None, here))
@@ -58,7 +66,7 @@ class Grammar:
                 kind, s = symbols[at]
                 if kind == "sign" and s in stops:
                     self._arcs[here].append((None, last))
-                    return first, last
+                    return first, last, at
                 at += 1
                 if s == "|":
                     self._arcs[here].append((None, last))
@@ -67,7 +75,7 @@ class Grammar:
                     continue
                 after = self._new()
                 if kind == "sign":
-                    a, b = sequence({"(": ")", "[": "]", "{": "}"}[s])
+                    a, b, at = sequence(at, {"(": ")", "[": "]", "{": "}"}[s])
                     at += 1
                     self._arcs[here].append((None, a))
                     self._arcs[b].append((None, after))
@@ -83,17 +91,15 @@ class Grammar:
                     self._arcs[here].append((("t", name), after))
                     if self.breaks and not tight:
                         self._arcs[here].append((("t", name + "~"), after))
+                elif s in inline:
+                    a, b, _ = sequence(bodies[s], ";")
+                    self._arcs[here].append((None, a))
+                    self._arcs[b].append((None, after))
                 else:
                     self._arcs[here].append((("c", s), after))
                 here = after
 
-        while at < len(symbols):
-            name = symbols[at][1]
-            assert symbols[at + 1][1] == "=", (name, symbols[at + 1])
-            at += 2
-            out[name] = sequence(";")
-            at += 1
-        return out
+        return {name: sequence(at, ";")[:2] for name, at in bodies.items() if name not in inline}
 
     def _determine(self, name: str, first: int, last: int) -> int:
         def closure(states):

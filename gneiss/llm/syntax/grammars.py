@@ -106,7 +106,7 @@ spec = [ @ts 'type' ] ( anyname | STRING ) [ 'as' ( anyname | STRING ) ] ;
 export = 'export' ( 'default' ( function | class | @ts 'abstract' class | @ts interface | estmt eos ) | [ @ts 'type' ] ( '*' [ 'as' ( anyname | STRING ) ] 'from' STRING [ attrs ] eos | named [ 'from' STRING [ attrs ] ] eos )
   | var eos | function | class | tsdecl | @ts '=' expr eos | @ts 'as' 'namespace' ident eos | @ts 'import' ident '=' expr eos ) ;
 stmt = block | var eos | ';' | if | for | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' [ ';' ] | 'continue' [ ident ] eos | 'break' [ ident ] eos
-  | 'return' [ expr ] eos | 'throw' expr eos | try | switch | ident ':' stmt | function | class | 'debugger' eos | estmt eos | @sloppy 'with' '(' expr ')' stmt | tsdecl ;
+  | 'return' [ expr ] eos | 'throw' expr eos | try | switch | function | class | 'debugger' eos | estmt ( eos | ':' stmt ) | @sloppy 'with' '(' expr ')' stmt | tsdecl ;
 block = '{{' stmts '}}' ;
 estmt = expr ;
 var = ( 'var' | 'let' | 'const' ) decl {{ ',' decl }} ;
@@ -133,14 +133,14 @@ fieldm = key [ @ts ( '?' | '!' ) ] [ note ] [ '=' assign ] eos ;
 index = '[' ident ':' type ']' note eos ;
 expr = assign {{ ',' assign }} ;
 assign = arrow | 'yield' [ [ '*' ] assign ] | flat ;
-arrow = [ 'async' ] ( ident | [ tparams ] '(' [ params ] ')' [ ret ] ) !'=>' ( block | assign ) ;
+arrow = ( 'async' ident | [ 'async' ] [ tparams ] '(' [ params ] ')' [ ret ] ) !'=>' ( block | assign ) ;
 flat = unary {{ op unary | aop ( arrow | 'yield' [ [ '*' ] assign ] | unary ) | '?' assign ':' assign | @ts ( 'as' | 'satisfies' ) type }} ;
 aop = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>' [ '>' ] '>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??=' ;
 op = '??' | '||' | '&&' | '|' | '^' | '&' | '==' | '!=' | '===' | '!=='
   | '<' | '<=' | '>=' | '>' [ '>' [ '>' ] ] | 'instanceof' | 'in' | '<<' | '+' | '-' | '*' | '/' | '%' | '**' ;
 unary = {{ '!' | '~' | '+' | '-' | 'typeof' | 'void' | 'delete' | 'await' | '++' | '--' | 'new' | @ts '<' type '>' }} postfix ;
 postfix = primary {{ '.' ( anyname | PRIVATE ) | '?.' ( anyname | PRIVATE | '(' [ args ] ')' | '[' expr ']' ) | '[' expr ']' | '(' [ args ] ')' | template | !'++' | !'--' | @ts !'!' | @ts targs ( '(' [ args ] ')' | template ) }} ;
-primary = ident | 'this' | 'super' | NUMBER | STRING | REGEX | 'null' | 'true' | 'false' | template | '(' expr ')' | '[' [ aelem ] {{ ',' [ aelem ] }} ']' | object | function | class | PRIVATE
+primary = ident [ !'=>' ( block | assign ) ] | 'this' | 'super' | NUMBER | STRING | REGEX | 'null' | 'true' | 'false' | template | '(' expr ')' | '[' [ aelem ] {{ ',' [ aelem ] }} ']' | object | function | class | PRIVATE
   | 'import' ( '(' assign [ ',' [ assign [ ',' ] ] ] ')' | '.' 'meta' ) | 'new' '.' 'target' ;
 aelem = [ '...' ] assign ;
 args = aelem {{ ',' aelem }} [ ',' ] ;
@@ -271,10 +271,10 @@ args = expr {{ ',' expr }} ;
 
 #: The lexer, grammar and dialects of each language; the first dialect is the strict one.
 LANGUAGES = {
-    "python": (lexers.python, PYTHON, ("python3",), {}),
-    "javascript": (lexers.javascript, JAVASCRIPT, ("module", "ts", "sloppy"), {"breaks": True, "eos": "eos", "barred": {"estmt": {"{", "function", "class"}}}),
-    "go": (lexers.go, GO, ("go",), {}),
-    "java": (lexers.java, JAVA, ("java",), {}),
+    "python": (lexers.python, PYTHON, ("python3",), {"inline": ("name", "op", "augop", "unary", "primary", "atom", "star", "rhs", "named", "member", "lparam", "param", "dots", "nameas", "dotted", "dotas", "entry", "strings", "sub", "withitem", "simple", "tparam", "closed")}),
+    "javascript": (lexers.javascript, JAVASCRIPT, ("module", "ts", "sloppy"), {"breaks": True, "eos": "eos", "barred": {"estmt": {"{", "function", "class"}}, "inline": ("ident", "anyname", "op", "aop", "unary", "primary", "spec", "modifier", "aelem", "note", "ret", "belem", "key", "decl", "var", "method", "fieldm", "index", "member", "prop")}),
+    "go": (lexers.go, GO, ("go",), {"inline": ("op", "assignop", "unary", "operand", "iexpr", "arg", "names", "ispec", "field", "elem", "tpar", "param")}),
+    "java": (lexers.java, JAVA, ("java",), {"inline": ("ident", "op", "prim", "first", "mod", "qname", "lparam", "apair", "par", "declarator", "targ", "tparam")}),
     "json": (lexers.json, JSON, ("strict", "relaxed"), {}),
 }
 
