@@ -30,22 +30,31 @@ def changes_strategy(spark, d):
     return S.strategy(changes_files(spark, d), baseline_exists=True, fresh=True, closure_size=40)
 
 
-def _two_graphs(spark, d):
+#: Two snapshots of the graph: what was scanned up to UNTIL, and what a later clean-up kept, scanned since SINCE.
+UNTIL, SINCE = "2025-08-01", "2025-06-01"
+
+
+def _scanned(spark, d):
+    """(id, scanned_at): when the file of every node was last scanned."""
+    from gneiss.functions.text import clean_path
     from gneiss.operators.graph import unique_nodes
 
-    n = unique_nodes(table(spark, d, "nodes"))
-    before = n.where("type <> 'constant'")
-    after = n.where("type <> 'class'").withColumn("file_path", F.when(F.col("start_line") % 7 == 0, F.concat(F.lit("moved/"), "file_path")).otherwise(F.col("file_path"))).withColumn("end_line", F.when(F.col("start_line") % 5 == 0, F.col("end_line") + 1).otherwise(F.col("end_line")))
-    return before, after
+    at = table(spark, d, "codefile").groupBy(F.col("file_path").alias("p_")).agg(F.max("scanned_at").alias("scanned_at"))
+    return unique_nodes(table(spark, d, "nodes")).withColumn("p_", clean_path(F.col("file_path"))).join(at, "p_").drop("p_")
+
+
+def _snapshots(rows):
+    day = lambda s: F.lit(s).cast("timestamp_ntz")
+    return rows.where(F.col("scanned_at") < day(UNTIL)), rows.where(F.col("scanned_at") >= day(SINCE))
 
 
 def changes_nodes(spark, d):
-    return S.graph_diff(*_two_graphs(spark, d))
+    return S.graph_diff(*_snapshots(_scanned(spark, d)))
 
 
 def changes_edges(spark, d):
-    e = table(spark, d, "edges")
-    return S.edge_diff(e.where("type <> 'IMPORTS' and substring(target, -1) not in ('0', '1')"), e.where("substring(target, -1) not in ('2', '3')"))
+    at = _scanned(spark, d).select(F.col("id").alias("source"), "scanned_at")
+    return S.edge_diff(*_snapshots(table(spark, d, "edges").join(at, "source")))
 
 
 def changes_ends(spark, d):
@@ -123,8 +132,9 @@ QUERIES = {
 }
 
 from gneiss.plans.file_queries import _FILES, _q  # noqa: E402
-from gneiss.plans.graph_queries import _UNIQUE  # noqa: E402
+from gneiss.plans.graph_queries import _CLEAN, _UNIQUE  # noqa: E402
 
+_SCANNED = _UNIQUE + f", s AS (SELECT u.*, c.scanned_at FROM u JOIN (SELECT file_path AS p, max(scanned_at) AS scanned_at FROM codefile GROUP BY 1) c ON {_CLEAN} = c.p)"
 _SHOT = "(SELECT file_path AS path, epoch(max_by(scanned_at, ingested_at)) ::DOUBLE AS mtime, max_by(n_lines, ingested_at) AS size FROM codefile WHERE file_path IS NOT NULL AND %s GROUP BY 1)"
 _CLASSIFY = f"c AS (SELECT path, CASE WHEN b.mtime IS NULL THEN 'added' WHEN a.mtime IS NULL THEN 'deleted' WHEN abs(floor(a.mtime) - floor(b.mtime)) <= 0.1 AND a.size IS NOT DISTINCT FROM b.size THEN 'unchanged' ELSE 'changed' END AS change FROM {_SHOT % f'ingested_at < TIMESTAMP {_q(DAY)}'} b FULL JOIN {_SHOT % 'n_lines > 20'} a USING (path))"
 _PACKAGES = "p AS (SELECT repo, file_path, unnest(json_keys(json_extract(raw_content, '$.packages'))) AS package, raw_content FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id) AS rn FROM codefile) WHERE rn = 1) WHERE file_path LIKE '%.json' AND contains(raw_content, '\"packages\"') AND json_valid(raw_content)), k AS (SELECT repo, file_path, package, json_extract_string(raw_content, '$.packages.\"' || package || '\".version') AS version FROM p)"
@@ -147,9 +157,8 @@ _NWORDS = " + ".join(f"contains({_T}, {_q(w)})::INT" for w in P.WORDS)
 SQL = {
     "changes_files": f"WITH {_CLASSIFY} SELECT * FROM c",
     "changes_strategy": f"WITH {_CLASSIFY}, n AS (SELECT sum((change = 'added')::INT) AS n_added, sum((change = 'changed')::INT) AS n_changed, sum((change = 'deleted')::INT) AS n_deleted FROM c) SELECT *, CASE WHEN n_added + n_changed + n_deleted = 0 THEN 'no_change' WHEN n_added + n_changed + n_deleted > 30 THEN 'full' WHEN n_added + n_changed + n_deleted <= 10 THEN 'incremental' ELSE 'full' END AS strategy FROM n",
-    "changes_nodes": f"""WITH {_UNIQUE}, b AS (SELECT * FROM u WHERE type <> 'constant'), a AS (SELECT id, name, CASE WHEN start_line % 7 = 0 THEN 'moved/' || file_path ELSE file_path END AS file_path, start_line, CASE WHEN start_line % 5 = 0 THEN end_line + 1 ELSE end_line END AS end_line FROM u WHERE type <> 'class')
- SELECT id, CASE WHEN b.name IS NULL THEN 'added' WHEN a.name IS NULL THEN 'removed' WHEN a.file_path <> b.file_path AND (a.end_line <> b.end_line) THEN 'moved and changed' WHEN a.file_path <> b.file_path THEN 'moved' WHEN a.end_line <> b.end_line THEN 'changed' ELSE 'same' END AS change FROM b FULL JOIN a USING (id)""",
-    "changes_edges": """WITH b AS (SELECT DISTINCT source, target, type FROM edges WHERE type <> 'IMPORTS' AND right(target, 1) NOT IN ('0','1')), a AS (SELECT DISTINCT source, target, type FROM edges WHERE right(target, 1) NOT IN ('2','3')), g AS (SELECT * FROM b EXCEPT SELECT * FROM a), n AS (SELECT * FROM a EXCEPT SELECT * FROM b),
+    "changes_nodes": f"WITH {_SCANNED}, b AS (SELECT * FROM s WHERE scanned_at < TIMESTAMP {_q(UNTIL)}), a AS (SELECT * FROM s WHERE scanned_at >= TIMESTAMP {_q(SINCE)}) SELECT id, CASE WHEN b.name IS NULL THEN 'added' WHEN a.name IS NULL THEN 'removed' ELSE 'same' END AS change FROM b FULL JOIN a USING (id)",
+    "changes_edges": f"""WITH {_SCANNED}, x AS (SELECT source, target, e.type, scanned_at FROM edges e JOIN s ON e.source = s.id), b AS (SELECT DISTINCT source, target, type FROM x WHERE scanned_at < TIMESTAMP {_q(UNTIL)}), a AS (SELECT DISTINCT source, target, type FROM x WHERE scanned_at >= TIMESTAMP {_q(SINCE)}), g AS (SELECT * FROM b EXCEPT SELECT * FROM a), n AS (SELECT * FROM a EXCEPT SELECT * FROM b),
  r AS (SELECT g.source, min(g.target) AS target, g.type, 'rerouted' AS change, min(n.target) AS other FROM g JOIN n USING (source, type) GROUP BY g.source, g.type HAVING count(*) = 1)
  SELECT * FROM r UNION ALL SELECT source, target, type, 'removed', NULL FROM g WHERE (source, type) NOT IN (SELECT (source, type) FROM r) UNION ALL SELECT source, target, type, 'added', NULL FROM n WHERE (source, type) NOT IN (SELECT (source, type) FROM r)""",
     "changes_ends": f"WITH {_FILES}, g AS (SELECT file_id, unnest(functions) AS fn FROM f), h AS (SELECT file_id, fn.name AS name, fn.start_line AS start_line, fn.end_line + 3 AS e, lead(fn.start_line) OVER (PARTITION BY file_id ORDER BY fn.start_line) AS nx FROM g) SELECT file_id, name, start_line, CASE WHEN nx IS NOT NULL AND e >= nx AND nx > start_line THEN nx - 1 ELSE e END AS end_line FROM h",
