@@ -166,6 +166,8 @@ SQL = {
     "deps_affected": _AFFECTED + " SELECT * FROM a",
     "deps_scores": _AFFECTED + " SELECT repo, count(*) AS n, greatest(0, 100 - sum(CASE severity WHEN 'critical' THEN 25 WHEN 'high' THEN 15 WHEN 'medium' THEN 5 ELSE 2 END))::INT AS score FROM (SELECT DISTINCT repo, package, advisory, severity FROM a) GROUP BY repo",
     "deps_env": rf"""WITH {_FILES}, l AS (SELECT file_path, unnest(string_split(replace(raw_content, chr(13), ''), chr(10))) AS line FROM f WHERE raw_content IS NOT NULL AND regexp_matches(file_path, '\.env(\.\w+)?$')), p AS (SELECT file_path, regexp_extract(line, '^\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(.*?)\s*$', 1) AS key, regexp_extract(line, '^\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(.*?)\s*$', 2) AS v FROM l) SELECT file_path, key, regexp_replace(regexp_replace(v, '^"(.*)"$', '\1'), '^''(.*)''$', '\1') AS value FROM p WHERE key <> ''""",
+    "deps_built_graph": rf"""WITH {_FILES}, w AS (SELECT DISTINCT file_path, regexp_extract(i, '([\w-]+)$', 1) AS name FROM (SELECT file_path, unnest(imports) AS i FROM f)), k AS (SELECT DISTINCT regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\.[A-Za-z0-9]+$', '') AS name FROM f)
+ SELECT 'module' AS type, count(*) AS n FROM f UNION ALL SELECT 'function', sum(len(functions)) FROM f UNION ALL SELECT 'CONTAINS', sum(len(functions)) FROM f UNION ALL (SELECT 'IMPORTS', count(*) FROM w JOIN k USING (name) WHERE name <> '' HAVING count(*) > 0)""",
     "prompts_mined": f"WITH n AS (SELECT doc_id, text, kind, {_NWORDS} AS n_words FROM documents) SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, {_q(p)}) THEN {_q(t)}" for t, p in P.TYPES) + " ELSE 'other' END AS prompt_type, n_words, left(sha256(text), 16) AS hash FROM n WHERE (length(text) >= 100 AND n_words >= 2) OR (kind = 'prompt' AND text IS NOT NULL)",
     "prompts_injections": " UNION ALL ".join(f"SELECT doc_id, {_q(n)} AS \"group\" FROM documents WHERE regexp_matches(substring(text, 1, {P.SCANNED}), {_q(p)})" for n, p in P.INJECTION.items()),
     "prompts_formats": "WITH r AS (" + " UNION ".join(f"SELECT source, {_q(n)} AS f FROM documents WHERE regexp_matches(text, {_q(p)})" for n, p in P.FORMATS.items()) + ") SELECT source, count(*) AS n_formats, string_agg(f, ',' ORDER BY f) AS formats, count(*) > 1 AS conflict FROM r GROUP BY source",

@@ -232,6 +232,9 @@ SQL = {
     "files_latest": f"WITH {_FILES} SELECT file_id, file_path, ingested_at, md5(coalesce(raw_content, '')) AS digest FROM f",
     "files_long_functions": _FUNCS + "SELECT file_id, name, start_line, n_lines, CASE WHEN n_lines > 300 THEN 'critical' WHEN n_lines > 200 THEN 'high' WHEN n_lines > 150 THEN 'medium' ELSE 'low' END AS severity FROM fs WHERE n_lines > 100",
     "files_complexity": _FUNCS + r", b AS (SELECT *, len(regexp_extract_all(code, '\b(?:if|elif|for|while|except|case|catch)\b')) + 1 AS branches FROM fs) SELECT file_id, name, start_line, branches, CASE WHEN branches > 30 THEN 'critical' WHEN branches > 20 THEN 'high' WHEN branches > 15 THEN 'medium' ELSE 'low' END AS severity FROM b WHERE branches > 10",
+    "files_cognitive": _FUNCS
+    + r""", w AS (SELECT file_id, name, start_line, list_prepend({'w': '', 'n': 0, 'd': 0}, list_transform(regexp_extract_all(code, '\b(?:if|for|while|except|catch|else|and|or|return)\b|&&|\|\|'), lambda x: {'w': x, 'n': 0, 'd': 0})) AS s FROM fs),
+ r AS (SELECT file_id, name, start_line, list_reduce(s, lambda a, b: {'w': '', 'n': a.n + CASE WHEN b.w IN ('if','for','while','except','catch') THEN 1 + a.d WHEN b.w = 'return' THEN 0 ELSE 1 END, 'd': a.d + CASE WHEN b.w IN ('if','for','while','except','catch') AND a.d < 3 THEN 1 ELSE 0 END}).n AS load FROM w) SELECT file_id, name, start_line, load FROM r WHERE load >= 15""",
     "files_parameters": _FUNCS + r", b AS (SELECT *, regexp_extract(code, '\(([^()]*)\)', 1) AS p FROM fs), c AS (SELECT *, CASE WHEN trim(p) = '' THEN 0 ELSE len(regexp_extract_all(p, ',')) + 1 END AS n FROM b) SELECT file_id, name, start_line, n FROM c WHERE n > 2",
     "files_naming": _FUNCS + "SELECT DISTINCT file_id, name, lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g')) AS suggestion FROM fs WHERE lang = 'python' AND regexp_matches(name, '[A-Z]')",
     "files_duplicates": "SELECT digest, count(*) AS n, min(file_id) AS first_id FROM (SELECT DISTINCT file_id, md5(raw_content) AS digest FROM codefile WHERE trim(raw_content) <> '') GROUP BY digest HAVING count(*) > 1",

@@ -98,6 +98,10 @@ _W = f"WITH {_FILES}, {_LINES} "
 _TAIL = lambda c: f"array_to_string(string_split({c}, '/')[-2:], '/')"
 
 SQL = {
+    "verify_flow": f"""WITH RECURSIVE {_UNIQUE}, fn AS (SELECT id, name FROM u WHERE type IN ('function','method')), e0 AS (SELECT min_by(id, (CASE WHEN name = 'trim_raw' THEN 0 ELSE 1 END, id)) AS id FROM fn WHERE contains(lower(name), 'trim_raw') HAVING count(*) > 0),
+ r AS (SELECT id, 0 AS depth FROM e0 UNION SELECT e.target, r.depth + 1 FROM r JOIN edges e ON e.source = r.id AND e.type = 'CALLS' WHERE r.depth < 8), k AS (SELECT id, min(depth) AS depth FROM r GROUP BY id),
+ st AS (SELECT unnest([1, 2, 3, 4]) AS step_no, unnest(['load_', 'trim', 'publish', 'no such step']) AS step), h AS (SELECT step_no, step, name, depth, row_number() OVER (PARTITION BY step_no ORDER BY depth IS NULL, depth NULLS FIRST, name) AS rn FROM st JOIN fn ON contains(lower(name), step) LEFT JOIN k USING (id)),
+ b AS (SELECT st.step_no, st.step, h.name AS symbol, h.depth FROM st LEFT JOIN h ON st.step_no = h.step_no AND rn = 1) SELECT step_no, step, symbol, depth, CASE WHEN symbol IS NULL THEN 'missing' WHEN depth IS NULL THEN 'outside' WHEN coalesce(max(depth) OVER (ORDER BY step_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) <= depth THEN 'ordered' ELSE 'in_pipeline' END AS status FROM b""",
     "verify_modules": f"""WITH RECURSIVE {_UNIQUE}, r AS (SELECT id, 0 AS depth FROM nodes WHERE type = 'function' AND name LIKE 'trim%' UNION SELECT e.target, r.depth + 1 FROM r JOIN edges e ON e.source = r.id AND e.type = 'CALLS' WHERE r.depth < 8),
  g AS (SELECT regexp_replace({_CLEAN}, '/?[^/]*$', '') AS folder, count(*) AS n, sum((id IN (SELECT id FROM r))::INT) AS n_reached FROM u WHERE type IN ('function','method') GROUP BY 1) SELECT *, CASE WHEN n_reached = 0 THEN 'unverified' WHEN n_reached = n THEN 'confirmed' ELSE 'partial' END AS status FROM g""",
     "verify_citations": f"WITH c AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '`([\\w./-]+\\.[a-z]+)`', 1)) AS cited FROM documents) SELECT doc_id, cited, {_TAIL('cited')} IN (SELECT {_TAIL('file_path')} FROM codefile) AS known FROM c",
