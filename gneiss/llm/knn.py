@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 SAMPLE, ROUNDS = 20_000, 8
 #: Entries that a query compares at least, and entries of a group at most; bounds of the number of centroids of a half, and
 #: vectors per pair of centroids that the number aims at.
-CANDIDATES, GROUP = 10_000, 32_000
+CANDIDATES, GROUP = 15_000, 32_000
 FEWEST, MOST, DENSITY = 8, 1024, 150
 
 
@@ -70,6 +70,10 @@ class Index:
         self.sizes: dict[int, int] = {}
         self.groups: dict[int, tuple[int, int]] = {}  # cell: first group, number of blocks
 
+    def kind(self) -> type:
+        """The smallest type that holds the number of a cell."""
+        return np.uint16 if len(self.books[0]) * len(self.books[1]) <= 1 << 16 else np.int32
+
     def cells(self, x: np.ndarray) -> np.ndarray:
         h = x.shape[1] // 2
         return _nearest(x[:, :h], self.books[0]) * len(self.books[1]) + _nearest(x[:, h:], self.books[1])
@@ -185,6 +189,7 @@ def neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embedding",
     def spread(batches):
         """Entries (cells null) go to their group, queries to every group they visit with the cells there."""
         ix = known.value
+        kind = ix.kind()
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
@@ -210,15 +215,16 @@ def neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embedding",
                         groups.append(g)
                         keys.append(ids[i])
                         packed.append(small[i].tobytes())
-                        lists.append(list_)
+                        lists.append(np.array(list_, kind).tobytes())
                         own.append(-1)
-                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(own, pa.int32()), pa.array(keys, pa.string()), pa.array(packed, pa.binary()), pa.array(lists, pa.list_(pa.int32()))], names=["g_", "own", "k_", "x_", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(own, pa.int32()), pa.array(keys, pa.string()), pa.array(packed, pa.binary()), pa.array(lists, pa.binary())], names=["g_", "own", "k_", "x_", "cells"])
 
-    sent = rows.mapInArrow(spread, "g_ int, own int, k_ string, x_ binary, cells array<int>")
+    sent = rows.mapInArrow(spread, "g_ int, own int, k_ string, x_ binary, cells binary")
     # within a partition entries come before the queries of their group
     parts = sent.repartition("g_").sortWithinPartitions("g_", F.col("cells").isNotNull())
 
     def search(batches):
+        kind = known.value.kind()
         group_now, entries, ids, store = None, [], [], None
         for b in batches:
             gs = b.column(0).to_numpy()
@@ -243,7 +249,7 @@ def neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embedding",
                 for at in range(start, len(is_query), 512):
                     q = part.slice(at, 512)
                     keys = q.column(2).to_pylist()
-                    best = store.search(_halves(q.column(3), dim), keys, q.column(4), k)
+                    best = store.search(_halves(q.column(3), dim), keys, [np.frombuffer(c, kind) for c in q.column(4).to_pylist()], k)
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(best, pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float32())])))], names=["k_", "near"])
 
     found = parts.mapInArrow(search, schema)
@@ -286,8 +292,8 @@ class _Store:
 
     def search(self, q: np.ndarray, keys: list[str], visited, k: int) -> list[list[tuple]]:
         """The k best entries for each query among the cells it visits; a running bar keeps what can't be among them out."""
-        lengths = np.diff(visited.offsets.to_numpy())
-        flat = visited.flatten().to_numpy()
+        lengths = np.array([len(c) for c in visited])
+        flat = np.concatenate(visited).astype(np.int64)
         who = np.repeat(np.arange(len(keys)), lengths)
         # each query's nearest cells come first, so its bar is high early
         turn = np.concatenate([np.arange(n) for n in lengths]) if len(lengths) else np.zeros(0, int)
