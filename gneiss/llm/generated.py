@@ -44,9 +44,9 @@ _TOOL = re.compile(
 )
 _FREELY = re.compile(r"(?i)\bedit freely\b|\bask before changing\b|\bis written by this job\b|\bscript that (?:re)?generates\b")
 _COPY = re.compile(
-    r"(?i)\bupstream copy\b|\bpart of the ([\w.-]+) project, (?:release|version) v?\d|^\W*([\w.-]+) v?\d+\.\d+(?:\.\d+)?\b.*(?:https?://|\breleased under\b|\blicen[cs]e[ds]?\b|\bupstream\b|\(c\))|\bvendored (?:from|copy)\b|\bcopied (?:verbatim )?from (?:https?://|upstream)|\bthird[- ]party copy\b"
+    r"(?i)\bupstream copy\b|\bpart of the ([\w.-]{1,80}) project, (?:release|version) v?\d|^\W{0,40}([\w.-]{1,80}) v?\d+\.\d+(?:\.\d+)?\b.*(?:https?://|\breleased under\b|\blicen[cs]e[ds]?\b|\bupstream\b|\(c\))|\bvendored (?:from|copy)\b|\bcopied (?:verbatim )?from (?:https?://|upstream)|\bthird[- ]party copy\b"
 )
-_LIBRARY = re.compile(r"(?i)\bpart of the ([\w.-]+) project\b|^\W*([a-z][\w.-]*?) v?\d+\.\d+(?:\.\d+)?\b")
+_LIBRARY = re.compile(r"(?i)\bpart of the ([\w.-]{1,80}) project\b|^\W{0,40}([a-z][\w.-]{0,80}?) v?\d+\.\d+(?:\.\d+)?\b")
 _BANNER = re.compile(r"/\*!\s*([\w.-]+) v?\d+\.\d+[\w.]*\s*(?:\||\*/|-)")
 #: Folders of third-party copies, fixed values; a folder below one of these is one library.
 FOLDERS = r"(?:^|/)(?:vendor|_vendor|third_party|third-party|thirdparty|3rdparty|node_modules|bower_components|externals?|static/libs?|site-packages|jspm_packages|Pods)/[^/]+/"

@@ -409,3 +409,51 @@ def test_queries_equal_sql(spark, data):
     for name, sql in queries.SQL.items():
         got = queries.QUERIES[name](spark, data.replace("sf0.001", "sf0.01"))
         assert sorted(map(tuple, got.collect())) == sorted(con.execute(sql).fetchall())
+
+
+# long texts
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000, '"' * 100_000, "<" * 100_000, "-" * 100_000, "%41" * 50_000, "\\x41" * 30_000, "/*" * 50_000, "( " * 50_000, "password = " * 20_000, "文" * 100_000, "\n" * 100_000])
+def test_long_texts_end_soon(text):
+    import time
+
+    began = time.time()
+    secrets.scan(text)
+    truncation.ending(text)
+    truncation.lengths(text)
+    for language in ("python", "javascript"):
+        for _, part in prose.pieces(text, language, "function"):
+            prose.segments(part)
+        docpairs.comment_of(text, language)
+        generated.measures(text, language)
+    docpairs.meaningful(text, "f")
+    generated.notice(text)
+    for extension in invalid.EXTENSIONS:
+        invalid.check(text, extension)
+    edges = splitting.pieces(text)
+    assert edges[-1][1] == len(text) and all(b - a <= 6000 for a, b, _ in edges)
+    bpe.ByteBPE.load().encode(text)
+    assert time.time() - began < 60
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a/x.py", "repo", "password = 'Filte-lkxe3963'\n", "s", "Text ends he", 1, 2, 3, 4)], "file_id bigint, file_path string, repo string, raw_content string, source string, text string, k_ int, t_ int, cut int, n int")
+    docs = df.withColumn("doc_id", F.col("file_id"))
+    assert secrets.find(df, "codefile", "file_id", "raw_content").count() == 1
+    assert truncation.judged(docs).count() == 1 and bpe.encode(docs).count() == 1
+    assert invalid.judged(df).first()["valid"] and generated.judged(df).count() == 1
+    assert packing.fill(packing.sizes(docs)).count() == 1
+    chunks = df.withColumnRenamed("raw_content", "code").withColumn("chunk_id", F.lit("c")).withColumn("chunk_type", F.lit("function")).withColumn("name", F.lit("f")).withColumn("docstring", F.lit("Counts the rows of every open table.")).withColumn("start_line", F.lit(1)).withColumn("embedding", F.array(F.lit(1.0).cast("float"), F.lit(2.0).cast("float")))
+    assert docpairs.pairs(chunks).count() == 1 and splitting.split(chunks, limit=10, overlap=2).count() > 1 and knn.neighbours(chunks).count() <= 1
+
+
+def test_empty_tables(spark):
+    files = spark.createDataFrame([], "file_id bigint, file_path string, repo string, raw_content string")
+    docs = spark.createDataFrame([], "doc_id bigint, text string, source string, lang string")
+    chunks = spark.createDataFrame([], "chunk_id string, file_path string, chunk_type string, name string, code string, docstring string, start_line int, embedding array<float>")
+    assert generated.judged(files).count() == invalid.judged(files).count() == secrets.find(files, "codefile", "file_id", "raw_content").count() == 0
+    assert invalid.rates(invalid.judged(files)).where("repo is not null").count() == 0
+    assert truncation.judged(docs).count() == truncation.rates(docs).count() == bpe.encode(docs).count() == packing.fill(packing.sizes(docs)).count() == 0
+    assert docpairs.pairs(chunks).count() == splitting.split(chunks).count() == knn.pairs(knn.neighbours(chunks)).count() == 0
+    assert prose.found(chunks, prose.fit(docs, chunks)).count() == 0
