@@ -58,6 +58,27 @@ def duplicates(files: DataFrame) -> DataFrame:
     return f.groupBy("digest").agg(F.count("*").alias("n"), F.min("file_id").alias("first_id")).where("n > 1")
 
 
+def same_heads(files: DataFrame, head: int = 100) -> DataFrame:
+    """(size, digest, n, first_path): files of one size whose first lines are the same; the smallest path is the one to keep."""
+    f = files.where("trim(raw_content) <> ''").dropDuplicates(["file_id"])
+    start = F.md5(F.array_join(F.slice(T.lines(F.col("raw_content")), 1, head), "\n"))
+    return f.groupBy(F.length("raw_content").alias("size"), start.alias("digest")).agg(F.count("*").alias("n"), F.min("file_path").alias("first_path")).where("n > 1")
+
+
+#: Paths that a repository should not hold.
+UNWANTED = {"dependencies": r"(^|/)(node_modules|site-packages|\.venv|venv)/", "products": r"(^|/)(dist|build|target|out)/", "caches": r"(^|/)(__pycache__|\.pytest_cache|\.mypy_cache)/|\.pyc$", "settings": r"(^|/)[^/]*\.env$", "logs": r"\.(log|tmp|bak|swp)$"}
+
+
+def unwanted(files: DataFrame) -> DataFrame:
+    """(repo, kind, n_files, size): files that should have been ignored, the first kind that fits."""
+    kind = None
+    for name, p in UNWANTED.items():
+        test = F.col("file_path").rlike(p)
+        kind = F.when(test, name) if kind is None else kind.when(test, name)
+    f = files.dropDuplicates(["file_id"]).withColumn("kind", kind).where("kind is not null")
+    return f.groupBy("repo", "kind").agg(F.count("*").alias("n_files"), F.sum(F.coalesce(F.length("raw_content"), F.lit(0))).alias("size"))
+
+
 def same_name_groups(files: DataFrame) -> DataFrame:
     """(name, n): base names that several directories have."""
     return files.select("file_path", T.base_name(F.col("file_path")).alias("name")).distinct().groupBy("name").agg(F.count("*").alias("n")).where("n > 1")

@@ -114,6 +114,18 @@ def files_duplicates(spark, d):
     return O.duplicates(table(spark, d, "codefile"))
 
 
+def files_same_heads(spark, d):
+    return O.same_heads(_files(spark, d))
+
+
+def files_same_names(spark, d):
+    return O.same_name_groups(_files(spark, d))
+
+
+def files_unwanted(spark, d):
+    return O.unwanted(_files(spark, d))
+
+
 def files_blank(spark, d):
     return O.blank(_files(spark, d))
 
@@ -177,7 +189,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lines_security, lines_quality, lines_governance, lines_agent, lines_resilience, lines_first_hits, lines_confirmed, lines_todo, lines_commented_code, lines_deep_nesting, lines_magic_numbers, lines_io_in_loops, lines_docstrings, lines_silent_except,
-        lines_absent_signals, files_latest, files_long_functions, files_complexity, files_cognitive, files_parameters, files_naming, files_duplicates, files_blank, files_no_final_newline, files_documentation,
+        lines_absent_signals, files_latest, files_long_functions, files_complexity, files_cognitive, files_parameters, files_naming, files_duplicates, files_same_heads, files_same_names, files_unwanted, files_blank, files_no_final_newline, files_documentation,
         files_missing_modules, files_dead_imports, files_dead_functions, files_env_unreferenced, files_maturity, files_capabilities, files_capability_gaps, files_capability_clusters, files_architectures, files_languages,
     )
 }
@@ -238,6 +250,9 @@ SQL = {
     "files_parameters": _FUNCS + r", b AS (SELECT *, regexp_extract(code, '\(([^()]*)\)', 1) AS p FROM fs), c AS (SELECT *, CASE WHEN trim(p) = '' THEN 0 ELSE len(regexp_extract_all(p, ',')) + 1 END AS n FROM b) SELECT file_id, name, start_line, n FROM c WHERE n > 2",
     "files_naming": _FUNCS + "SELECT DISTINCT file_id, name, lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g')) AS suggestion FROM fs WHERE lang = 'python' AND regexp_matches(name, '[A-Z]')",
     "files_duplicates": "SELECT digest, count(*) AS n, min(file_id) AS first_id FROM (SELECT DISTINCT file_id, md5(raw_content) AS digest FROM codefile WHERE trim(raw_content) <> '') GROUP BY digest HAVING count(*) > 1",
+    "files_same_heads": f"WITH {_FILES} SELECT length(raw_content) AS size, md5(array_to_string(string_split(replace(raw_content, chr(13), ''), chr(10))[1:100], chr(10))) AS digest, count(*) AS n, min(file_path) AS first_path FROM f WHERE trim(raw_content) <> '' GROUP BY 1, 2 HAVING count(*) > 1",
+    "files_same_names": f"WITH {_FILES} SELECT regexp_extract(file_path, '([^/]*)$', 1) AS name, count(DISTINCT file_path) AS n FROM f GROUP BY 1 HAVING count(DISTINCT file_path) > 1",
+    "files_unwanted": f"WITH {_FILES}, k AS (SELECT repo, raw_content, CASE " + " ".join(f"WHEN regexp_matches(file_path, {_q(p)}) THEN {_q(n)}" for n, p in O.UNWANTED.items()) + " END AS kind FROM f) SELECT repo, kind, count(*) AS n_files, sum(coalesce(length(raw_content), 0)) AS size FROM k WHERE kind IS NOT NULL GROUP BY 1, 2",
     "files_blank": _W + r", m AS (SELECT file_id, max((trim(line) <> '' AND NOT regexp_matches(line, '^\s*(#|//|\*|/\*|import\b|from\b|package\b)'))::INT) AS meaning FROM l GROUP BY 1), k AS (SELECT f.file_id, CASE WHEN raw_content = '' THEN 'empty' WHEN regexp_replace(raw_content, '\s', '', 'g') = '' THEN 'blank' WHEN meaning = 0 THEN 'shell' END AS kind FROM f JOIN m USING (file_id)) SELECT * FROM k WHERE kind IS NOT NULL",
     "files_no_final_newline": f"WITH {_FILES} SELECT file_id FROM f WHERE raw_content <> '' AND NOT ends_with(raw_content, chr(10))",
     "files_documentation": "WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id) AS rn FROM chunks) WHERE rn = 1 AND lower(chunk_type) IN ('function','method')) SELECT regexp_replace(file_path, '/?[^/]*$', '') AS folder, count(*) AS n_functions, sum((trim(coalesce(docstring, '')) <> '')::INT) AS n_documented, round(avg((trim(coalesce(docstring, '')) <> '')::INT), 4) AS share FROM c GROUP BY 1",
