@@ -123,14 +123,15 @@ PACKS = {"security": SECURITY, "quality": QUALITY, "governance": GOVERNANCE, "ag
 
 def latest(files: DataFrame) -> DataFrame:
     """One row per file_id: the delivery that came in last; among equal times the largest content."""
-    rest = [c for c in files.columns if c not in ("file_id", "ingested_at")]
-    top = files.groupBy("file_id").agg(F.max_by(F.struct(*rest), F.struct("ingested_at", "raw_content")).alias("r"), F.max("ingested_at").alias("ingested_at"))
-    return top.select("file_id", *[F.col(f"r.{c}").alias(c) for c in rest], "ingested_at")
+    first = [c for c in ("ingested_at", "raw_content") if c in files.columns]
+    rest = [c for c in files.columns if c not in ("file_id", *first)]
+    top = files.groupBy("file_id").agg(F.max(F.struct(*first, *rest)).alias("r"))  # every column once in the shuffle
+    return top.select("file_id", *[F.col(f"r.{c}").alias(c) for c in (*rest, *first)])
 
 
 def lines(files: DataFrame, key: str = "file_id") -> DataFrame:
     """(key, file_path, language, line_no from 1, line) of every line of every file with content, once per key."""
-    own = files.where(F.col("raw_content").isNotNull()).dropDuplicates([key])
+    own = files.where(F.col("raw_content").isNotNull()).select(key, "file_path", "raw_content").dropDuplicates([key])
     return own.select(key, "file_path", T.language(F.col("file_path")).alias("language"), F.posexplode(T.lines(F.col("raw_content"))).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 

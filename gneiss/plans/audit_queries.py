@@ -12,7 +12,7 @@ from gneiss.session import table
 
 
 def _found(spark, d):
-    return A.rule_findings(L.latest(table(spark, d, "codefile")))
+    return A.rule_findings(L.latest(table(spark, d, "codefile").select("file_id", "file_path", "raw_content", "ingested_at")))
 
 
 def audit_findings(spark, d):

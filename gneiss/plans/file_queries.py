@@ -10,16 +10,18 @@ from gneiss.operators import lines as L
 from gneiss.session import table
 
 
-def _files(spark, d):
-    return L.latest(table(spark, d, "codefile"))
+def _files(spark, d, *columns):
+    """The last deliveries; only the columns named go through the shuffle."""
+    files = table(spark, d, "codefile")
+    return L.latest(files.select("file_id", "ingested_at", "raw_content", *columns) if columns else files)
 
 
 def _rows(spark, d):
-    return L.lines(_files(spark, d))
+    return L.lines(_files(spark, d, "file_path"))
 
 
 def _fs(spark, d):
-    return O.functions(_files(spark, d))
+    return O.functions(_files(spark, d, "file_path", "functions"))
 
 
 def lines_security(spark, d):
@@ -127,11 +129,11 @@ def files_unwanted(spark, d):
 
 
 def files_blank(spark, d):
-    return O.blank(_files(spark, d))
+    return O.blank(_files(spark, d, "file_path"))
 
 
 def files_no_final_newline(spark, d):
-    return O.no_final_newline(_files(spark, d))
+    return O.no_final_newline(_files(spark, d, "file_path"))
 
 
 def files_documentation(spark, d):
@@ -143,7 +145,7 @@ def files_missing_modules(spark, d):
 
 
 def files_dead_imports(spark, d):
-    return O.dead_imports(_files(spark, d))
+    return O.dead_imports(_files(spark, d, "file_path", "imports"))
 
 
 def files_dead_functions(spark, d):
@@ -151,19 +153,19 @@ def files_dead_functions(spark, d):
 
 
 def files_env_unreferenced(spark, d):
-    return O.env_unreferenced(_files(spark, d))
+    return O.env_unreferenced(_files(spark, d, "file_path", "repo"))
 
 
 def files_maturity(spark, d):
-    return O.maturity(_files(spark, d))
+    return O.maturity(_files(spark, d, "file_path", "repo"))
 
 
 def files_capabilities(spark, d):
-    return O.capabilities(_files(spark, d))
+    return O.capabilities(_files(spark, d, "repo"))
 
 
 def files_capability_gaps(spark, d):
-    return O.capability_gaps(O.capabilities(_files(spark, d)))
+    return O.capability_gaps(O.capabilities(_files(spark, d, "repo")))
 
 
 def files_capability_clusters(spark, d):
@@ -171,7 +173,7 @@ def files_capability_clusters(spark, d):
     from gneiss.operators.graph import components
     from gneiss.session import cut
 
-    found = cut(O.capabilities(_files(spark, d)))
+    found = cut(O.capabilities(_files(spark, d, "repo")))
     clusters = components(O.signature_pairs(found))
     return found.join(clusters, found.signature == clusters.id, "left").select(F.coalesce("component", "signature").alias("cluster")).groupBy("cluster").agg(F.count("*").alias("n_files"))
 
