@@ -6,8 +6,8 @@ licence banners of minifiers), and the comments at the head of every file are hi
 third-party code look like any other; they are told by their notices, by the names of their folders, and by folders
 named after a library that notices elsewhere name. Data and lock files are told by how little code they hold.
 
-The forest is fitted on every file with a tool's notice and, as others, on at most OTHERS files without any notice or
-telling path, those with the smallest hashes of their ids; with fewer than LEAST labels of a kind there is no forest.
+The forest is fitted on at most OTHERS files with a tool's notice and as many without any notice or telling path, those
+with the smallest hashes of their ids; with fewer than LEAST labels of a kind there is no forest.
 
 Defined cases: null and empty content is never a case by its look; a file delivered twice counts once; file paths may
 use either separator; extra columns are ignored, whatever their names.
@@ -29,7 +29,7 @@ from gneiss.llm import lexing
 from gneiss.llm.batches import hashed, map_rows
 from gneiss.session import cut
 
-#: Files without notices that the forest is fitted on at most, fewest labels of a kind, trees and their depth.
+#: Files of either label that the forest is fitted on at most, fewest labels of a kind, trees and their depth.
 OTHERS, LEAST, TREES, DEPTH = 20_000, 4, 80, 10
 #: Likelihood of a tool from which a file is a case; the two kinds leave a wide gap around it.
 THRESHOLD = 0.15
@@ -177,7 +177,7 @@ def by_path():
 def fit(found: DataFrame) -> RandomForestClassificationModel | None:
     """The forest, or None where labels are too few."""
     telling = (F.col("notice") != "") | (by_path() != "") | F.col("path").rlike(TOOL_FILES) | F.col("data")
-    tools = found.where(F.col("notice").isin("tool", "minified")).select("features", F.lit(1.0).alias("label"))
+    tools = hashed(found.where(F.col("notice").isin("tool", "minified")), "file_id", OTHERS).select("features", F.lit(1.0).alias("label"))
     others = hashed(found.where(~telling & (F.element_at("features", -2) > 3)), "file_id", OTHERS).select("features", F.lit(0.0).alias("label"))
     both = tools.unionByName(others)
     sizes = {r["label"]: r["n"] for r in both.groupBy("label").agg(F.count("*").alias("n")).collect()}
