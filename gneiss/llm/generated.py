@@ -32,7 +32,7 @@ from gneiss.session import cut
 #: Files of either label that the forest is fitted on at most, fewest labels of a kind, trees and their depth.
 OTHERS, LEAST, TREES, DEPTH = 20_000, 4, 80, 10
 #: Likelihood of a tool from which a file is a case; the two kinds leave a wide gap around it.
-THRESHOLD = 0.15
+THRESHOLD = 0.1
 #: The likelihood that is enough where the name of file or folder says generated as well.
 NAMED = 0.08
 #: Lines at the head of a file in which a notice counts.
@@ -63,6 +63,7 @@ _TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\w\s]")
 _NAME = re.compile(r"[^\W\d]\w*")
 _FLOW = frozenset("if else elif for while return try catch except finally switch case break continue throw raise await yield".split())
 _LITERAL = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
+_PACKED = re.compile(r"(?m)^[ \t]*[A-Za-z0-9+/=_-]{40,}[ \t]*\r?$")  # a line of a literal that goes over many
 _NUMBERS = re.compile(r"(?:-?\b\d[\w.]*\b\s*,?\s*)+")
 
 
@@ -129,7 +130,7 @@ def measures(text: str, language: str) -> list[float]:
     shapes = {re.sub(r"\d+", "0", re.sub(r"[^\W\d]\w*", "a", x.strip())) for x in full}
     literals = [len(m) for _, m in _LITERAL.findall(body)]
     numbers = sum(len(m) for m in _NUMBERS.findall(body) if len(m) > 20)
-    packed = sum(x for x in literals if x >= 40) + numbers
+    packed = sum(x for x in literals if x >= 40) + numbers + sum(map(len, _PACKED.findall(body)))
     left = n - packed - sum(c.isspace() for c in body)
     return [
         len(zlib.compress(raw, 6)) / len(raw), entropy, mean, deviation, len(set(names)) / max(1, len(names)), comments / n, n / len(lines), math.log1p(max(map(len, full))),
