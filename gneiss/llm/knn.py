@@ -13,7 +13,7 @@ The codebooks are fitted on at most SAMPLE vectors, those with the smallest hash
 indexed and every vector is a query. The number of centroids grows with the root of the number of vectors.
 
 Defined cases: null, all-zero, non-finite and wrongly sized vectors take no part; an id counts once, with its smallest
-vector should they differ; fewer than k others give as many as there are; ties go to the smaller id.
+usable vector should they differ, before anything is counted or searched; fewer than k others give as many as there are; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -25,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.session import cut
+
 SAMPLE, ROUNDS = 20_000, 8
 #: Entries that a query compares at least, and entries of a group at most; bounds of the number of centroids of a half, and
 #: vectors per pair of centroids that the number aims at.
 CANDIDATES, GROUP = 10_000, 32_000
 FEWEST, MOST, DENSITY = 8, 1024, 150
+#: Slots of the hashes of ids; those that hold a repeated id are broadcast.
+SLOTS = 1 << 20
 
 
 def centroids(n: int) -> int:
@@ -148,8 +152,22 @@ def unit(flat: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    v = F.col(vector)
-    return df.where(v.isNotNull() & (F.size(v) == dim) & F.col(key).isNotNull() & ~F.exists(v, lambda x: x.isNull()) & F.exists(v, lambda x: x != 0)).select(F.col(key).cast("string").alias("k_"), v.alias("v_"))
+    """(k_, v_): the usable vectors, repeated ids among them."""
+    v = F.col(vector).cast("array<float>")
+    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = df.where(v.isNotNull() & (F.size(v) == dim) & F.col(key).isNotNull() & ~odd & F.exists(v, lambda x: x != 0))
+    return rows.select(F.col(key).cast("string").alias("k_"), v.alias("v_"))
+
+
+def _once(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(one row per id, with its smallest vector; their number). Only ids in a slot with a repeated one have their vectors shuffled."""
+    counts = rows.groupBy(F.xxhash64("k_").alias("h_")).agg(F.count("*").alias("c_"))
+    slots = cut(counts.groupBy(F.pmod("h_", F.lit(SLOTS)).alias("s_")).agg(F.count("*").alias("ids"), F.max("c_").alias("most")))
+    n = slots.agg(F.sum("ids")).first()[0] or 0
+    repeated = F.broadcast(slots.where("most > 1").select("s_"))  # at most SLOTS numbers
+    placed = rows.withColumn("s_", F.pmod(F.xxhash64("k_"), F.lit(SLOTS)))
+    single = placed.join(repeated, "s_", "left_anti").select("k_", "v_")
+    return single.unionAll(placed.join(repeated, "s_", "left_semi").groupBy("k_").agg(F.min("v_").alias("v_"))), n
 
 
 def neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", k: int = 5, candidates: int = CANDIDATES, group: int = GROUP) -> DataFrame:
@@ -160,10 +178,10 @@ def neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embedding",
     if not sizes_seen:
         return spark.createDataFrame([], schema).withColumnRenamed("k_", key)
     top = max(sizes_seen, key=lambda r: (r["n"], r["dim"]))
-    dim, n = top["dim"], top["n"]
-    rows = _usable(df, key, vector, dim)
+    dim = top["dim"]
+    rows, n = _once(_usable(df, key, vector, dim))
     # the sample: an expected SAMPLE rows by hash, cut to SAMPLE
-    share = min(1.0, SAMPLE / n)
+    share = min(1.0, SAMPLE / max(n, 1))
     sample = rows.where(F.pmod(F.xxhash64("k_"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(SAMPLE).select("k_", "v_").toArrow()
     if sample.num_rows == 0:
         return spark.createDataFrame([], schema).withColumnRenamed("k_", key)
@@ -255,7 +273,7 @@ def neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embedding",
     found = parts.mapInArrow(search, schema)
     merged = found.groupBy("k_").agg(F.flatten(F.collect_list("near")).alias("all_"))  # at most k per visited group
     order = F.array_sort("all_", lambda a, b: F.when(a["cosine"] > b["cosine"], -1).when(a["cosine"] < b["cosine"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
-    return merged.select(F.col("k_").alias(key), F.slice(F.array_distinct(order), 1, k).alias("near"))
+    return merged.select(F.col("k_").alias(key), F.slice(order, 1, k).alias("near"))
 
 
 def hash_of(key: str) -> int:
@@ -280,12 +298,7 @@ class _Store:
         cells = np.concatenate([c for c, _ in entries])
         x = np.concatenate([v for _, v in entries])
         order = np.lexsort((np.array(ids), cells))
-        # an id counts once
-        ids = np.array(ids, dtype=object)[order]
-        cells, x = cells[order], x[order]
-        fresh = np.ones(len(ids), bool)
-        fresh[1:] = ids[1:] != ids[:-1]
-        self.ids, cells, self.x = ids[fresh], cells[fresh], x[fresh]
+        self.ids, cells, self.x = np.array(ids, dtype=object)[order], cells[order], x[order]
         values, starts = np.unique(cells, return_index=True)
         ends = np.append(starts[1:], len(cells))
         self.place = {int(c): (int(a), int(b)) for c, a, b in zip(values, starts, ends)}

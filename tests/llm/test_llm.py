@@ -140,6 +140,20 @@ def test_knn_recall_and_exclusions(spark):
     assert hits / (5 * len(rows)) > 0.95
 
 
+def test_knn_repeated_ids(spark):
+    """Copies of an id count once, with the smallest usable vector, though they differ or lie in different slices."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(900, 128)).astype(np.float32)
+    rows = [(f"c{i:03d}", v.tolist()) for i, v in enumerate(x)]
+    larger = [(i, [v[0] + 1.0, *rng.normal(size=127).tolist()]) for i, v in rows[:60]]
+    broken = [(i, [float("-inf"), *v[1:]]) for i, v in rows[60:70]]
+    df = spark.createDataFrame(rows + larger + broken + rows[70:90], "chunk_id string, embedding array<float>").repartition(4)
+    got = {r["chunk_id"]: [e["id"] for e in r["near"]] for r in knn.neighbours(df, candidates=1000, group=300).collect()}
+    want = knn.exact((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float64), [i for i, _ in rows], 5)
+    assert set(got) == {i for i, _ in rows} and all(len(set(v)) == 5 for v in got.values())
+    assert sum(len(set(got[i]) & set(w)) for (i, _), w in zip(rows, want)) / (5 * len(rows)) > 0.99
+
+
 def test_knn_small_and_hot(spark):
     few = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("b", [1.0, 0.1])], "chunk_id string, embedding array<float>")
     assert {(r["chunk_a"], r["chunk_b"]) for r in knn.pairs(knn.neighbours(few)).collect()} == {("a", "b")}
