@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import difflib
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
+from gneiss.session import cut
 
 
 def functions(files: DataFrame) -> DataFrame:
@@ -65,6 +70,61 @@ def same_heads(files: DataFrame, head: int = 100) -> DataFrame:
     return f.groupBy(F.length("raw_content").alias("size"), start.alias("digest")).agg(F.count("*").alias("n"), F.min("file_path").alias("first_path")).where("n > 1")
 
 
+def _common(x: str, y: str) -> int:
+    """Length of the longest common subsequence, a row of the table as the bits of one number."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(x):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    v = full
+    for c in y:
+        u = v & places.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(x) - v.bit_count()
+
+
+def similar_heads(files: DataFrame, head: int = 100, above: float = 0.9, block: int = 200) -> DataFrame:
+    """(size, first_path, path, ratio): pairs of files of one size whose first lines differ but are more similar than above,
+    by the ratio of difflib's SequenceMatcher with the smaller path first; of files with the same head only the first counts.
+
+    The matcher leaves out frequent characters by default, which loses near copies; a pair that fails so is matched with all
+    of them. Every pair of a size is compared: sizes of more than block files are parted into blocks, and each pair of blocks
+    is a group of its own. What can't reach the ratio by its lengths, characters or longest common subsequence (matching
+    blocks are one) is dropped before.
+    """
+    f = files.where("trim(raw_content) <> ''").dropDuplicates(["file_id"])
+    lines = T.lines(F.col("raw_content"))
+    text = F.concat(F.array_join(F.slice(lines, 1, head), "\n"), F.when(F.size(lines) > head, "\n").otherwise(""))
+    heads = cut(f.groupBy(F.length("raw_content").alias("size"), text.alias("head")).agg(F.min("file_path").alias("path")))
+    blocks = heads.groupBy("size").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    own = F.pmod(F.xxhash64("path", "head"), F.col("blocks")).cast("int")
+    rows = heads.join(blocks, "size").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("size", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "path", "head")
+    a, b = (rows.select("size", "low", "high", *(F.col(c).alias(f"{c}_{side}") for c in ("own", "path", "head"))) for side in "ab")
+    la, lb = F.length("head_a"), F.length("head_b")
+    pairs = a.join(b, ["size", "low", "high"]).where(
+        (F.struct("path_a", "head_a") < F.struct("path_b", "head_b")) & ((F.col("low") == F.col("high")) | (F.col("own_a") != F.col("own_b"))) & (2 * F.least(la, lb) > above * (la + lb))
+    )
+
+    def ratios(batches):
+        for batch in batches:
+            kept, found, counts = [], [], {}
+            for i, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                cx, cy = (counts[t] if t in counts else counts.setdefault(t, Counter(t)) for t in (x, y))
+                least = above * (len(x) + len(y)) / 2
+                if sum(min(n, cy[c]) for c, n in cx.items() if c in cy) <= least or _common(x, y) <= least:
+                    continue
+                for junk in (True, False):
+                    if (ratio := difflib.SequenceMatcher(None, x, y, junk).ratio()) > above:
+                        kept.append(i)
+                        found.append(ratio)
+                        break
+            part = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.float64())], names=["size", "first_path", "path", "ratio"])
+
+    return pairs.select("size", "path_a", "path_b", "head_a", "head_b").mapInArrow(ratios, "size int, first_path string, path string, ratio double")
+
+
 #: Paths that a repository should not hold.
 UNWANTED = {"dependencies": r"(^|/)(node_modules|site-packages|\.venv|venv)/", "products": r"(^|/)(dist|build|target|out)/", "caches": r"(^|/)(__pycache__|\.pytest_cache|\.mypy_cache)/|\.pyc$", "settings": r"(^|/)[^/]*\.env$", "logs": r"\.(log|tmp|bak|swp)$"}
 

@@ -182,6 +182,11 @@ def files_architectures(spark, d):
     return O.architectures(table(spark, d, "codefile"))
 
 
+def files_similar_heads(spark, d):
+    """The other half of files_same_heads: files of one size whose heads are not the same but similar."""
+    return O.similar_heads(_files(spark, d))
+
+
 def files_languages(spark, d):
     """Files and lines by extension's language."""
     return _files(spark, d).groupBy(T.language(F.col("file_path")).alias("language")).agg(F.count("*").alias("n_files"), F.sum("n_lines").alias("n_lines"))
@@ -191,7 +196,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lines_security, lines_quality, lines_governance, lines_agent, lines_resilience, lines_first_hits, lines_confirmed, lines_todo, lines_commented_code, lines_deep_nesting, lines_magic_numbers, lines_io_in_loops, lines_docstrings, lines_silent_except,
-        lines_absent_signals, files_latest, files_long_functions, files_complexity, files_cognitive, files_parameters, files_naming, files_duplicates, files_same_heads, files_same_names, files_unwanted, files_blank, files_no_final_newline, files_documentation,
+        lines_absent_signals, files_latest, files_long_functions, files_complexity, files_cognitive, files_parameters, files_naming, files_duplicates, files_same_heads, files_similar_heads, files_same_names, files_unwanted, files_blank, files_no_final_newline, files_documentation,
         files_missing_modules, files_dead_imports, files_dead_functions, files_env_unreferenced, files_maturity, files_capabilities, files_capability_gaps, files_capability_clusters, files_architectures, files_languages,
     )
 }

@@ -1,5 +1,6 @@
 """Operators on small hand-made cases, against brute force where there is no SQL."""
 
+import difflib
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from gneiss.functions import text as T
 from gneiss.functions import versions as V
 from gneiss.operators import dependencies as D
+from gneiss.operators import files as H
 from gneiss.operators import findings as O
 from gneiss.operators import graph as G
 from gneiss.operators import lines as L
@@ -41,6 +43,21 @@ def test_strong_components_against_brute_force(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [2, 200])
+def test_similar_heads(spark, block):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh (=)\n") for _ in range(300)) for _ in range(3)]
+    texts = [b[:at] + "#" * cut + b[at + cut :] for b in base for at, cut in ((0, 0), (40, 3), (200, 10), (100, 60))]
+    rows = [(f"f{i:02d}", f"p/{i:02d}.py", t) for i, t in enumerate([*texts, texts[0], texts[0] + "x", " " * 300])]
+    got = {(r["first_path"], r["path"]): r["ratio"] for r in H.similar_heads(frame(spark, rows, "file_id string, file_path string, raw_content string"), block=block).collect()}
+    want = {}
+    for i, x in enumerate(texts):
+        for j in range(i + 1, len(texts)):
+            if (ratio := difflib.SequenceMatcher(None, x, texts[j], autojunk=False).ratio()) > 0.9:
+                want[f"p/{i:02d}.py", f"p/{j:02d}.py"] = ratio
+    assert got == want and ("p/00.py", "p/01.py") in want and ("p/00.py", "p/03.py") not in want
+
+
 def test_components(spark):
     pairs = [("a", "b"), ("b", "c"), ("x", "y"), ("z", "z"), ("d", "c")]
     got = {r["id"]: r["component"] for r in G.components(frame(spark, pairs, "a string, b string")).collect()}
