@@ -156,14 +156,14 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int = 2, type_: str
     return found
 
 
-def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(id, component): connected components of undirected pairs (a, b) by min labels with pointer jumping.
 
     Each round is two joins on checkpointed tables; the number of rounds grows with the log of the diameter.
     """
     both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().withColumn("component", F.col("id")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("was"))
         jump = step.select(F.col("id").alias("via"), F.col("component").alias("further"))
@@ -175,7 +175,7 @@ def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     return labels
 
 
-def strong_components(arcs: DataFrame, rounds: int = 200) -> DataFrame:
+def strong_components(arcs: DataFrame) -> DataFrame:
     """(id, scc): strongly connected components of arcs (a, b), scc being the smallest id of each.
 
     Forward-backward colouring: ids without way in or out are trimmed; the smallest id that reaches a vertex colours it;
@@ -185,7 +185,7 @@ def strong_components(arcs: DataFrame, rounds: int = 200) -> DataFrame:
     n = left.count()
     every = arcs.select(F.col("a").alias("id")).unionByName(arcs.select(F.col("b").alias("id"))).distinct()
     done = None
-    for _ in range(rounds):
+    while True:
         while n:  # trim, two layers a pass
             kept = left
             for _ in range(2):

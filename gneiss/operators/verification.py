@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -112,17 +113,19 @@ def representation(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return symbols.join(fan, "module", "full_outer").select("module", G.layer(F.col("module")).alias("layer"), F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"), F.coalesce("fan_out", F.lit(0)).alias("n_out"), (F.coalesce("fan_in", F.lit(0)) == 0).alias("is_entry"))
 
 
-def topological_layers(arcs: DataFrame, rounds: int = 100) -> DataFrame:
+def topological_layers(arcs: DataFrame) -> DataFrame:
     """(id, depth): ids by the round in which everything they depend on (a -> b: a depends on b) was placed; what lies on a
     cycle, or depends on one, comes last with depth null."""
     left = cut(arcs.where("a <> b").select("a", "b").distinct())
     ids = cut(arcs.select(F.col("a").alias("id")).unionByName(arcs.select(F.col("b").alias("id"))).distinct())
     placed = None
-    for depth in range(rounds):
+    for depth in count():
         free = cut(ids.join(left.select(F.col("a").alias("id")), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if free.isEmpty():
             break
         placed = free if placed is None else placed.unionByName(free)
+        if depth % 50 == 49:
+            placed = cut(placed)
         gone = free.select("id")
         ids = cut(ids.join(gone, "id", "left_anti"))
         left = cut(left.join(gone.select(F.col("id").alias("b")), "b", "left_anti"))

@@ -63,6 +63,13 @@ def test_topology(spark):
     assert {(r["id"], r["depth"]) for r in V.topological_layers(arcs).collect()} == {("c", 0), ("b", 1), ("a", 2), ("x", None), ("y", None), ("z", None)}
 
 
+def test_topology_of_a_long_chain(spark):
+    """No number of rounds is too many: only cycles have no depth."""
+    n = 103
+    arcs = spark.createDataFrame([(f"v{i + 1:03d}", f"v{i:03d}") for i in range(n)] + [("x", "y"), ("y", "x")], "a string, b string").coalesce(1)
+    assert {r["id"]: r["depth"] for r in V.topological_layers(arcs).collect()} == {**{f"v{i:03d}": i for i in range(n + 1)}, "x": None, "y": None}
+
+
 def test_orphan_tests(spark):
     df = spark.createDataFrame([("r", "r/test_a.py"), ("r", "r/a.py"), ("r", "r/b_test.go"), ("q", "q/b.go")], "repo string, file_path string")
     assert [(r["file_path"], r["subject"]) for r in V.orphan_tests(df).collect()] == [("r/b_test.go", "b")]
