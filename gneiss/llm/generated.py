@@ -35,8 +35,7 @@ OTHERS, LEAST, TREES, DEPTH = 20_000, 4, 80, 10
 THRESHOLD = 0.1
 #: The likelihood that is enough where the name of file or folder says generated as well.
 NAMED = 0.08
-#: Lines at the head of a file in which a notice counts.
-HEAD = 12
+_DOCSTRING = re.compile(r"""[rRuU]?(\"{3}|'{3})""")
 
 _TOOL = re.compile(
     r"(?i)@generated\b|\b(?:code|file|source|class|this file|output)?\s*(?:was |is |been )?(?:automatically|auto|machine)[- ]?(?:generated|written|created|produced)\b|\bcode generated by\b|\bgenerated (?:by|with|from|using) (?:the )?[\w.-]+.*(?:compiler|do not|edit|overwrit|changes|lost|\Z)"
@@ -68,12 +67,23 @@ _NUMBERS = re.compile(r"(?:-?\b\d[\w.]*\b\s*,?\s*)+")
 
 
 def head(text: str) -> tuple[list[str], str]:
-    """(the comment lines at the head of a file, what follows them)."""
+    """(the lines of the comments and the docstring at the head of a file, what follows them)."""
     lines = text.split("\n")
-    out, i, block = [], 0, False
-    while i < len(lines) and i < HEAD:
+    out, i, block, quotes, documented = [], 0, False, "", False
+    while i < len(lines):
         s = lines[i].strip()
-        if block:
+        if quotes or not (block or documented) and (m := _DOCSTRING.match(s)):
+            if not quotes:
+                quotes, s = m.group(1), s[m.end() :]
+                documented = True
+            end = s.find(quotes)
+            out.append(s if end < 0 else s[:end])
+            if end >= 0:
+                s, quotes = s[end + 3 :].strip(), ""
+                if s and not s.startswith("#"):
+                    lines[i] = s
+                    break
+        elif block:
             out.append(s.strip("*/ "))
             block = "*/" not in s
         elif s.startswith("/*"):

@@ -346,6 +346,11 @@ def test_notices():
     assert generated.notice("// Code generated by x. DO NOT EDIT.\npackage a")[0] == "tool"
     assert generated.notice("# 本文件由 x 自动生成，请勿手工修改\nx")[0] == "tool"
     assert generated.notice("/*! lib v1.2.3 | MIT */\n!function(){}")[:2] == ("minified", "lib")
+    banner = "# Licensed under some terms.\n" * 40
+    assert generated.notice(banner + "\n# Code generated by x. DO NOT EDIT.\nimport a")[0] == "tool"
+    assert generated.notice(banner + "# Part of the oak project, release 1.2.3, (c) oak contributors\nimport a") == ("copy", "oak")
+    assert generated.notice('#!/bin/x\n"""Messages.\n\nCode generated by x. DO NOT EDIT.\n"""\nimport a')[0] == "tool"
+    assert generated.head('"""a"""; x = 1\n# b') == (["a"], "; x = 1\n# b") and generated.notice(banner + "x = 1\n# Code generated by x.")[0] == ""
     assert generated.notice("# Part of the oak project, release 1.2.3, (c) oak contributors\nimport a") == ("copy", "oak")
     for plain in ("# Script that regenerates the sync table, edit freely.\nx", "// The generated report of a is written by this job.\nx", "# Copyright the a team. All rights reserved by the owners.\nx", "x = 'do not edit'", ""):
         assert generated.notice(plain)[0] == ""
