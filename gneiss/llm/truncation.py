@@ -1,13 +1,17 @@
 """Problem 10: texts cut off on their way.
 
-Lengths of every text are recomputed under other encodings (code points, UTF-8, UTF-16, HTML and JSON escapes, CRLF line
-ends) and counted by source; a length at which a source's texts pile up, and beyond which it has none, is a hidden
-storage limit. Then endings are inspected: broken characters, open code fences, brackets and links, short table rows,
-sentences without an end, list items that end on words on which whole items of the corpus don't end. An item
-that could be whole is cut where the text is at a limit of its source; else the ending decides. Copies share a verdict.
+First the hidden storage limits: lengths of every text are recomputed under other encodings (code points, UTF-8, UTF-16,
+HTML and JSON escapes, CRLF line ends) and counted by source over all texts, however they end; a length at which a
+source's different texts pile up, and beyond which it has next to none, is a limit. Then endings are inspected. A text at
+a limit of its source is cut unless it ends as only a complete one does. Elsewhere, where a transfer broke off, the ending
+alone must show it: broken characters, open code fences, brackets and links, short table rows, sentences without an end,
+items and titles whose last word is only the beginning of what the corpus has after the same word, and items
+that end on words on which whole items of the corpus don't end. Copies share a verdict.
 
 Defined cases: null, empty and blank texts are complete; complete texts without a full stop (titles, single words, lists,
-tables, code blocks, signatures) are complete; null sources form a group of their own; repeated rows give one row.
+tables, code blocks, signatures) are complete; null sources form a group of their own; a source whose texts all have
+one length has a format, not a limit; copies count once for limits; repeated rows give one row; texts of any length
+count, however short.
 """
 
 from __future__ import annotations
@@ -20,20 +24,23 @@ from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gneiss.llm.batches import map_rows
 from gneiss.session import cut
 
-#: A pile is this many texts of a source at one length and this share of its texts.
-PILE, PILE_SHARE = 5, 0.02
+#: A pile is this many different texts of a source at one length, and from one to the other share of its texts.
+PILE, PILE_SHARE, FIXED_SHARE = 5, 0.02, 0.95
+#: Texts beyond a limit, as a share of the pile at it.
+BEYOND = 0.05
 _TERMINAL = re.compile(r"[.!?。！？।؟…‥｡;；:：][\"'”’»›）)\]】」』*_`]*$")
 _DOTS = re.compile(r"(?:\.{3,}|…|\[(?:\.\.\.|…|truncated|cut|more)\]|\((?:truncated|continued|more)\)|<truncated>)\s*$", re.I)
 _ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
-_NUMBERED = re.compile(r"\(\d+\)$")
+_REMARK = re.compile(r"[(\[（][^()\[\]（）]*[)\]）]$")
 _URL = re.compile(r"^<?https?://\S+$")
 _WHOLE_URL = re.compile(r"^<?https?://[\w-]+(?:\.[\w-]+)+/\S+$")
-_FOOTER = re.compile(r"^(?:--\s?\S.*|[^\W\d][\w -]{1,24}:\s\S.{0,48}|#{1,6}\s.*|[=~_-]{3,})$")
+_FOOTER = re.compile(r"^(?:--\s?\S.*|[^\W\d][\w-]*(?: [\w-]+){0,3}:\s[^\s.!?。！？][^.!?。！？]*|#{1,6}\s.*|[=~_-]{3,})$")
 _WORD = re.compile(r"[^\W_]+(?:['’_-][^\W_]+)*")
 
 
@@ -96,11 +103,10 @@ def ending(text: str | None) -> tuple[str, str, str, str]:
         return ("whole" if whole else "cut"), "table", *tail
     if _ITEM.match(decorated) or re.fullmatch(r"[-*+•]|\d+[.)]?", decorated) and len(lines) > 1 and _ITEM.match(lines[-2]):
         before = [_bare(x) for x in lines[:-1] if _ITEM.match(x)]
-        remark = re.sub(r"\s*\([^()\d]+\)$", "", last)
-        if _NUMBERED.search(last) or decorated != last or remark != last:
+        if _REMARK.search(last) or decorated != last:
             return "whole", "list", *tail
-        if before and all(_NUMBERED.search(x) for x in before[-3:]) or not _ITEM.match(decorated):
-            return "cut", "list", *tail
+        if before and all(_REMARK.search(x) for x in before) or not _ITEM.match(decorated):
+            return "cut", "list", *tail  # every item before it closes with a remark, or only its mark is there
         if _TERMINAL.search(last):
             return "whole", "list", *tail
         return "unsure", "list", *tail
@@ -114,12 +120,10 @@ def ending(text: str | None) -> tuple[str, str, str, str]:
         return "whole", "sentence", *tail
     if alone and len(lines) > 1 and _FOOTER.match(last):
         return "whole", "footer", *tail
-    if len(lines) == 1 and len(t) < 80 and not re.search(r"[.!?。！？]", t):
-        return "whole", "title", *tail
     if decorated != last:
         return "whole", "decorated", *tail
-    if len(t) < 80 and not re.search(r"[.!?。！？]\s", t):
-        return "whole", "short lines", *tail
+    if not re.search(r"[.!?](?:\s|$)|[。！？]", t):
+        return "unsure", "title" if len(lines) == 1 else "lines", *tail  # a text without any sentence
     return "cut", "sentence", *tail
 
 
@@ -139,90 +143,93 @@ def endings(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
 
 
 def limits(found: DataFrame) -> DataFrame:
-    """(source, encoding, most): lengths at which a source's texts pile up with next to none beyond."""
+    """(source, encoding, most, own): lengths at which a source's texts pile up with next to none beyond.
+
+    Lengths are counted once, by source and encoding; what follows reads the counts, at most one row per length. A byte
+    limit may leave a broken character of up to three bytes more or less, so neighbouring lengths count together. Where
+    half of a pile ends as complete texts do, texts of that length are merely common."""
+    texts = found.where("size(n) > 0").groupBy("source", "content").agg(F.first("n").alias("n"), F.first(F.col("verdict") == "whole").alias("whole"))
+    counts = texts.select("source", "whole", F.posexplode("n").alias("encoding", "length")).groupBy("source", "encoding", "length").agg(F.count("*").alias("own"), F.sum(F.col("whole").cast("int")).alias("whole"))
+    group = W.partitionBy("source", "encoding")
+    by_length = group.orderBy("length")
     counts = (
-        found.where("verdict <> 'whole' and size(n) > 0 and n[0] >= 50")
-        .select("source", F.posexplode("n").alias("encoding", "length"))
-        .groupBy("source", "encoding", "length")
-        .agg(F.count("*").alias("n"))
+        counts.withColumn("texts", F.sum("own").over(group))
+        .withColumn("pile", F.sum("own").over(by_length.rangeBetween(-3, 0)))
+        .withColumn("beyond", F.col("texts") - F.sum("own").over(by_length.rangeBetween(W.unboundedPreceding, 3)))
     )
-    # a byte limit may leave a broken character of up to three bytes more or less, so neighbouring lengths count together
-    near = counts.select("source", "encoding", F.explode(F.sequence(F.col("length") - 3, F.col("length"))).alias("length"), F.lit(0).alias("own"), "n").unionByName(counts.select("source", "encoding", "length", F.col("n").alias("own"), F.lit(0).cast("bigint").alias("n")))
-    piles = near.groupBy("source", "encoding", "length").agg(F.sum("own").alias("own"), F.sum("n").alias("pile")).where(f"own > 0 and pile >= {PILE}")
-    every = found.where("size(n) > 0").select("source", F.posexplode("n").alias("encoding", "length"))
-    largest = every.groupBy("source", "encoding").agg(F.count("*").alias("texts"), F.max("length").alias("longest"))
-    beyond = (
-        every.join(F.broadcast(piles.join(largest, ["source", "encoding"]).where(F.col("own") >= F.greatest(F.lit(PILE), F.col("texts") * PILE_SHARE)).groupBy("source", "encoding").agg(F.max(F.struct("own", "length")).alias("top"))), ["source", "encoding"])
-        .groupBy("source", "encoding", F.col("top.length").alias("most"), F.col("top.own").alias("own"))
-        .agg(F.sum((F.col("length") > F.col("top.length") + 3).cast("int")).alias("beyond"))
-    )
-    return beyond.where("beyond <= own * 0.05").select("source", "encoding", "most", "own")
+    piles = counts.where((F.col("pile") >= PILE) & (F.col("own") >= F.greatest(F.lit(PILE), F.col("texts") * PILE_SHARE)) & (F.col("pile") <= F.col("texts") * FIXED_SHARE) & (F.col("beyond") <= F.col("own") * BEYOND) & (F.col("whole") * 2 < F.col("own")))
+    return piles.groupBy("source", "encoding").agg(F.max(F.struct("own", "length")).alias("top")).select("source", "encoding", F.col("top.length").alias("most"), F.col("top.own").alias("own"))
 
 
-def item_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(before, word, n_end, n_inside): words of list items that aren't a text's last line, by the word before them."""
+def words_seen(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(before, word, n_end, n_inside, n_any): words by the word before them; where they end or stand inside list items that
+    aren't a text's last line, and anywhere but at the end of a text."""
 
     def run(batches):
         for b in batches:
-            ends, inside = Counter(), Counter()
+            ends, inside, anywhere = Counter(), Counter(), Counter()
             for t in b.column(0).to_pylist():
-                lines = t.replace("\r", "").rstrip().split("\n")[:-1]
-                for line in lines:
-                    if _ITEM.match(line):
-                        words = [w.lower() for w in _WORD.findall(_bare(line.strip()))]
-                        pairs = list(zip([""] + words, words))
+                lines = t.replace("\r", "").rstrip().split("\n")
+                for i, line in enumerate(lines):
+                    words = [w.lower() for w in _WORD.findall(_bare(line.strip()))]
+                    pairs = list(zip([""] + words, words))
+                    last = i == len(lines) - 1
+                    anywhere.update(pairs[:-1] if last else pairs)
+                    if not last and _ITEM.match(line):
                         inside.update(pairs[:-1])
                         ends.update(pairs[-1:])
-            keys = list(ends.keys() | inside.keys())
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([ends[k] for k in keys], pa.int64()), pa.array([inside[k] for k in keys], pa.int64())], names=["before", "word", "n_end", "n_inside"])
+            keys = list(anywhere)
+            counts = [pa.array([c[k] for k in keys], pa.int64()) for c in (ends, inside, anywhere)]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *counts], names=["before", "word", "n_end", "n_inside", "n_any"])
 
-    lists = docs.select(F.col(text).alias("t_")).where(F.col("t_").rlike(r"(?m)^\s*(?:[-*+•]|\d+[.)])\s"))
-    return lists.mapInArrow(run, "before string, word string, n_end bigint, n_inside bigint").groupBy("before", "word").agg(F.sum("n_end").alias("n_end"), F.sum("n_inside").alias("n_inside"))
+    rows = docs.select(F.col(text).alias("t_")).where("t_ is not null")
+    return rows.mapInArrow(run, "before string, word string, n_end bigint, n_inside bigint, n_any bigint").groupBy("before", "word").agg(*(F.sum(c).alias(c) for c in ("n_end", "n_inside", "n_any")))
 
 
-def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, source, cut boolean, kind) of every row."""
-    found = cut(endings(docs, key, text, source))  # a few numbers and words a text, read by several jobs below
-    most = limits(found)
-    at = most.groupBy("source").agg(F.collect_list(F.struct("encoding", "most")).alias("limits"))  # one small row per source
-    found = found.join(F.broadcast(at), "source", "left").withColumn(
-        "at_limit", F.exists(F.coalesce("limits", F.array().cast("array<struct<encoding:int,most:int>>")), lambda x: F.get(F.col("n"), x["encoding"]) == x["most"])
-    )
-    words = cut(item_words(docs, text))
-    unsure = found.where("verdict = 'unsure'").select("last", "before").distinct()
+def told_by_words(unsure: DataFrame, words: DataFrame) -> DataFrame:
+    """(before, last, mid_item, mid_word) for each of the distinct (before, last) at the end of an unsure text."""
     asked = unsure.select("last").distinct()
-    by_word = words.join(asked, words.word == asked["last"], "left_semi").groupBy("word").agg(F.sum("n_end").alias("n_end"), F.sum("n_inside").alias("n_inside"))
-    # unknown last words that begin a word known after the same word are parts of it
-    keyed = words.withColumn("first", F.substring("word", 1, 1)).select(F.col("before").alias("b_"), "first", F.col("word").alias("longer"), (F.col("n_end") + F.col("n_inside")).alias("times"))
+    by_word = words.join(asked, words.word == asked["last"], "left_semi").groupBy(F.col("word").alias("last")).agg(F.sum("n_end").alias("w_end"), F.sum("n_inside").alias("w_inside"), F.sum("n_any").alias("w_any"))
+    # beginnings of the words known after the same word, of the lengths that are asked for there
+    sizes = unsure.groupBy("before").agg(F.collect_set(F.length("last")).alias("sizes"))  # at most one number per length of a word
     parts = (
-        unsure.withColumn("f_", F.substring("last", 1, 1))
-        .join(keyed, (F.col("before") == F.col("b_")) & (F.col("f_") == F.col("first")))
-        .where("longer <> last and startswith(longer, last)")
-        .groupBy("before", "last")
-        .agg(F.sum("times").alias("longer"))
+        words.join(sizes, "before")
+        .select("before", "word", (F.col("n_end") + F.col("n_inside")).alias("in_items"), "n_any", F.explode(F.filter("sizes", lambda n: n < F.length("word"))).alias("n_"))
+        .groupBy("before", F.substring("word", F.lit(1), F.col("n_")).alias("last"))
+        .agg(F.sum("in_items").alias("longer_items"), F.sum("n_any").alias("longer"))
     )
-    exact = words.select("before", F.col("word").alias("last"), F.col("n_end").alias("pair_end"), F.col("n_inside").alias("pair_inside"))
-    told = (
-        unsure.join(by_word, F.col("last") == F.col("word"), "left")
+    exact = words.select("before", F.col("word").alias("last"), F.col("n_end").alias("pair_end"), F.col("n_inside").alias("pair_inside"), F.col("n_any").alias("pair_any"))
+    known = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return (
+        unsure.join(by_word, "last", "left")
         .join(exact, ["before", "last"], "left")
         .join(parts, ["before", "last"], "left")
         .select(
             "before",
             "last",
-            (
-                (F.coalesce("pair_end", F.lit(0)) * 10 < F.coalesce("longer", F.lit(0)))
-                | (F.coalesce("n_end", F.lit(0)) * 10 < F.coalesce("n_inside", F.lit(0)))
-                | ((F.coalesce("pair_end", F.lit(0)) * 10 < F.coalesce("pair_inside", F.lit(0))))
-            ).alias("mid_item"),
+            ((known("pair_end") * 10 < known("longer_items")) | (known("w_end") * 10 < known("w_inside")) | (known("pair_end") * 10 < known("pair_inside"))).alias("mid_item"),
+            ((known("pair_any") * 10 < known("longer")) & (known("w_any") * 10 < known("longer")) & (F.col("last") != "")).alias("mid_word"),
         )
     )
+
+
+def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(key, source, cut boolean, at_limit boolean, kind) of every row."""
+    found = cut(endings(docs, key, text, source))  # a few numbers and words a text, read by several jobs below
+    at = limits(found).groupBy("source").agg(F.collect_list(F.struct("encoding", "most")).alias("limits"))  # at most one per encoding
+    none = F.array().cast("array<struct<encoding:int,most:int>>")
+    found = found.join(at, "source", "left").withColumn("at_limit", F.exists(F.coalesce("limits", none), lambda x: F.get(F.col("n"), x["encoding"]) == x["most"])).drop("limits", "n")
+    asked = found.where("verdict = 'unsure' and not at_limit").select("before", "last").distinct()
+    told = told_by_words(asked, cut(words_seen(docs, text)))
     found = found.join(told, ["before", "last"], "left")
-    cut_itself = (F.col("verdict") == "cut") | (F.col("verdict") == "unsure") & (F.coalesce("mid_item", F.lit(False)) | F.coalesce("at_limit", F.lit(False)))
+    by_words = F.when(F.col("kind") == "list", F.col("mid_item")).otherwise(F.col("mid_word"))
+    cut_itself = F.when(F.col("at_limit"), F.col("verdict") != "whole").otherwise((F.col("verdict") == "cut") | (F.col("verdict") == "unsure") & F.coalesce(by_words, F.lit(False)))
     found = found.withColumn("cut", cut_itself)
     shared = found.where("cut").select("content").distinct().withColumn("copy", F.lit(True))
-    return found.join(shared, "content", "left").select(key, "source", (F.col("cut") | F.coalesce("copy", F.lit(False))).alias("cut"), "kind")
+    return found.join(shared, "content", "left").select(key, "source", (F.col("cut") | F.coalesce("copy", F.lit(False))).alias("cut"), "at_limit", "kind")
 
 
 def rates(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(source, n_texts, n_cut, share) of every source."""
-    return judged(docs, key, text, source).groupBy("source").agg(F.count("*").alias("n_texts"), F.sum(F.col("cut").cast("int")).alias("n_cut"), F.avg(F.col("cut").cast("double")).alias("share"))
+    """(source, n_texts, n_cut, n_at_limit, share) of every source; n_at_limit counts the cut texts that a storage limit explains."""
+    one = lambda c: F.sum(c.cast("int"))
+    return judged(docs, key, text, source).groupBy("source").agg(F.count("*").alias("n_texts"), one(F.col("cut")).alias("n_cut"), one(F.col("cut") & F.col("at_limit")).alias("n_at_limit"), F.avg(F.col("cut").cast("double")).alias("share"))

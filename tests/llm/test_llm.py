@@ -379,7 +379,7 @@ def test_generated_rows(spark, data):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("The job runs once a day. And then it sto", "cut"), ("The job runs once a day and then", "whole"), ("The job runs once a day.", "whole"), ("Approved", "whole"), (None, "whole"), (" \n", "whole"), ("It works. ```\nx = 1", "cut"), ("See this.\n\n```go\nx := 1\n```", "whole"), ("See this.\n\n```go\nx := ", "cut"), ("A text. See [the page](https://wiki.a.exa", "cut"), ("| a | b |\n|---|---|\n| 1 | 2 |", "whole"), ("Intro here.\n\n| a | b |\n|---|---|\n| 1 ", "cut"), ("Text is done. ✅", "whole"), ("Text is do�", "cut"), ("The list of all the wor...", "cut"), ("All done.\n\n-- some-desk, run 9478", "whole"), ("All done.\n\nSeverity: low", "whole"), ("如果白名单为空，就先", "whole"), ("如果白名单为空，就先读取上一次的结果。如果白名单为空，就先" * 3, "cut"), ("- a b (1)\n- c d (2)\n- e", "cut"), ("- first thing\n- second thing", "unsure")],
+    [("The job runs once a day. And then it sto", "cut"), ("The job runs once a day and then", "unsure"), ("The job runs once a day.", "whole"), ("Approved", "unsure"), (None, "whole"), (" \n", "whole"), ("It works. ```\nx = 1", "cut"), ("See this.\n\n```go\nx := 1\n```", "whole"), ("See this.\n\n```go\nx := ", "cut"), ("A text. See [the page](https://wiki.a.exa", "cut"), ("| a | b |\n|---|---|\n| 1 | 2 |", "whole"), ("Intro here.\n\n| a | b |\n|---|---|\n| 1 ", "cut"), ("Text is done. ✅", "whole"), ("Text is do�", "cut"), ("The list of all the wor...", "cut"), ("All done.\n\n-- some-desk, run 9478", "whole"), ("All done.\n\nSeverity: low", "whole"), ("如果白名单为空，就先", "unsure"), ("如果白名单为空，就先读取上一次的结果。如果白名单为空，就先" * 3, "cut"), ("- a b (1)\n- c d (2)\n- e", "cut"), ("- first thing\n- second thing", "unsure")],
 )
 def test_endings(text, want):
     assert truncation.ending(text)[0] == want
@@ -404,8 +404,20 @@ def test_truncation_rows(spark):
     most = {(r["source"], truncation.ENCODINGS[r["encoding"]], r["most"]) for r in truncation.limits(truncation.endings(df)).collect()}
     assert ("limited", "chars", 200) in most and all(s == "limited" for s, _, _ in most)
     assert truncation.judged(df.where("false")).count() == 0
-    rate = {r["source"]: r["share"] for r in truncation.rates(df).collect()}
-    assert rate["open"] == 0 and rate["limited"] > 0.5
+    rate = {r["source"]: r for r in truncation.rates(df).collect()}
+    assert rate["open"]["share"] == 0 and rate["limited"]["share"] > 0.5 and rate["limited"]["n_at_limit"] == rate["limited"]["n_cut"]
+
+
+def test_truncation_of_short_texts(spark):
+    """Titles of any length: cut at a limit, or where the last word is only the beginning of what follows the word before it."""
+    rows = [(i, "Restart the scheduler and then check it at night.\nThe rest is done.", "a") for i in range(20)]
+    rows += [(100, "Restart the scheduler and then chec", "a"), (101, "Restart the scheduler", "a"), (102, "Restart the scheduler and then check", "b"), (103, "OK", "c")]
+    rows += [(200 + i, f"Release review {i:02d} of the whole team", "short") for i in range(12)] + [(300 + i, "Note " + "abcdefgh"[i] * i, "short") for i in range(8)]
+    rows += [(400 + i, "OK", "fixed") for i in range(30)] + [(500 + i, f"id-{i:04d}", "codes") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r for r in truncation.judged(df).collect()}
+    assert {k for k, r in got.items() if r["cut"]} == {100} | set(range(200, 212))
+    assert got[200]["at_limit"] and not got[100]["at_limit"]
 
 
 # all
