@@ -1,10 +1,15 @@
 """Problem 6: functions paired with their documentation.
 
-Every function and method becomes a declaration: qualified name, normalised signature, whether it has a body, and its
-documentation, which is the docstring or, where that says nothing, the documentation comment in its code. The
-declarations of all files form a symbol table; bodies without documentation of their own are joined with documented
-declarations without a body (overload signatures, interfaces, stubs) of the same qualified name and signature in the
-same repository. What documentation is left then passes the filter of meaning.
+Every function and method becomes a row of a symbol table: repository, package, qualified name, normalised signature,
+whether it has a body, and its documentation, which is the docstring or, where that says nothing, the documentation
+comment in its code. Definitions are joined with the documented declarations that stand apart from them (overload
+signatures, interface methods, stubs): those of the same package, qualified name and signature, else the only declaration
+of that name and signature in the repository. The documentation that belongs to the function itself comes first. What the
+joined rows then hold passes the filter of meaning, or the row is dropped.
+
+A package is the folder in Go and Java, and the file without its extension (.py and .pyi, .ts and .d.ts alike) elsewhere.
+Signatures are the types of the parameters, or their names where there are none, without spaces, defaults, modifiers,
+annotations, quotes and the packages of types; a list of names before one type counts once per name.
 
 Defined cases: null code, names and docstrings are read as empty; repeated rows give one pair; chunk types count in any
 case and with spaces around; other chunks are left out; extra columns are ignored, whatever their names.
@@ -155,35 +160,112 @@ def comment_of(code: str, language: str) -> str:
             return "" if gap > 1 else doc.strip()  # a comment apart from the declaration isn't its own
 
 
-_PARAMS = re.compile(r"\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)")
+#: Brackets of a signature; angles are some only where types have parameters in them.
+_ROUND, _ANGLED = ("([{", ")]}"), ("([{<", ")]}>")
+
+
+def _brackets(language: str) -> tuple[str, str]:
+    return _ANGLED if language in ("java", "typescript") else _ROUND
+
+
+def _parts(text: str, at: int, brackets: tuple[str, str]) -> tuple[list[str], int]:
+    """(the parts between commas of the brackets that open at a position, the position behind them); -1 if they don't close."""
+    opens, closes = brackets
+    depth, quote, parts, start, i = 0, "", [], at + 1, at
+    while i < len(text):
+        c = text[i]
+        if quote:
+            if c == "\\":
+                i += 1
+            elif c == quote:
+                quote = ""
+        elif c in "\"'`":
+            quote = c
+        elif c in opens:
+            depth += 1
+        elif c in closes and not (c == ">" and text[i - 1] in "=-"):
+            depth -= 1
+            if depth == 0:
+                return [*parts, text[start:i]], i + 1
+        elif c == "," and depth == 1:
+            parts.append(text[start:i])
+            start = i + 1
+        i += 1
+    return [], -1
+
+
+def _before(text: str, sign: str, brackets: tuple[str, str]) -> str:
+    """What stands before a sign outside brackets and strings."""
+    opens, closes = brackets
+    depth, quote = 0, ""
+    for i, c in enumerate(text):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'`":
+            quote = c
+        elif c in opens:
+            depth += 1
+        elif c in closes and not (c == ">" and text[i - 1 : i] in ("=", "-")):
+            depth -= 1
+        elif c == sign and depth == 0 and text[i + 1 : i + 2] != ">":
+            return text[:i]
+    return text
+
+
+def _type(text: str) -> str:
+    """A type without spaces, quotes and the packages of its names."""
+    return re.sub(r"(?:[^\W\d]\w*\.)+(?=[^\W\d])", "", re.sub(r"[\s\"']+", "", text))
+
+
+def _kinds(parts: list[str], language: str) -> list[str]:
+    out: list[str] = []
+    brackets = _brackets(language)
+    if language == "go":
+        named = [p.split(None, 1) for p in parts if p.strip()]
+        if any(len(p) == 2 and not p[0].endswith((".", "chan", "func")) for p in named):
+            kind = ""
+            for p in reversed(named):  # names before one type share it
+                kind = p[1] if len(p) == 2 else kind
+                out.append(_type(kind))
+            return out[::-1]
+        return [_type(" ".join(p)) for p in named]
+    for part in parts:
+        part = re.sub(r"(?:@[\w.]+(?:\([^()]*\))?\s+|\b(?:final|public|private|protected|readonly|override)\s+)*", "", _before(part, "=", brackets).strip(), count=1)
+        if not part or part in ("self", "cls", "*", "/", "this") or language == "typescript" and part.startswith("this:"):
+            continue
+        if language == "java":
+            kind = re.sub(r"\s*\.\.\.\s*", "[] ", part).rpartition(" ")[0] or part
+        else:
+            name = _before(part, ":", brackets)
+            kind = part[len(name) + 1 :] or name.rstrip("?")
+        out.append(_type(kind))
+    return out
 
 
 def signature(code: str, language: str, name: str) -> tuple[str, bool]:
-    """(parameter types, or names where there are none, without spaces, defaults and modifiers; whether there is a body)."""
+    """(normalised parameter types, whether there is a body)."""
     last = re.escape(re.split(r"[.:#/]", name)[-1])
     m = re.search(r"\b" + last + r"\s*(?:<[^<>]*>|\[[^\]]*\])?\s*(?=\()", code) if last else None
-    p = _PARAMS.match(code, m.end()) if m else None
-    if not p:
+    if not m:
         return "", True
-    kinds = []
-    for part in re.split(r",(?![^<\[({]*[>\])}])", p.group(1)):
-        part = re.sub(r"=.*", "", part, flags=re.S).strip()
-        if not part or part in ("self", "cls", "*", "/"):
-            continue
-        if language in ("python", "typescript", "javascript"):
-            kind = part.partition(":")[2] or part
-        elif language == "java":
-            kind = re.sub(r"^(?:final\s+|@\w+\s+)*", "", part).rpartition(" ")[0] or part
-        else:
-            kind = part.partition(" ")[2] or part
-        kinds.append(re.sub(r"\s+", "", kind))
-    rest = code[p.end() :]
-    body = bool(re.search(r"\{", rest)) if language != "python" else not re.fullmatch(r"[^:]*:\s*(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')?\s*\.\.\.\s*", rest)
-    return ",".join(kinds), body
+    parts, end = _parts(code, m.end(), _brackets(language))
+    if end < 0:
+        return "", True
+    rest = code[end:]
+    body = "{" in rest if language != "python" else not re.fullmatch(r"[^:]*:\s*(?:[rRuU]?\"\"\"[\s\S]*?\"\"\"|[rRuU]?\'\'\'[\s\S]*?\'\'\')?\s*(?:\.\.\.|raise NotImplementedError(?:\([^()]*\))?)?\s*", rest)
+    return ",".join(_kinds(parts, language)), body
+
+
+def package_of(path: str, language: str) -> str:
+    folder, _, file = path.replace("\\", "/").rpartition("/")
+    if language in ("go", "java"):
+        return folder
+    return folder + "/" + re.sub(r"(?:\.d)?\.\w+$", "", file)
 
 
 def declarations(chunks: DataFrame) -> DataFrame:
-    """One row per chunk row of a function or method: (chunk_id, repo, symbol, signature, has_body, doc, doc_from, code)."""
+    """The symbol table, one row per chunk row of a function or method: (chunk_id, repo, package, symbol, signature, has_body, doc,
+    doc_from, says: whether the documentation is meaningful)."""
     rows = chunks.where(F.lower(F.trim("chunk_type")).isin("function", "method")).select("chunk_id", "file_path", F.coalesce("name", F.lit("")).alias("n_"), F.coalesce("code", F.lit("")).alias("c_"), F.coalesce("docstring", F.lit("")).alias("d_"))
 
     def make():
@@ -191,25 +273,31 @@ def declarations(chunks: DataFrame) -> DataFrame:
             path = path or ""
             language = _LANGUAGE.get(path.rpartition(".")[2].lower(), "")
             doc, origin = docstring.strip(), "docstring"
-            if not meaningful(doc, name):
-                doc, origin = comment_of(code, language), "comment"
-                if not meaningful(doc, name):
-                    doc, origin = None, None
+            says = meaningful(doc, name)
+            if not says:
+                doc, origin = comment_of(code, language) or doc, "comment"
+                says = meaningful(doc, name)
             kinds, body = signature(code, language, name)
-            yield key, path.partition("/")[0], name, kinds, body, doc, origin, code
+            yield key, path.partition("/")[0], package_of(path, language), name, kinds, body, doc or None, origin, says
 
         return call
 
-    return map_rows(rows, "chunk_id string, repo string, symbol string, signature string, has_body boolean, doc string, doc_from string, code string", make)
+    return map_rows(rows, "chunk_id string, repo string, package string, symbol string, signature string, has_body boolean, doc string, doc_from string, says boolean", make)
 
 
 def pairs(chunks: DataFrame, with_code: bool = True) -> DataFrame:
     """(chunk_id, symbol, signature, doc, doc_from, code), one row per chunk_id with meaningful documentation."""
-    found = declarations(chunks)
-    if not with_code:
-        found = cut(found.drop("code"))  # narrow, and read three times below
-    table = found.where("doc is not null and not has_body").groupBy("repo", "symbol", "signature").agg(F.min("doc").alias("declared"))
-    own = found.where("doc is not null")
-    # only bodies without documentation look into the symbol table, so the shuffle is of those
-    lent = found.where("doc is null and has_body").join(table, ["repo", "symbol", "signature"]).withColumn("doc", F.col("declared")).withColumn("doc_from", F.lit("declaration")).select(own.columns)
-    return own.unionByName(lent).drop("repo", "has_body").dropDuplicates(["chunk_id"])
+    found = cut(declarations(chunks))  # narrow, and read several times below
+    key = ["repo", "symbol", "signature"]
+    apart = found.where("not has_body and says and symbol <> ''").groupBy(*key, "package").agg(F.min("doc").alias("near"))
+    sole = apart.groupBy(*key).agg(F.min("near").alias("far"), F.count("*").alias("n_")).where("n_ = 1").drop("n_")
+    # a definition that speaks for itself needs no other; the rest meets the declarations that stand apart
+    silent = found.where("has_body and not says")
+    lent = silent.join(apart, [*key, "package"], "left").join(sole, key, "left").withColumn("declared", F.coalesce("near", "far"))
+    joined = found.where("not has_body or says").withColumn("declared", F.lit(None).cast("string")).unionByName(lent.drop("near", "far"))
+    doc = F.when(F.col("says"), F.col("doc")).otherwise(F.col("declared"))
+    origin = F.when(F.col("says"), F.col("doc_from")).otherwise(F.lit("declaration"))
+    out = joined.where("says or declared is not null").select("chunk_id", "symbol", "signature", doc.alias("doc"), origin.alias("doc_from")).dropDuplicates(["chunk_id"])
+    if with_code:
+        out = out.join(chunks.select("chunk_id", F.coalesce("code", F.lit("")).alias("code")), "chunk_id").dropDuplicates(["chunk_id"])
+    return out

@@ -68,8 +68,7 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Functions with documentation of their own; what the symbol table lends from elsewhere is in p6_pairs only."""
-    return docpairs.pairs(table(spark, d, "chunks"), with_code=False).where("doc_from <> 'declaration'").select("chunk_id").distinct()
+    return docpairs.pairs(table(spark, d, "chunks"), with_code=False).select("chunk_id").distinct()
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -339,6 +339,38 @@ def test_pairs_join_declarations(spark):
     assert got == {"1": "comment", "2": "declaration", "7": "docstring"}
 
 
+def test_signatures_are_normalised():
+    sig = docpairs.signature
+    assert sig("void put(final java.util.List<java.lang.String> a, @Nullable int... b) { }", "java", "A.put") == sig("void put(List<String> rows, int[] n);", "java", "A.put")[:1] + (True,)
+    assert sig("func F(a, b int, c map[string][]x.Row) error {}", "go", "F") == ("int,int,map[string][]Row", True)
+    assert sig("func F(int, string) error", "go", "F") == ("int,string", False)
+    assert sig("function f(a?: x.Y<Map<K, V>>, b: (q: number) => void = g(1, 2)): void { }", "typescript", "f") == ("Y<Map<K,V>>,(q:number)=>void", True)
+    assert sig('def f(self, a: "typing.Optional[int]" = None, *args, b=dict(x=1, y=2)) -> int: ...', "python", "C.f") == ("Optional[int],*args,b", False)
+    assert sig('def f(a):\n    """Doc."""\n    raise NotImplementedError\n', "python", "f") == ("a", False) and sig("def f(a):\n    return a", "python", "f") == ("a", True)
+
+
+def test_declarations_apart(spark):
+    """Own documentation first, then the declaration of the same package, then the only one of the repository; overloads part."""
+    doc = lambda w: f"Counts the {w} rows that the open report still holds."
+    rows = [
+        ("i", "r/api/Store.java", "method", "Store.load", f"/** {doc('near')} */\nlong load(java.lang.String key);", None),
+        ("j", "r/other/Store.java", "method", "Store.load", f"/** {doc('far')} */\nlong load(String key);", None),
+        ("k", "r/other/Store.java", "method", "Store.load", f"/** {doc('int')} */\nlong load(int key);", None),
+        ("1", "r/api/Store2.java", "method", "Store.load", "public long load(final String k) { return 1; }", ""),
+        ("2", "r/impl/Store.java", "method", "Store.load", "public long load(String k) { return 1; }", ""),
+        ("3", "r/impl/Store.java", "method", "Store.load", "public long load(int k) { return 1; }", "TODO"),
+        ("4", "r/impl/Store.java", "method", "Store.load", f"/** {doc('own')} */\npublic long load(int k) {{ return 1; }}", None),
+        ("5", "r/impl/Store.java", "method", "Store.load", "public long load(double k) { return 1; }", None),
+        ("6", "r/m/mod.pyi", "function", "f", f'def f(a: int) -> int:\n    """{doc("stub")}"""\n    ...', None),
+        ("7", "r/m/mod.py", "function", "f", "def f(a: int) -> int:\n    return a", None),
+    ]
+    df = spark.createDataFrame(rows, "chunk_id string, file_path string, chunk_type string, name string, code string, docstring string")
+    got = {r["chunk_id"]: r for r in docpairs.pairs(df).collect()}
+    said = {k: (r["doc_from"], next(w for w in ("near", "far", "int", "own", "stub") if w in r["doc"])) for k, r in got.items() if k in "1234567"}
+    assert said == {"1": ("declaration", "near"), "3": ("declaration", "int"), "4": ("comment", "own"), "6": ("comment", "stub"), "7": ("declaration", "stub")}
+    assert all(r["code"] for r in got.values())
+
+
 # 1 generated
 
 
