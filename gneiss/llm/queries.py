@@ -99,6 +99,11 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.sizes(table(spark, d, "documents")))
 
 
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Token proportions of the sources in every window of containers, beside their targets."""
+    return packing.mixture(packing.fill(packing.sizes(table(spark, d, "documents"))))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.judged(table(spark, d, "documents")).where("cut").select("doc_id").distinct()
 
@@ -113,7 +118,7 @@ def p10_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.limits(truncation.endings(table(spark, d, "documents"))).select("source", names[F.col("encoding")].alias("encoding"), "most")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nodes, p2_found, p2_neighbours, p3_found, p3_report, p3_rates, p4_found, p4_shares, p5_found, p5_redacted, p6_found, p6_pairs, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers, p10_found, p10_rates, p10_limits)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_nodes, p2_found, p2_neighbours, p3_found, p3_report, p3_rates, p4_found, p4_shares, p5_found, p5_redacted, p6_found, p6_pairs, p7_found, p7_pieces, p8_ids, p8_round_trip, p9_containers, p9_mixture, p10_found, p10_rates, p10_limits)}
 
 SQL: dict[str, str] = {
     "p7_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(code) > 6000",

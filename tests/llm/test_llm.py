@@ -120,6 +120,44 @@ def test_fill_over_shards(spark):
     assert big.n_tokens.tolist() == [2048, 2048, 904] and (got[got.doc_id != 9999].piece_no == 0).all()
     assert got.n_tokens.sum() / (got.container.nunique() * 2048) > 0.95
     assert packing.fill(sized.where("false")).count() == 0
+    assert got.groupby(["doc_id", "copy_no", "piece_no"]).size().max() == 1
+    mixed = packing.mixture(packing.fill(sized, shard_tokens=400_000, window=16)).toPandas()
+    last = mixed.groupby("shard").window_no.transform("max")
+    off = abs(mixed.share - mixed.target)[(mixed.source == "hot") & (mixed.window_no < last - 1)]
+    assert len(off) > 30 and off.mean() < 0.03
+    assert packing.mixture(packing.fill(sized.where("false"))).count() == 0
+
+
+def test_fill_to_other_proportions(spark):
+    """Targets other than the corpus's: every shard comes near them until a source runs out, and later shards hold the rest."""
+    rows = [(i, "abbb"[i % 4], 100 + i * 37 % 300) for i in range(8000)]
+    filled = packing.fill(spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens int"), shard_tokens=200_000, window=16, targets={"a": 0.5, "b": 0.5})
+    got = packing.mixture(filled).toPandas()
+    assert got.n_tokens.sum() == sum(n for _, _, n in rows)
+    a = got[(got.source == "a") & (got.n_tokens > 8000)]
+    assert len(a) > 10 and a.share.between(0.4, 0.6).mean() > 0.8
+    shares = spark.createDataFrame([("a", 1.0)], "source string, target double")
+    assert {r["source"]: r["target"] for r in packing.mixture(filled, shares).select("source", "target").distinct().collect()} == {"a": 1.0, "b": 0.0}
+
+
+def test_repeated_rows_spread(spark):
+    sized = spark.createDataFrame([(1, "s", 100)] * 4000 + [(2, "s", 50)], "doc_id bigint, source string, n_tokens int")
+    got = packing.fill(sized, shard_tokens=50_000).toPandas()
+    assert len(got) == 4001 and got.groupby(["doc_id", "copy_no"]).size().max() == 1
+    assert got.groupby("shard").n_tokens.sum().max() < 150_000
+
+
+def test_rounds_serve_what_deficits_cover():
+    """Two sources of equal target and unequal sizes: tokens, not items, are shared in every window."""
+    rows = [(i, "a", 2000) for i in range(300)] + [(1000 + i, "b", 100) for i in range(6000)]
+    got = packing.pack(rows, {"a": 0.5, "b": 0.5}, {"a": -4000.0, "b": 4000.0}, 2048, 8)
+    source = {i: (s, n) for i, s, n in rows}
+    share = {}
+    for n, box, _ in got:
+        s, size = source[n]
+        share.setdefault(box // 8, {"a": 0, "b": 0})[s] += size
+    assert all(abs(w["a"] / (w["a"] + w["b"]) - 0.5) < 0.2 for w in list(share.values())[1:-2])
+    assert share[0]["a"] < share[0]["b"]
 
 
 # 2 neighbours
