@@ -444,6 +444,26 @@ def test_generated_rows(spark, data):
     assert {r["file_id"]: r["why"] for r in generated.judged(few).collect()} == {1: "", 2: "copy", 3: ""}
 
 
+def test_the_forest_decides(spark):
+    """Files without any notice or telling path are found by their look, short ones too; a notice alone is not the answer."""
+    rng = random.Random(8)
+    word = lambda: rng.choice(["total", "report", "window", "ledger", "counts", "filter", "module"])
+
+    def by_hand():
+        lines = [f"def {word()}_{word()}_{i}(rows):\n    # keep the {word()} of every {word()}\n    for row in rows:\n        if row.{word()} > {rng.randrange(99)}:\n            yield row.{word()}\n" for i in range(rng.randrange(2, 9))]
+        return "\n".join(lines)
+
+    def by_tool():
+        return "\n".join(f"    x.set_{i}({i}, {rng.randrange(10**6)}); x.end_{i}({i}, {rng.randrange(10**6)});" for i in range(rng.randrange(20, 60)))
+
+    rows = [(i, f"r/a/m{i}.py", by_hand()) for i in range(300)] + [(1000 + i, f"r/b/m{i}.py", "# Code generated by gen. DO NOT EDIT.\n" + by_tool()) for i in range(60)]
+    rows += [(2000 + i, f"r/c/m{i}.py", by_tool()) for i in range(20)] + [(3000 + i, f"r/d/M{i}.java", 'class D {\n static final String S = "' + "".join(rng.choice("0123456789abcdef") for _ in range(200 + 40 * i)) + '";\n}\n') for i in range(20)]
+    got = {r["file_id"]: r for r in generated.judged(spark.createDataFrame(rows, "file_id bigint, file_path string, raw_content string")).collect()}
+    found = {k for k, r in got.items() if not r["by_hand"]}
+    assert found >= {k for k in got if 1000 <= k} and len([k for k in found if k < 1000]) <= 3
+    assert {got[k]["why"] for k in got if 2000 <= k < 3000} == {"look"} and {got[k]["why"] for k in got if k >= 3000} == {"data"}
+
+
 # 10 truncation
 
 
