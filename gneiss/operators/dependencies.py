@@ -15,7 +15,7 @@ Advisory = tuple[str, str, str, str]
 
 def lock_packages(files: DataFrame) -> DataFrame:
     """(repo, file_path, package, version) of JSON lock files."""
-    locks = files.where("raw_content is not null").where(F.col("file_path").rlike(r"\.json$") & F.col("raw_content").contains('"packages"')).dropDuplicates(["file_id"])
+    locks = files.where("raw_content is not null").where(F.col("file_path").rlike(r"\.json$") & F.col("raw_content").contains('"packages"'))
     parsed = F.from_json("raw_content", "struct<packages:map<string,struct<version:string>>>")
     return locks.select("repo", "file_path", F.explode(parsed["packages"]).alias("package", "v")).select("repo", "file_path", "package", F.col("v.version").alias("version"))
 

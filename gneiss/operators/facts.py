@@ -51,7 +51,7 @@ def facts_of(text: str) -> list[tuple]:
 
 def python_facts(files: DataFrame) -> DataFrame:
     """_SCHEMA: the facts of every Python file with content, once per file_id."""
-    rows = files.where(F.col("raw_content").isNotNull() & (T.language(F.col("file_path")) == "python")).dropDuplicates(["file_id"]).select("file_id", "raw_content")
+    rows = files.where(F.col("raw_content").isNotNull() & (T.language(F.col("file_path")) == "python")).select("file_id", "raw_content")
 
     def run(batches):
         for b in batches:

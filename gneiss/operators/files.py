@@ -15,7 +15,7 @@ from gneiss.session import cut
 
 def functions(files: DataFrame) -> DataFrame:
     """(file_id, file_path, name, start_line, n_lines, code): the functions of every file, with their text."""
-    f = files.where("raw_content is not null").dropDuplicates(["file_id"])
+    f = files.where("raw_content is not null")
     rows = f.select("file_id", "file_path", T.lines(F.col("raw_content")).alias("all_"), F.explode("functions").alias("f"))
     code = F.array_join(F.slice("all_", F.greatest(F.lit(1), F.col("f.start_line")), F.greatest(F.lit(1), F.col("f.end_line") - F.col("f.start_line") + 1)), "\n")
     return rows.select("file_id", "file_path", F.col("f.name").alias("name"), F.col("f.start_line").alias("start_line"), (F.col("f.end_line") - F.col("f.start_line") + 1).alias("n_lines"), code.alias("code"))
@@ -65,7 +65,7 @@ def duplicates(files: DataFrame) -> DataFrame:
 
 def same_heads(files: DataFrame, head: int = 100) -> DataFrame:
     """(size, digest, n, first_path): files of one size whose first lines are the same; the smallest path is the one to keep."""
-    f = files.where("trim(raw_content) <> ''").dropDuplicates(["file_id"])
+    f = files.where("trim(raw_content) <> ''")
     start = F.md5(F.array_join(F.slice(T.lines(F.col("raw_content")), 1, head), "\n"))
     return f.groupBy(F.length("raw_content").alias("size"), start.alias("digest")).agg(F.count("*").alias("n"), F.min("file_path").alias("first_path")).where("n > 1")
 
@@ -92,7 +92,7 @@ def similar_heads(files: DataFrame, head: int = 100, above: float = 0.9, block:
     is a group of its own. What can't reach the ratio by its lengths, characters or longest common subsequence (matching
     blocks are one) is dropped before.
     """
-    f = files.where("trim(raw_content) <> ''").dropDuplicates(["file_id"])
+    f = files.where("trim(raw_content) <> ''")
     lines = T.lines(F.col("raw_content"))
     text = F.concat(F.array_join(F.slice(lines, 1, head), "\n"), F.when(F.size(lines) > head, "\n").otherwise(""))
     heads = cut(f.groupBy(F.length("raw_content").alias("size"), text.alias("head")).agg(F.min("file_path").alias("path")))
@@ -135,7 +135,7 @@ def unwanted(files: DataFrame) -> DataFrame:
     for name, p in UNWANTED.items():
         test = F.col("file_path").rlike(p)
         kind = F.when(test, name) if kind is None else kind.when(test, name)
-    f = files.dropDuplicates(["file_id"]).withColumn("kind", kind).where("kind is not null")
+    f = files.withColumn("kind", kind).where("kind is not null")
     return f.groupBy("repo", "kind").agg(F.count("*").alias("n_files"), F.sum(F.coalesce(F.length("raw_content"), F.lit(0))).alias("size"))
 
 
@@ -146,7 +146,7 @@ def same_name_groups(files: DataFrame) -> DataFrame:
 
 def blank(files: DataFrame) -> DataFrame:
     """(file_id, kind): files of no bytes, of blanks, or of nothing but comments and imports."""
-    f = files.where("raw_content is not null").dropDuplicates(["file_id"])
+    f = files.where("raw_content is not null")
     meaning = F.exists(T.lines(F.col("raw_content")), lambda x: (F.trim(x) != "") & ~x.rlike(r"^\s*(#|//|\*|/\*|import\b|from\b|package\b)"))
     kind = F.when(F.col("raw_content") == "", "empty").when(F.trim(F.regexp_replace("raw_content", r"\s", "")) == "", "blank").when(~meaning, "shell")
     return f.select("file_id", kind.alias("kind")).where("kind is not null")
@@ -169,7 +169,7 @@ STANDARD = ("os", "re", "sys", "json", "typing", "logging", "pathlib", "log", "f
 
 def import_roots(files: DataFrame) -> DataFrame:
     """(file_id, repo, file_path, root): the first segment of every import."""
-    rows = files.dropDuplicates(["file_id"]).select("file_id", "repo", "file_path", F.explode("imports").alias("i"))
+    rows = files.select("file_id", "repo", "file_path", F.explode("imports").alias("i"))
     return rows.select("file_id", "repo", "file_path", F.regexp_extract("i", r"^(?:\./|\.\./)*([A-Za-z_@][\w-]*)", 1).alias("root")).where("root <> ''").distinct()
 
 
@@ -183,7 +183,7 @@ def missing_modules(files: DataFrame) -> DataFrame:
 
 def dead_imports(files: DataFrame) -> DataFrame:
     """(file_id, binding): Python imports whose last segment occurs in no other line of the file."""
-    py = files.where("raw_content is not null").dropDuplicates(["file_id"]).where(T.language(F.col("file_path")) == "python")
+    py = files.where("raw_content is not null").where(T.language(F.col("file_path")) == "python")
     names = py.select("file_id", "raw_content", F.explode("imports").alias("i")).select("file_id", "raw_content", F.regexp_extract("i", r"(\w+)$", 1).alias("binding")).where("binding <> ''")
     body = F.regexp_replace("raw_content", r"(?m)^\s*(?:import|from)\b.*$", "")
     words = F.array_distinct(F.regexp_extract_all(body, F.lit(r"\w+"), F.lit(0)))
@@ -202,7 +202,7 @@ def dead_functions(chunks: DataFrame, edges: DataFrame, nodes: DataFrame) -> Dat
 
 def env_unreferenced(files: DataFrame) -> DataFrame:
     """(repo, variable): variables of .env files that no other file of the repository mentions."""
-    f = files.where("raw_content is not null").dropDuplicates(["file_id"])
+    f = files.where("raw_content is not null")
     env = f.where(F.col("file_path").rlike(r"\.env$")).select("repo", F.explode(T.lines(F.col("raw_content"))).alias("line"))
     names = env.select("repo", F.regexp_extract("line", r"^\s*(?:export\s+)?([A-Z][A-Z0-9_]*)\s*=", 1).alias("variable")).where("variable <> ''").distinct()
     used = f.where(~F.col("file_path").rlike(r"\.env$")).select("repo", F.explode(F.array_distinct(F.regexp_extract_all("raw_content", F.lit(r"[A-Z][A-Z0-9_]+"), F.lit(0)))).alias("variable")).distinct()
@@ -215,7 +215,7 @@ MATURITY = {"tests": r"(^|/)tests?/|_test\.", "logging": r"\blogg(er|ing)\b|\blo
 
 def maturity(files: DataFrame) -> DataFrame:
     """(repo, n_passed, score, grade): which signals any file of a repository shows; A to F."""
-    f = files.dropDuplicates(["file_id"]).select("repo", F.concat_ws("\n", "file_path", "raw_content").alias("t"))
+    f = files.select("repo", F.concat_ws("\n", "file_path", "raw_content").alias("t"))
     n = len(MATURITY)
     by = f.select("repo", *[F.col("t").rlike("(?m)" + p).cast("int").alias(k) for k, p in MATURITY.items()]).groupBy("repo").agg(*[F.max(k).alias(k) for k in MATURITY])
     passed = sum((F.col(k) for k in MATURITY), F.lit(0))
@@ -229,7 +229,7 @@ CAPABILITIES = {"async": r"\basync\b", "errors": r"\b(try|catch|except)\b", "log
 
 def capabilities(files: DataFrame) -> DataFrame:
     """(file_id, repo, signature): a bit per capability."""
-    f = files.where("raw_content is not null").dropDuplicates(["file_id"])
+    f = files.where("raw_content is not null")
     bits = sum((F.when(F.col("raw_content").rlike("(?m)" + p), 1 << i).otherwise(0) for i, p in enumerate(CAPABILITIES.values())), F.lit(0))
     return f.select("file_id", "repo", bits.alias("signature"))
 

@@ -2,13 +2,15 @@
 
 Files become lines with their numbers, lines are tested against rule packs as one expression per rule, and hits are rows.
 Rules are data: a name, a severity, a pattern that must match, patterns that must not, the languages it applies to.
-Everything stays in the JVM; a file is exploded within its own task, and nothing is shuffled before counts are taken.
+Nearly everything stays in the JVM; a file is exploded within its own task, neighbouring lines are compared in the array
+they come in, and no text is shuffled but those of files that were delivered more than once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -121,18 +123,35 @@ RESILIENCE = {
 PACKS = {"security": SECURITY, "quality": QUALITY, "governance": GOVERNANCE, "agent": AGENT}
 
 
+#: Ids with several deliveries, as the most that are broadcast; beyond, they are joined.
+FEW = 1_000_000
+
+
 def latest(files: DataFrame) -> DataFrame:
-    """One row per file_id: the delivery that came in last; among equal times the largest content."""
+    """One row per file_id: the delivery that came in last; among equal times the largest content.
+
+    Which ids came more than once is told by the ids alone; only those files' texts are shuffled, all others stay where
+    they are read."""
+    again = files.groupBy("file_id").agg(F.count("*").alias("n_")).where("n_ > 1").select(F.col("file_id").alias("again_"))
+    if again.count() <= FEW:
+        again = F.broadcast(again)
+    same = files["file_id"].eqNullSafe(again["again_"])
     first = [c for c in ("ingested_at", "raw_content") if c in files.columns]
     rest = [c for c in files.columns if c not in ("file_id", *first)]
-    top = files.groupBy("file_id").agg(F.max(F.struct(*first, *rest)).alias("r"))  # every column once in the shuffle
-    return top.select("file_id", *[F.col(f"r.{c}").alias(c) for c in (*rest, *first)])
+    top = files.join(again, same, "left_semi").groupBy("file_id").agg(F.max(F.struct(*first, *rest)).alias("r"))  # every column once in the shuffle
+    columns = ["file_id", *rest, *first]
+    return files.join(again, same, "left_anti").select(columns).unionByName(top.select("file_id", *[F.col(f"r.{c}").alias(c) for c in (*rest, *first)]))
+
+
+def arrays(files: DataFrame, key: str = "file_id") -> DataFrame:
+    """(key, file_path, language, all_ array of lines) of every file with content; files: one row per file, as latest gives."""
+    own = files.where(F.col("raw_content").isNotNull())
+    return own.select(key, "file_path", T.language(F.col("file_path")).alias("language"), T.lines(F.col("raw_content")).alias("all_"))
 
 
 def lines(files: DataFrame, key: str = "file_id") -> DataFrame:
-    """(key, file_path, language, line_no from 1, line) of every line of every file with content, once per key."""
-    own = files.where(F.col("raw_content").isNotNull()).select(key, "file_path", "raw_content").dropDuplicates([key])
-    return own.select(key, "file_path", T.language(F.col("file_path")).alias("language"), F.posexplode(T.lines(F.col("raw_content"))).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    """(key, file_path, language, line_no from 1, line) of every line of every file with content; files: one row per file."""
+    return arrays(files, key).select(key, "file_path", "language", F.posexplode("all_").alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
 def hits(rows: DataFrame, rules: tuple[Rule, ...], skip_comments: bool = False) -> DataFrame:
@@ -179,21 +198,29 @@ def todo_tags(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tag", tag).where("tag <> ''").select("file_id", "line_no", "tag", names[F.col("tag")].alias("severity"))
 
 
-def commented_code(rows: DataFrame, least: int = 2) -> DataFrame:
-    """(file_id, first_line, n): runs of neighbouring comment lines that look like code."""
+def commented_code(texts: DataFrame, least: int = 3) -> DataFrame:
+    """(file_id, first_line, n): runs of neighbouring comment lines that look like code, within the lines of each file."""
     code = r"^\s*(#|//)\s*[\w.]+\s*(=|:=|\()|^\s*(#|//)\s*(return|if|for|while)\b.*"
-    found = rows.where(F.col("line").rlike(code)).select("file_id", "line_no")
-    island = F.col("line_no") - F.row_number().over(W.partitionBy("file_id").orderBy("line_no"))
-    return found.withColumn("island", island).groupBy("file_id", "island").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n")).where(F.col("n") >= least).drop("island")
+    flags = F.array_join(F.transform("all_", lambda x: F.when(x.rlike(code), "1").otherwise("0")), "")
+    runs = texts.select("file_id", flags.alias("flags")).where(F.col("flags").contains("1" * least))
+    # the pieces from one run to the next: noughts, then ones
+    pieces = runs.select("file_id", F.posexplode(F.regexp_extract_all("flags", F.lit("0*1+"), F.lit(0))).alias("i", "piece"), F.regexp_extract_all("flags", F.lit("0*1+"), F.lit(0)).alias("ps"))
+    before = F.coalesce(F.aggregate(F.slice("ps", 1, F.col("i")), F.lit(0), lambda acc, x: acc + F.length(x)), F.lit(0))
+    zeros = F.length(F.regexp_extract("piece", "^0*", 0))
+    n = F.length("piece") - zeros
+    return pieces.select("file_id", (before + zeros + 1).alias("first_line"), n.alias("n")).where(F.col("n") >= least)
 
 
-def deep_nesting(rows: DataFrame, above: int = 4, per_file: int = 5) -> DataFrame:
+def deep_nesting(texts: DataFrame, above: int = 4, per_file: int = 5) -> DataFrame:
     """(file_id, line_no, depth): lines nested deeper than allowed, by their leading indent; the first of each file."""
     unit = F.when(F.col("language").isin("javascript", "typescript"), 2).otherwise(4)
-    lead = F.regexp_replace(F.regexp_extract("line", r"^([ \t]*)", 1), "\t", "    ")
-    deep = rows.where("length(trim(line)) > 0").withColumn("depth", F.floor(F.length(lead) / unit).cast("int")).where(F.col("depth") > above)
-    order = W.partitionBy("file_id").orderBy("line_no")
-    return deep.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_file).select("file_id", "line_no", "depth")
+
+    def deep(x, i):
+        lead = F.regexp_replace(F.regexp_extract(x, r"^([ \t]*)", 1), "\t", "    ")
+        return F.struct((i + 1).alias("line_no"), F.when(F.length(F.trim(x)) > 0, F.floor(F.length(lead) / unit).cast("int")).alias("depth"))
+
+    found = F.slice(F.filter(F.transform("all_", deep), lambda s: s["depth"] > above), 1, per_file)
+    return texts.select("file_id", F.explode(found).alias("s")).select("file_id", "s.line_no", "s.depth")
 
 
 def magic_numbers(rows: DataFrame) -> DataFrame:
@@ -204,28 +231,46 @@ def magic_numbers(rows: DataFrame) -> DataFrame:
     return numbers.where(~fine).groupBy("file_id", "value").agg(F.count("*").alias("n"))
 
 
-def io_in_loops(rows: DataFrame, window: int = 10) -> DataFrame:
+def _where(texts: DataFrame, test) -> DataFrame:
+    """(file_id, line_no): the lines for which test(line, index) holds, told within the lines of each file."""
+    found = F.filter(F.transform("all_", lambda x, i: F.when(test(x, i), i + 1)), lambda n: n.isNotNull())
+    return texts.select("file_id", F.explode(found).alias("line_no"))
+
+
+def io_in_loops(texts: DataFrame, window: int = 10) -> DataFrame:
     """(file_id, line_no): loops with an opening of a file or a call to a service in their next lines."""
-    near = W.partitionBy("file_id").orderBy("line_no").rowsBetween(1, window)
-    opens = F.col("line").rlike(r"\b(open|fetch|publish|load)\w*\(").cast("int")
-    loops = rows.withColumn("io", F.max(opens).over(near)).where("io = 1")
-    return loops.where(F.col("line").rlike(r"^\s*(for|while)\b")).select("file_id", "line_no")
+    opens = lambda y: y.rlike(r"\b(open|fetch|publish|load)\w*\(")
+    return _where(texts, lambda x, i: x.rlike(r"^\s*(for|while)\b") & F.exists(F.slice("all_", i + 2, window), opens))
+
+
+def docstring_lines(texts: DataFrame) -> DataFrame:
+    """(file_id, line_no): lines of Python files inside or on the border of a triple-quoted text of either kind of quotes.
+
+    A text that is open ends on the line where its own mark stands an odd number of times; one folds over the lines once."""
+    marks = ('"""', "'''")
 
+    def run(batches):
+        for b in batches:
+            keys, numbers = [], []
+            for key, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                inside = ""
+                for i, line in enumerate(lines, 1):
+                    first = inside or min((m for m in marks if m in line), key=line.find, default="")
+                    if first:
+                        keys.append(key)
+                        numbers.append(i)
+                        if line.count(first) % 2:
+                            inside = "" if inside else first
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int32())], names=["file_id", "line_no"])
 
-def docstring_lines(rows: DataFrame) -> DataFrame:
-    """(file_id, line_no): lines of Python files inside or on the border of a triple-quoted text, by running parity."""
-    py = rows.where("language = 'python'").withColumn("marks", F.size(F.regexp_extract_all("line", F.lit('"""'), F.lit(0))))
-    before = W.partitionBy("file_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    inside = F.coalesce(F.sum("marks").over(before), F.lit(0)) % 2
-    return py.withColumn("inside", inside).where("inside = 1 or marks > 0").select("file_id", "line_no")
+    return texts.where("language = 'python'").select("file_id", "all_").mapInArrow(run, "file_id bigint, line_no int")
 
 
-def silent_except(rows: DataFrame) -> DataFrame:
+def silent_except(texts: DataFrame) -> DataFrame:
     """(file_id, line_no): handlers whose first statement neither logs nor raises."""
-    order = W.partitionBy("file_id").orderBy("line_no")
-    nxt = F.lead("line").over(order)
-    handler = F.col("line").rlike(r"^\s*except\b.*:\s*$|catch\s*(\([^)]*\))?\s*\{\s*$")
-    return rows.withColumn("next", nxt).where(handler & F.col("next").isNotNull() & ~F.col("next").rlike(r"(?i)log|warn|error|raise|throw")).select("file_id", "line_no")
+    handler = r"^\s*except\b.*:\s*$|catch\s*(\([^)]*\))?\s*\{\s*$"
+    loud = lambda y: y.rlike(r"(?i)log|warn|error|raise|throw")
+    return _where(texts, lambda x, i: x.rlike(handler) & ~F.coalesce(loud(F.get("all_", i + 1)), F.lit(True)))
 
 
 def absent_signals(rows: DataFrame, signals: dict[str, str]) -> DataFrame:

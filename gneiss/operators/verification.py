@@ -88,13 +88,19 @@ def confidence(files: DataFrame, chunks: DataFrame) -> DataFrame:
     return both.select("module", F.round("documented", 4).alias("documented"), F.round("parsed", 4).alias("parsed"), score.alias("confidence")).withColumn("level", F.when(F.col("confidence") >= 0.6, "high").when(F.col("confidence") >= 0.3, "medium").otherwise("low"))
 
 
-def in_try(rows: DataFrame, pattern: str, back: int = 15) -> DataFrame:
-    """(file_id, line_no, guarded): lines that hold a pattern, and whether a try stands in the lines before at less indent."""
-    lead = F.length(F.regexp_extract("line", r"^(\s*)", 1))
-    place = W.partitionBy("file_id").orderBy("line_no").rowsBetween(-back, -1)
-    trys = F.when(F.col("line").rlike(r"^\s*try\b"), lead)
-    seen = rows.withColumn("lead", lead).withColumn("t", F.min(trys).over(place))
-    return seen.where(F.col("line").rlike(pattern)).select("file_id", "line_no", (F.col("t").isNotNull() & (F.col("t") < F.col("lead"))).alias("guarded"))
+def in_try(texts: DataFrame, pattern: str, back: int = 15, ahead: int = 20) -> DataFrame:
+    """(file_id, line_no, guarded): lines that hold a pattern, and whether a try stands in the lines before at less indent and
+    its handler in the lines after; texts: the lines of files as arrays."""
+    lead = lambda x: F.length(F.regexp_extract(x, r"^(\s*)", 1))
+
+    def test(x, i):
+        before = F.slice("all_", F.greatest(F.lit(1), i - back + 1), F.least(i, F.lit(back)))
+        after = F.slice("all_", i + 2, ahead)
+        guarded = F.exists(before, lambda y: y.rlike(r"^\s*try\b") & (lead(y) < lead(x))) & F.exists(after, lambda y: y.rlike(r"^\s*\}?\s*(except|catch|finally)\b"))
+        return F.when(x.rlike(pattern), F.struct((i + 1).alias("line_no"), guarded.alias("guarded")))
+
+    found = F.filter(F.transform("all_", test), lambda s: s.isNotNull())
+    return texts.select("file_id", F.explode(found).alias("s")).select("file_id", "s.line_no", "s.guarded")
 
 
 def line_kinds(rows: DataFrame) -> DataFrame:

@@ -66,15 +66,15 @@ ADVISORIES = [("nimbusgrid", "<5", "ADV-1", "high"), ("velumparse", ">=2,<8", "A
 
 
 def deps_packages(spark, d):
-    return D.lock_packages(table(spark, d, "codefile"))
+    return D.lock_packages(L.latest(table(spark, d, "codefile").select("file_id", "repo", "file_path", "raw_content", "ingested_at")))
 
 
 def deps_affected(spark, d):
-    return D.affected(D.lock_packages(table(spark, d, "codefile")), ADVISORIES).select("repo", "package", "version", "advisory", "severity")
+    return D.affected(D.lock_packages(L.latest(table(spark, d, "codefile").select("file_id", "repo", "file_path", "raw_content", "ingested_at"))), ADVISORIES).select("repo", "package", "version", "advisory", "severity")
 
 
 def deps_scores(spark, d):
-    return D.scores(D.affected(D.lock_packages(table(spark, d, "codefile")), ADVISORIES))
+    return D.scores(D.affected(D.lock_packages(L.latest(table(spark, d, "codefile").select("file_id", "repo", "file_path", "raw_content", "ingested_at"))), ADVISORIES))
 
 
 def deps_env(spark, d):

@@ -20,6 +20,10 @@ def _rows(spark, d):
     return L.lines(_files(spark, d, "file_path"))
 
 
+def _texts(spark, d):
+    return L.arrays(_files(spark, d, "file_path"))
+
+
 def _fs(spark, d):
     return O.functions(_files(spark, d, "file_path", "functions"))
 
@@ -58,11 +62,11 @@ def lines_todo(spark, d):
 
 
 def lines_commented_code(spark, d):
-    return L.commented_code(_rows(spark, d))
+    return L.commented_code(_texts(spark, d))
 
 
 def lines_deep_nesting(spark, d):
-    return L.deep_nesting(_rows(spark, d))
+    return L.deep_nesting(_texts(spark, d))
 
 
 def lines_magic_numbers(spark, d):
@@ -70,15 +74,15 @@ def lines_magic_numbers(spark, d):
 
 
 def lines_io_in_loops(spark, d):
-    return L.io_in_loops(_rows(spark, d))
+    return L.io_in_loops(_texts(spark, d))
 
 
 def lines_docstrings(spark, d):
-    return L.docstring_lines(_rows(spark, d)).groupBy("file_id").agg(F.count("*").alias("n"), F.sum("line_no").alias("line_sum"))
+    return L.docstring_lines(_texts(spark, d)).groupBy("file_id").agg(F.count("*").alias("n"), F.sum("line_no").alias("line_sum"))
 
 
 def lines_silent_except(spark, d):
-    return L.silent_except(_rows(spark, d))
+    return L.silent_except(_texts(spark, d))
 
 
 SIGNALS = {"timeout": r"\btimeout\b", "retry": r"\bretr(y|ies)\b", "cache": r"\bcache", "json_loads": r"json\.loads", "goroutine": r"\bgo func\b", "final_window": r"final_?[wW]indow"}
@@ -232,6 +236,15 @@ _BITS = " + ".join(f"CASE WHEN regexp_matches(raw_content, {_q('(?m)' + p)}) THE
 _CAPS = f"WITH RECURSIVE {_FILES}, c AS (SELECT file_id, repo, {_BITS} AS signature FROM f WHERE raw_content IS NOT NULL)"
 _MATURE = ", ".join(f"max(regexp_matches(concat_ws(chr(10), file_path, raw_content), {_q('(?m)' + p)})::INT)" for p in O.MATURITY.values())
 
+_D3, _S3 = "repeat(chr(34), 3)", "repeat(chr(39), 3)"
+_MARK = "CASE WHEN a.q <> '' THEN a.q ELSE b.f END"
+#: A fold over the lines of a file: which mark is open, how many lines are inside, and the sum of their numbers.
+_DOCSTRINGS = f"""p AS (SELECT file_id, line_no, CASE WHEN instr(line, {_D3}) = 0 AND instr(line, {_S3}) = 0 THEN '' WHEN instr(line, {_S3}) = 0 OR instr(line, {_D3}) BETWEEN 1 AND instr(line, {_S3}) THEN 'd' ELSE 's' END AS f,
+ (length(line) - length(replace(line, {_D3}, ''))) // 3 % 2 AS od, (length(line) - length(replace(line, {_S3}, ''))) // 3 % 2 AS os FROM l WHERE language = 'python'),
+ g AS (SELECT file_id, list_prepend({{'q': '', 'f': '', 'od': 0, 'os': 0, 'i': 0, 'n': 0, 's': 0}}, list({{'q': '', 'f': f, 'od': od::INT, 'os': os::INT, 'i': line_no::INT, 'n': 0, 's': 0}} ORDER BY line_no)) AS s FROM p GROUP BY file_id),
+ r AS (SELECT file_id, list_reduce(s, lambda a, b: {{'q': CASE WHEN ({_MARK}) = '' OR (CASE WHEN ({_MARK}) = 'd' THEN b.od ELSE b.os END) = 0 THEN a.q WHEN a.q = '' THEN b.f ELSE '' END, 'f': '', 'od': 0, 'os': 0, 'i': 0, 'n': a.n + CASE WHEN ({_MARK}) <> '' THEN 1 ELSE 0 END, 's': a.s + CASE WHEN ({_MARK}) <> '' THEN b.i ELSE 0 END}}) AS z FROM g)
+ SELECT file_id, z.n::BIGINT AS n, z.s::BIGINT AS line_sum FROM r WHERE z.n > 0"""
+
 SQL = {
     "lines_security": _W + "," + _hits(L.SECURITY) + " SELECT file_id, rule, severity, count(*) AS n, min(line_no) AS first_line FROM h GROUP BY ALL",
     "lines_quality": _W + "," + _hits(L.QUALITY) + " SELECT rule, language, count(*) AS n, count(DISTINCT file_id) AS n_files FROM h GROUP BY ALL",
@@ -241,11 +254,11 @@ SQL = {
     "lines_first_hits": _W + "," + _hits(L.SECURITY, f" AND NOT {_COMMENT}") + " SELECT file_id, rule, min(line_no) AS line_no FROM h GROUP BY ALL",
     "lines_confirmed": _W + "," + _hits(L.SECURITY) + r" SELECT file_id, line_no FROM h WHERE rule = 'sql_text' AND file_id IN (SELECT file_id FROM l WHERE regexp_matches(line, '\bload\w*\('))",
     "lines_todo": _W + r", t AS (SELECT file_id, line_no, regexp_extract(line, '^\s*(?:#+|//+|/?\*+)\s*(BUG|FIXME|HACK|TODO|XXX)\b', 1) AS tag FROM l) SELECT file_id, line_no, tag, CASE WHEN tag IN ('BUG','FIXME') THEN 'high' WHEN tag IN ('HACK','TODO') THEN 'medium' ELSE 'low' END AS severity FROM t WHERE tag <> ''",
-    "lines_commented_code": _W + r", t AS (SELECT file_id, line_no, line_no - row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS g FROM l WHERE regexp_matches(line, '^\s*(#|//)\s*[\w.]+\s*(=|:=|\()|^\s*(#|//)\s*(return|if|for|while)\b.*')) SELECT file_id, min(line_no) AS first_line, count(*) AS n FROM t GROUP BY file_id, g HAVING count(*) >= 2",
+    "lines_commented_code": _W + r", t AS (SELECT file_id, line_no, line_no - row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS g FROM l WHERE regexp_matches(line, '^\s*(#|//)\s*[\w.]+\s*(=|:=|\()|^\s*(#|//)\s*(return|if|for|while)\b.*')) SELECT file_id, min(line_no) AS first_line, count(*) AS n FROM t GROUP BY file_id, g HAVING count(*) >= 3",
     "lines_deep_nesting": _W + r", t AS (SELECT file_id, line_no, floor(length(replace(regexp_extract(line, '^([ \t]*)', 1), chr(9), '    ')) / (CASE WHEN language IN ('javascript','typescript') THEN 2 ELSE 4 END))::INT AS depth FROM l WHERE length(trim(line)) > 0), k AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS k FROM t WHERE depth > 4) SELECT file_id, line_no, depth FROM k WHERE k <= 5",
     "lines_magic_numbers": _W + rf", t AS (SELECT file_id, unnest(regexp_extract_all(line, '(?:^|[^\w.])(\d{{3,9}})(?:$|[^\w.])', 1))::BIGINT AS value FROM l WHERE NOT {_COMMENT} AND NOT regexp_matches(line, '[\"''`]')) SELECT file_id, value, count(*) AS n FROM t WHERE NOT {_FINE} GROUP BY ALL",
     "lines_io_in_loops": _W + r", t AS (SELECT file_id, line_no, line, max(regexp_matches(line, '\b(open|fetch|publish|load)\w*\(')::INT) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS io FROM l) SELECT file_id, line_no FROM t WHERE io = 1 AND regexp_matches(line, '^\s*(for|while)\b')",
-    "lines_docstrings": _W + """, t AS (SELECT file_id, line_no, len(regexp_extract_all(line, '\"\"\"')) AS marks FROM l WHERE language = 'python'), i AS (SELECT *, coalesce(sum(marks) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 AS inside FROM t) SELECT file_id, count(*) AS n, sum(line_no) AS line_sum FROM i WHERE inside = 1 OR marks > 0 GROUP BY file_id""",
+    "lines_docstrings": f"WITH {_FILES}, {_LINES}, " + _DOCSTRINGS,
     "lines_silent_except": _W + r", t AS (SELECT file_id, line_no, line, lead(line) OVER (PARTITION BY file_id ORDER BY line_no) AS nx FROM l) SELECT file_id, line_no FROM t WHERE regexp_matches(line, '^\s*except\b.*:\s*$|catch\s*(\([^)]*\))?\s*\{\s*$') AND nx IS NOT NULL AND NOT regexp_matches(nx, '(?i)log|warn|error|raise|throw')",
     "lines_absent_signals": _W + ", s AS (" + " UNION ALL ".join(f"SELECT split_part(file_path, '/', 1) AS repo, {_q(n)} AS signal, max(regexp_matches(line, {_q(p)})::INT) AS seen FROM l GROUP BY 1" for n, p in SIGNALS.items()) + ") SELECT repo, signal FROM s WHERE seen = 0",
     "files_latest": f"WITH {_FILES} SELECT file_id, file_path, ingested_at, md5(coalesce(raw_content, '')) AS digest FROM f",

@@ -16,7 +16,7 @@ from gneiss.session import cut, table
 
 
 def _facts(spark, d):
-    return A.python_facts(L.latest(table(spark, d, "codefile")))
+    return A.python_facts(L.latest(table(spark, d, "codefile").select("file_id", "file_path", "raw_content", "ingested_at")))
 
 
 def facts_counts(spark, d):
@@ -66,11 +66,11 @@ def verify_confidence(spark, d):
 
 
 def verify_in_try(spark, d):
-    return V.in_try(L.lines(L.latest(table(spark, d, "codefile"))), r"\bload\w*\(")
+    return V.in_try(L.arrays(L.latest(table(spark, d, "codefile").select("file_id", "file_path", "raw_content", "ingested_at"))), r"\bload\w*\(")
 
 
 def verify_line_kinds(spark, d):
-    return V.line_kinds(L.lines(L.latest(table(spark, d, "codefile"))))
+    return V.line_kinds(L.lines(L.latest(table(spark, d, "codefile").select("file_id", "file_path", "raw_content", "ingested_at"))))
 
 
 def verify_representation(spark, d):
@@ -110,7 +110,7 @@ SQL = {
     "verify_confidence": """WITH f AS (SELECT DISTINCT file_path FROM codefile), p AS (SELECT array_to_string(string_split(file_path, '/')[1:2], '/') AS module, avg((file_path IN (SELECT file_path FROM chunks))::INT) AS parsed FROM f GROUP BY 1),
  c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id) AS rn FROM chunks) WHERE rn = 1 AND lower(chunk_type) IN ('function','method','class')), d AS (SELECT array_to_string(string_split(file_path, '/')[1:2], '/') AS module, avg((trim(coalesce(docstring, '')) <> '')::INT) AS documented FROM c GROUP BY 1),
  b AS (SELECT module, round(coalesce(documented, 0.0::DOUBLE), 4) AS documented, round(parsed, 4) AS parsed, round(0.5::DOUBLE * coalesce(documented, 0.0::DOUBLE) + 0.5::DOUBLE * parsed, 4) AS confidence FROM p LEFT JOIN d USING (module)) SELECT *, CASE WHEN confidence >= 0.6 THEN 'high' WHEN confidence >= 0.3 THEN 'medium' ELSE 'low' END AS level FROM b""",
-    "verify_in_try": _W + r", x AS (SELECT file_id, line_no, line, length(regexp_extract(line, '^(\s*)', 1)) AS lead FROM l), y AS (SELECT *, min(CASE WHEN regexp_matches(line, '^\s*try\b') THEN lead END) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING) AS t FROM x) SELECT file_id, line_no, t IS NOT NULL AND t < lead AS guarded FROM y WHERE regexp_matches(line, '\bload\w*\(')",
+    "verify_in_try": _W + r", x AS (SELECT file_id, line_no, line, length(regexp_extract(line, '^(\s*)', 1)) AS lead FROM l), y AS (SELECT *, min(CASE WHEN regexp_matches(line, '^\s*try\b') THEN lead END) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING) AS t, max(regexp_matches(line, '^\s*\}?\s*(except|catch|finally)\b')::INT) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS h FROM x) SELECT file_id, line_no, t IS NOT NULL AND t < lead AND coalesce(h, 0) = 1 AS guarded FROM y WHERE regexp_matches(line, '\bload\w*\(')",
     "verify_line_kinds": _W + f"SELECT language, CASE WHEN trim(line) = '' THEN 'blank' WHEN {_COMMENT} THEN 'comment' ELSE 'code' END AS kind, count(*) AS n FROM l GROUP BY ALL",
     "verify_representation": _BASE + f", s AS (SELECT module, count(*) AS n_symbols FROM u JOIN m USING (id) WHERE type <> 'module' GROUP BY 1) SELECT module, {_LAYER % 'module'} AS layer, coalesce(n_symbols, 0) AS n_symbols, coalesce(fan_out, 0) AS n_out, coalesce(fan_in, 0) = 0 AS is_entry FROM s FULL JOIN fan USING (module)",
     "verify_ledger": _F + f"SELECT id, category, severity, file_path, line FROM f WHERE lower(category) = 'dependency' AND contains(lower(concat_ws(' ', title, detail, file_path)), 'parcel') ORDER BY {_RANK}, file_path, line, id LIMIT 50",
