@@ -146,7 +146,8 @@ def _range(text: str) -> str:
     for b in text.split(","):
         op = b[:2] if b[1] == "=" else b[0]
         v = [int(x) for x in b[len(op) :].split(".")]
-        parts.append(f"list_resize({_V}, 6, 0) {op} {(v + [0] * 6)[:6]}")
+        test = {">=": "NOT {} < {}", ">": "NOT {} <= {}"}.get(op, "{} " + op + " {}")  # as a range, lists would be compared by BETWEEN, which takes none
+        parts.append(test.format(f"list_resize({_V}, 6, 0)", (v + [0] * 6)[:6]))
     return " AND ".join(parts)
 
 
