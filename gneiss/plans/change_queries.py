@@ -146,8 +146,8 @@ def _range(text: str) -> str:
     for b in text.split(","):
         op = b[:2] if b[1] == "=" else b[0]
         v = [int(x) for x in b[len(op) :].split(".")]
-        test = {">=": "NOT {} < {}", ">": "NOT {} <= {}"}.get(op, "{} " + op + " {}")  # as a range, lists would be compared by BETWEEN, which takes none
-        parts.append(test.format(f"list_resize({_V}, 6, 0)", (v + [0] * 6)[:6]))
+        padded = f"array_to_string(list_transform(list_resize({_V}, 6, 0), lambda x: lpad(x::VARCHAR, 9, '0')), '.')"  # texts compare by BETWEEN, lists don't
+        parts.append(f"{padded} {op} '" + ".".join(f"{x:09d}" for x in (v + [0] * 6)[:6]) + "'")
     return " AND ".join(parts)
 
 

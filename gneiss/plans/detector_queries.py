@@ -11,7 +11,7 @@ from gneiss.operators import files as O
 from gneiss.operators import findings as N
 from gneiss.operators import graph as G
 from gneiss.operators import lines as L
-from gneiss.plans.change_queries import ADVISORIES
+from gneiss.plans.change_queries import _AFFECTED, ADVISORIES
 from gneiss.plans.file_queries import _COMMENT, _FILES, _FUNCS, _LINES, _files, _fs, _hits, _rows, _texts
 from gneiss.plans.graph_queries import _BASE
 from gneiss.session import table
@@ -202,9 +202,7 @@ SQL = {
     "sca_unpinned_imports": rf"{_F}, {_ROOTS}, p AS (SELECT repo, unnest(string_split(file_path, '/')) AS root FROM f UNION SELECT repo, regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\.[A-Za-z0-9]+$', '') FROM f), h AS (SELECT DISTINCT repo FROM f WHERE regexp_matches(file_path, '(^|/)(requirements[\w.-]*\.txt|pyproject\.toml|package\.json|go\.mod|setup\.py)$')) SELECT repo, root AS package, min(file_path) AS first_file FROM r WHERE lang = 'python' AND root <> '' AND root NOT IN {_STD} AND NOT starts_with(root, '_') AND repo NOT IN (SELECT repo FROM h) AND (repo, root) NOT IN (SELECT (repo, root) FROM p) GROUP BY 1, 2",
     "sca_deprecated": f"{_F}, {_LOCKS}, t AS (SELECT unnest(['tinyglyph-token0', 'oakframe-whitelist1', 'dgrijalva/jwt-go']) AS k, unnest(['glyphs', 'frames', 'github.com/golang-jwt/jwt']) AS migration) SELECT DISTINCT repo, package, migration FROM p JOIN t ON regexp_replace(package, '/v[0-9]+$', '') = k OR ends_with(regexp_replace(package, '/v[0-9]+$', ''), '/' || k)",
     "sca_runtime_installs": _W + r"SELECT file_id, min(line_no) AS line_no FROM l WHERE regexp_matches(line, '(?:os\.system|subprocess\.\w+|Popen|check_call)\(.*\bpip[3]?\b.*\binstall\b|pip\.main\(|exec\w*\(.*\bnpm (?:install|i)\b') GROUP BY file_id",
-    "sca_gated": f"""{_F}, {_LOCKS}, s AS (SELECT repo, max(regexp_matches(raw_content, '(?i)velumparse\\.load')::INT) AS g2, max(contains(raw_content, 'def ')::INT) AS g1 FROM f WHERE raw_content IS NOT NULL GROUP BY repo), v AS (SELECT *, list_transform(string_split(version, '.'), lambda x: x::INT) AS n FROM p),
- a AS (SELECT DISTINCT repo, package, 'ADV-1' AS advisory, 'high' AS severity FROM v WHERE starts_with(package, 'nimbusgrid') AND n[1] < 5 UNION SELECT DISTINCT repo, package, 'ADV-2', 'critical' FROM v WHERE starts_with(package, 'velumparse') AND n[1] IN (2, 3, 4, 5, 6, 7) UNION SELECT DISTINCT repo, package, 'ADV-3', 'low' FROM v WHERE starts_with(package, 'oakframe') AND NOT n <= [3, 0, 0]
- UNION SELECT DISTINCT repo, package, 'ADV-4', 'medium' FROM v WHERE starts_with(package, 'quillmark') AND NOT n < [1, 2] AND n < [9, 1]) SELECT a.repo, package, advisory, CASE WHEN advisory = 'ADV-1' AND coalesce(g1, 0) = 0 OR advisory = 'ADV-2' AND coalesce(g2, 0) = 0 THEN 'low' ELSE severity END AS severity FROM a LEFT JOIN s USING (repo)""",
+    "sca_gated": _AFFECTED + f", f0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC) AS rn FROM codefile) WHERE rn = 1), s AS (SELECT repo, max(regexp_matches(raw_content, '(?i)velumparse\\.load')::INT) AS g2, max(contains(raw_content, 'def ')::INT) AS g1 FROM f0 WHERE raw_content IS NOT NULL GROUP BY repo) SELECT DISTINCT a.repo, package, advisory, CASE WHEN advisory = 'ADV-1' AND coalesce(g1, 0) = 0 OR advisory = 'ADV-2' AND coalesce(g2, 0) = 0 THEN 'low' ELSE severity END AS severity FROM a LEFT JOIN s ON a.repo = s.repo",
     "sca_osv": f"{_F}, {_LOCKS}, n AS (SELECT count(DISTINCT package) AS n FROM p) SELECT 'CVE-2024-1' AS advisory, 'medium' AS severity, 'a' AS summary, '1.2' AS fixed, n AS n_packages FROM n WHERE n > 0 UNION ALL SELECT 'G-2', 'medium', 'b', NULL, n FROM n WHERE n > 0",
     "sca_drift": rf"{_F}, {_LOCKS}, {_ROOTS}, e AS (SELECT DISTINCT repo, lower(regexp_extract(package, '([A-Za-z][\w-]*?)(?:-[a-z_]+\d*)?$', 1)) AS package FROM p), u AS (SELECT DISTINCT repo, lower(root) AS package FROM r WHERE root <> '' AND root NOT IN {_STD} AND repo IN (SELECT repo FROM e)) SELECT *, 'declared' AS side FROM (SELECT * FROM e EXCEPT SELECT * FROM u) UNION ALL SELECT *, 'imported' FROM (SELECT * FROM u EXCEPT SELECT * FROM e)",
     "gov_settings_secrets": _W + rf"SELECT file_id, line_no FROM l WHERE regexp_matches(lower(file_path), '\.(env|ya?ml|json|toml|cfg|ini|conf)$') AND {_SETS}",
