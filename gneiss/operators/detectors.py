@@ -336,7 +336,11 @@ def prompt_governance(docs: DataFrame) -> DataFrame:
 
 #: Rules on relying on a model's answer and on giving its weights away, and the classes of risk that other rules belong to.
 MODEL_RULES = {"LLM09": r"(?i)\b(eval|exec)\(\s*(response|answer|completion|llm\w*)|return\s+(response|answer|completion)\s*$", "LLM10": r"(?i)(model|weights)\w*\.(save|upload|push_to_hub|export)\w*\(|send_file\(.*\.(pt|onnx|safetensors)"}
-RISK_CLASSES = {"AGENT-SEC-01": "LLM01", "AGENT-SEC-02": "LLM01", "AGENT-SEC-08": "LLM02", "AGENT-SEC-20": "LLM06", "AGENT-SEC-LEAK": "LLM06", "AGENT-SEC-06": "LLM07", "AGENT-SEC-36": "LLM02", "AGENT-SEC-62": "LLM05", "AGENT-SEC-SSRF": "LLM07"}
+RISK_CLASSES = {
+    "AGENT-SEC-01": "LLM01", "AGENT-SEC-02": "LLM01", "AGENT-SEC-03": "LLM01", "AGENT-SEC-36": "LLM02", "AGENT-SEC-37": "LLM02", "AGENT-SEC-LMEXEC": "LLM02", "AGENT-SEC-66": "LLM02", "AGENT-SEC-04": "LLM03", "AGENT-SEC-54": "LLM03", "AGENT-SEC-58": "LLM03", "AGENT-SEC-59": "LLM03",
+    "AGENT-SEC-10": "LLM04", "AGENT-SEC-11": "LLM04", "AGENT-SEC-12": "LLM04", "AGENT-SEC-26": "LLM04", "AGENT-SEC-70": "LLM04", "AGENT-SEC-62": "LLM05", "AGENT-SEC-DESER": "LLM05", "AGENT-SEC-06": "LLM07", "AGENT-SEC-07": "LLM07", "AGENT-SEC-AUTH": "LLM07", "AGENT-SEC-PT": "LLM07", "AGENT-SEC-SSRF": "LLM07",
+    "AGENT-SEC-08": "LLM08", "AGENT-SEC-16": "LLM08", "AGENT-SEC-17": "LLM08",
+}
 
 
 def model_risks(rows: DataFrame, rules: tuple) -> DataFrame:

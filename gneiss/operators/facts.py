@@ -15,15 +15,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
+from gneiss.operators.lines import latest
 
 _SCHEMA = "file_id bigint, kind string, name string, line int, end_line int, names array<string>, flag boolean"
 _ARROW = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.bool_()]
+#: Calls that block an event loop, fixed values.
+BLOCKING = frozenset("time.sleep requests.get requests.post requests.put requests.delete requests.patch requests.head urllib.request.urlopen socket.connect socket.recv socket.send subprocess.run subprocess.call subprocess.Popen os.system os.popen".split())
 _DEF = re.compile(r"^[ \t]*(?:async[ \t]+)?(def|class)[ \t]+(\w+)", re.M)
 
 
 def facts_of(text: str) -> list[tuple]:
     """(kind, name, line, end line, names, flag): function (parameters, has **kwargs), class (bases, has docstring),
-    import (bound names), call (keyword names, has ** argument), handler (empty, is silent), fallback definitions."""
+    import (bound names), call (keyword names, has ** argument), handler (empty, is silent), fallback definitions; documented
+    (functions: names are the number of statements; has docstring), variable (assigned name), blocking (call in an async function),
+    shadowed (parameter that is never read while a settings object gives the same name)."""
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
@@ -33,8 +38,18 @@ def facts_of(text: str) -> list[tuple]:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             a = node.args
             out.append(("function", node.name, node.lineno, node.end_lineno, [x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs)], a.kwarg is not None))
+            out.append(("documented", node.name, node.lineno, node.end_lineno, [str(len(node.body))], ast.get_docstring(node) is not None))
+            own = {x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs)} - {"self", "cls"}
+            read = {x.id for s in node.body for x in ast.walk(s) if isinstance(x, ast.Name)}
+            given = {x.attr for s in node.body for x in ast.walk(s) if isinstance(x, ast.Attribute) and re.search(r"(?i)config|cfg|settings|options", ast.unparse(x.value))}
+            out += [("shadowed", node.name, node.lineno, node.end_lineno, [n], False) for n in sorted((own - read) & given)]
+            if isinstance(node, ast.AsyncFunctionDef):
+                calls = ((x, ast.unparse(x.func)) for s in node.body for x in ast.walk(s) if isinstance(x, ast.Call))
+                out += [("blocking", name, x.lineno, x.end_lineno, [node.name], False) for x, name in calls if name in BLOCKING]
         elif isinstance(node, ast.ClassDef):
             out.append(("class", node.name, node.lineno, node.end_lineno, [ast.unparse(b) for b in node.bases], ast.get_docstring(node) is not None))
+        elif isinstance(node, ast.Name) and isinstance(node.ctx, ast.Store):
+            out.append(("variable", node.id, node.lineno, node.end_lineno, [], False))
         elif isinstance(node, (ast.Import, ast.ImportFrom)):
             module = getattr(node, "module", None) or ""
             out.append(("import", module, node.lineno, node.end_lineno, [x.asname or x.name.split(".")[0] for x in node.names], False))
@@ -51,6 +66,7 @@ def facts_of(text: str) -> list[tuple]:
 
 def python_facts(files: DataFrame) -> DataFrame:
     """_SCHEMA: the facts of every Python file with content, once per file_id."""
+    files = latest(files.select(*[c for c in ("file_id", "file_path", "raw_content", "ingested_at") if c in files.columns]))
     rows = files.where(F.col("raw_content").isNotNull() & (T.language(F.col("file_path")) == "python")).select("file_id", "raw_content")
 
     def run(batches):
@@ -63,11 +79,48 @@ def python_facts(files: DataFrame) -> DataFrame:
 
 
 def unknown_keywords(facts: DataFrame) -> DataFrame:
-    """(file_id, name, line, keyword): keywords of calls that no function of that name takes, unless one takes any."""
-    own = facts.where("kind = 'function'").groupBy("name").agg(F.array_distinct(F.flatten(F.collect_set("names"))).alias("takes"), F.max("flag").alias("any"))
+    """(file_id, name, line, keyword): keywords of calls that no function of that name takes, unless one takes any.
+
+    Parameters are rows: however many functions bear a name, nothing is collected per name."""
+    own = facts.where("kind = 'function'")
+    names = own.groupBy("name").agg(F.max("flag").alias("any"))
+    takes = own.select("name", F.explode("names").alias("keyword")).distinct()
+    calls = facts.where("kind = 'call' and size(names) > 0 and not flag").select("file_id", "name", "line", F.explode("names").alias("keyword")).distinct()
+    return calls.join(names.where("not any").select("name"), "name", "left_semi").join(takes, ["name", "keyword"], "left_anti").select("file_id", "name", "line", "keyword")
+
+
+def missing_arguments(facts: DataFrame, about: str = r"(?i)size|width|height|(^|_)[xy]$|scale|limit|count") -> DataFrame:
+    """(file_id, name, line, parameter): calls that pass some keywords but not a size or place that every function of the name takes."""
+    own = facts.where("kind = 'function'")
+    many = own.groupBy("name").agg(F.count("*").alias("n"))
+    takes = own.select("name", F.explode("names").alias("parameter")).where(F.col("parameter").rlike(about)).groupBy("name", "parameter").agg(F.count("*").alias("k")).join(many, "name").where("k = n").select("name", "parameter")
     calls = facts.where("kind = 'call' and size(names) > 0 and not flag").select("file_id", "name", "line", "names")
-    hit = calls.join(own, "name").where("not any").select("file_id", "name", "line", F.explode(F.array_except("names", "takes")).alias("keyword"))
-    return hit.distinct()
+    return calls.join(takes, "name").where(~F.array_contains("names", F.col("parameter"))).select("file_id", "name", "line", "parameter").distinct()
+
+
+def undocumented_functions(facts: DataFrame, above: int = 2) -> DataFrame:
+    """(file_id, name, line): public functions of more than two statements without a docstring."""
+    return facts.where("kind = 'documented' and not flag").where(~F.startswith("name", F.lit("_")) & (F.col("names")[0].cast("int") > above)).select("file_id", "name", "line")
+
+
+def single_letters(facts: DataFrame, fine: tuple[str, ...] = ("i", "j", "k", "n", "x", "y", "_", "e", "f")) -> DataFrame:
+    """(file_id, name, line): variables of one letter that are not customary."""
+    return facts.where("kind = 'variable'").where((F.length("name") == 1) & ~F.col("name").isin(*fine)).select("file_id", "name", "line").distinct()
+
+
+def class_names(facts: DataFrame) -> DataFrame:
+    """(file_id, name, line, suggestion): classes that begin with a small letter."""
+    return facts.where("kind = 'class'").where(F.col("name").rlike("^[a-z]")).select("file_id", "name", "line", F.concat(F.upper(F.substring("name", 1, 1)), F.expr("substring(name, 2)")).alias("suggestion"))
+
+
+def blocking_calls(facts: DataFrame) -> DataFrame:
+    """(file_id, name, line, inside): calls that block, inside asynchronous functions."""
+    return facts.where("kind = 'blocking'").select("file_id", "name", "line", F.col("names")[0].alias("inside")).distinct()
+
+
+def shadowed_parameters(facts: DataFrame) -> DataFrame:
+    """(file_id, name, line, parameter): parameters that are ignored for a setting of the same name."""
+    return facts.where("kind = 'shadowed'").select("file_id", "name", "line", F.col("names")[0].alias("parameter"))
 
 
 def unused_helpers(facts: DataFrame) -> DataFrame:

@@ -81,38 +81,96 @@ GOVERNANCE = (
     Rule("PITFALL-02", "medium", r"\bdef\s+\w+\([^)]*=\s*(\[\]|\{\}|set\(\))", "", ("python",)),
     Rule("PITFALL-03", "medium", r"^\s*\w+\s*=\s*open\(", r"\bwith\b", ("python",)),
     Rule("PITFALL-05", "medium", r"os\.path\.exists\(.*\).*open\(|if\s+os\.path\.exists\("),
-    Rule("PITFALL-06", "low", r"^\s*global\s+\w+", "", ("python",)),
-    Rule("PITFALL-07", "medium", r"\b(open|requests\.\w+|urlopen)\(", r"timeout|with |encoding", ("python",)),
+    Rule("PITFALL-04", "medium", r"\bexcept\b.*:\s*(return|continue)\b", "", ("python",)),
+    Rule("PITFALL-06", "medium", r"\bThread\(.*\)\.start\(\)", r"daemon", ("python",)),
+    Rule("PITFALL-07", "low", r"=\s*\w+\.(read|readlines)\(\)", "", ("python",)),
+    Rule("IRON-SEC-18", "high", r"(?i)\b(jwt\.decode|decode_token)\(.*verify\w*\s*[=:]\s*(False|false)"),
+    Rule("IRON-GOV-01", "medium", r"(?i)\b(no|without any) (risk|review) (is )?(needed|required)\b"),
+    Rule("IRON-GOV-03", "medium", r"(?i)\b(best|only|first) in the (world|industry)\b"),
+    Rule("IRON-QUAL-01", "low", r"^\s*print\(", "", ("python",)),
 )
+#: Risks of programs that act on a model's word; ids and severities are fixed values, the patterns hold to one line each.
 AGENT = (
-    Rule("AGENT-SEC-01", "critical", r"(?i)(prompt|system_message|instructions?)\s*(=|\+=)\s*f[\"'].*\{(user|input|query|request|message)"),
-    Rule("AGENT-SEC-02", "high", r"(?i)(prompt|messages?)\.(format|append|replace)\(.*(user|input|query)"),
-    Rule("AGENT-SEC-03", "high", r"(?i)\bcontext\s*\+=|history\.(append|extend)\(.*(input|user)"),
-    Rule("AGENT-SEC-06", "blocker", r"shutil\.rmtree\(|os\.remove\(|\brm -rf\b|unlinkSync\(|os\.RemoveAll\("),
-    Rule("AGENT-SEC-07", "blocker", r"\bos\.system\(|subprocess\.(run|call|Popen)\("),
-    Rule("AGENT-SEC-08", "high", r"(?i)\.execute\(\s*[\"']?\s*(insert|update|delete|drop|alter)\b|[\"'](DELETE|DROP|UPDATE) \w+"),
-    Rule("AGENT-SEC-09", "medium", r"(?i)\bwrite_text\(|open\([^)]*[\"']w"),
-    Rule("AGENT-SEC-10", "blocker", r"(?i)while\s+true.*\b(llm|model|agent|complete|chat)"),
-    Rule("AGENT-SEC-11", "high", r"(?i)max_?(tokens|iterations|steps)\s*[:=]+\s*(None|null|nil|-1|[1-9]\d{5,})"),
-    Rule("AGENT-SEC-12", "medium", r"(?i)\bmax_?tokens\s*[:=]+\s*\d{4,}"),
-    Rule("AGENT-SEC-13", "high", r"(?i)(requests\.post|fetch|http\.Post)\(.*(prompt|context|history|memory)"),
-    Rule("AGENT-SEC-14", "medium", r"(?i)https?://hooks\.|webhook"),
-    Rule("AGENT-SEC-16", "medium", r"(?i)auto_?(approve|confirm|run|execute)\s*[:=]+\s*true"),
-    Rule("AGENT-SEC-18", "high", r"(?i)\b(log|logger|print|console)\w*[.(].*\b(email|phone|ssn|id_?card|address)\b"),
-    Rule("AGENT-SEC-20", "blocker", r"\b\d{3}-\d{2}-\d{4}\b|\b(?:4\d{3}|5[1-5]\d{2})(?:[ -]?\d{4}){3}\b"),
-    Rule("AGENT-SEC-22", "high", r"(?i)\bdebug\s*[:=]+\s*true|DEBUG\s*=\s*True"),
-    Rule("AGENT-SEC-24", "high", r"(?i)cors|access-control-allow-origin.*\*|allow_origins\s*=\s*\[\s*[\"']\*"),
-    Rule("AGENT-SEC-30", "blocker", r"exec\.Command\(\s*[\"'](sh|bash)[\"']", "", ("go",)),
-    Rule("AGENT-SEC-32", "high", r"fmt\.Sprintf\(\s*[\"`](SELECT|INSERT|UPDATE|DELETE)", "", ("go",)),
-    Rule("AGENT-SEC-35", "medium", r"_\s*=\s*\w+\.\w+\(|,\s*_\s*:?=\s*\w+\(", "", ("go",)),
-    Rule("AGENT-SEC-36", "blocker", r"\beval\(|new Function\(", "", ("javascript", "typescript")),
-    Rule("AGENT-SEC-37", "high", r"child_process|execSync\(", "", ("javascript", "typescript")),
-    Rule("AGENT-SEC-60", "high", r"Runtime\.getRuntime\(\)|ProcessBuilder\(", "", ("java",)),
-    Rule("AGENT-SEC-62", "blocker", r"ObjectInputStream\(|readObject\(\)", "", ("java",)),
-    Rule("AGENT-SEC-64", "high", r"Statement\(\)|createStatement\(|executeQuery\(\s*\"[^\"]*\"\s*\+", "", ("java",)),
-    Rule("AGENT-SEC-69", "medium", r"(?i)\b(connect|open)\w*\(", r"(?i)with |close|defer|using|try"),
+    # what reaches a prompt
+    Rule("AGENT-SEC-01", "critical", r"(?i)(prompt|system_message|instructions?)\s*(=|\+=)\s*f[\"'].*\{\s*(user|input|query|question|request|message|content)"),
+    Rule("AGENT-SEC-02", "high", r"(?i)[\"']?role[\"']?\s*[:=]\s*[\"']system[\"'].*(\{|\+|format\().*(user|input|query)"),
+    Rule("AGENT-SEC-03", "high", r"(?i)(prompt|context|messages?)\s*(\+=|=|\.append\(|\.extend\()\s*.*\b(page|html|body|document|web|remote|external)_?(text|content)\b"),
+    Rule("AGENT-SEC-04", "medium", r"(?i)(knowledge|memory|vector_?store|kb)\w*\.(add|insert|upsert|save)\w*\(.*\b(user|input|response|answer)"),
+    Rule("AGENT-SEC-05", "medium", r"(?i)\b(prompt|context)\b\s*(=|\+=).*\b(join|read)\("),
+    # tools
+    Rule("AGENT-SEC-06", "blocker", r"shutil\.rmtree\(|os\.(remove|unlink)\(|\brm -rf\b|unlinkSync\(|os\.RemoveAll\("),
+    Rule("AGENT-SEC-07", "blocker", r"\bos\.(system|popen)\(|subprocess\.(run|call|Popen|check_output)\("),
+    Rule("AGENT-SEC-08", "high", r"\.(execute|executemany|commit|write|save)\("),
+    Rule("AGENT-SEC-09", "medium", r"(?i)\b(requests|httpx|aiohttp|session)\.(get|post|put|delete|patch|request)\(|\burlopen\("),
+    Rule("AGENT-SEC-10", "blocker", r"(?i)while\s*\(?\s*(true|1)\b.*\b(llm|model|agent|complete|chat)"),
+    Rule("AGENT-SEC-11", "high", r"(?i)max_?tokens\s*[:=]+\s*(None|null|nil|-1)\b"),
+    Rule("AGENT-SEC-12", "medium", r"(?i)\b(messages|history|context|conversation)\.(append|extend|push)\("),
+    # what leaves
+    Rule("AGENT-SEC-13", "high", r"(?i)\b(log|logger|logging|print|console)\w*[.(].*\b(prompt|messages|system_message)\b"),
+    Rule("AGENT-SEC-14", "medium", r"(?i)[?&](api_?key|token|access_?key)=|headers?\[.?(authorization|x-api-key).?\]\s*=\s*[\"'][A-Za-z0-9]"),
+    Rule("AGENT-SEC-15", "medium", r"(?i)(post|put|send|upload)\w*\(.*\b(password|secret|credential|private_?key|personal)"),
+    Rule("AGENT-SEC-16", "medium", r"(?i)\b(auto_?)?retry\w*\s*[:=]+\s*true|for\s+\w*(attempt|retry)\w*\s+in\s+range"),
+    Rule("AGENT-SEC-17", "high", r"(?i)(write|dump|save)\w*\(.*\b(config|settings|policy|rules)\.(json|ya?ml|toml|py)"),
+    Rule("AGENT-SEC-18", "high", r"(?i)\b(log|logger|logging|print|console)\w*[.(].*\be?mail\b"),
+    Rule("AGENT-SEC-19", "high", r"(?i)\b(log|logger|logging|print|console)\w*[.(].*\b(phone|mobile)\w*"),
+    Rule("AGENT-SEC-20", "blocker", r"(?i)\b(log|logger|logging|print|console)\w*[.(].*\b(id_?card|ssn|passport)\w*"),
+    Rule("AGENT-SEC-21", "high", r"(?i)f[\"'].*\{\s*\w*\.?(phone|id_?card|email|ssn|address)\w*\s*\}"),
+    # settings
+    Rule("AGENT-SEC-22", "high", r"(?i)\bdebug\s*[:=]+\s*true\b"),
+    Rule("AGENT-SEC-23", "medium", r"\b(pickle|marshal|shelve|dill)\.(loads?|open)\(|yaml\.load\(", r"SafeLoader"),
+    Rule("AGENT-SEC-24", "high", r"(?i)access-control-allow-origin.*\*|allow_origins\s*=\s*\[\s*[\"']\*|cors\(\s*\)|AllowAllOrigins"),
+    Rule("AGENT-SEC-25", "medium", r"\b(requests|httpx)\.(get|post|put|delete|patch|head)\(|\burlopen\("),
+    Rule("AGENT-SEC-26", "medium", r"(?i)\b(chat|completions?|messages)\.create\(|\.generate_content\("),
+    # Go
+    Rule("AGENT-SEC-30", "blocker", r"exec\.Command\(\s*[\"'](sh|bash|/bin/sh|/bin/bash)[\"']", "", ("go",)),
+    Rule("AGENT-SEC-31", "blocker", r"exec\.Command\(\s*[\"']sudo[\"']", "", ("go",)),
+    Rule("AGENT-SEC-32", "high", r"exec\.Command\w*\(", "", ("go",)),
+    Rule("AGENT-SEC-33", "high", r"(?i)(Sprintf|template)\w*\(.*(server_name|proxy_pass|location\s)", "", ("go",)),
+    Rule("AGENT-SEC-34", "high", r"(filepath|path)\.Join\(.*(Query|Param|FormValue|req\.|r\.URL)", "", ("go",)),
+    Rule("AGENT-SEC-35", "medium", r"[\"']https?://[^\"']*[?=/][\"']\s*\+\s*\w+", r"QueryEscape|PathEscape", ("go",)),
+    Rule("AGENT-SEC-40", "high", r"(?i)HandleFunc\(\s*[\"'][^\"']*(admin|delete|exec|config|user)", r"(?i)auth", ("go",)),
+    Rule("AGENT-SEC-41", "high", r"(?i)(blacklist|denylist|forbidden)\w*.*(contains|strings\.|in )"),
+    Rule("AGENT-SEC-51", "medium", r"time\.NewTicker\(", r"Stop", ("go",)),
+    Rule("AGENT-SEC-52", "medium", r"go func\(.*(WriteFile|\.Write\()", "", ("go",)),
+    Rule("AGENT-SEC-53", "high", r"(os\.WriteFile|ioutil\.WriteFile|os\.Create)\(.*(req\.|r\.|body|param)", "", ("go",)),
+    Rule("AGENT-SEC-55", "high", r"(?i)(class|plugin)_?name\w*\s*[:=]+.*(req\.|Query|Param|FormValue)", "", ("go",)),
+    Rule("AGENT-SEC-56", "high", r"http\.(Get|Post|NewRequest)\w*\(.*(url|target|addr|endpoint)\w*", "", ("go",)),
+    # scripts of the web
+    Rule("AGENT-SEC-36", "blocker", r"child_process|\bexecSync\(|\bspawn\(", "", ("javascript", "typescript")),
+    Rule("AGENT-SEC-37", "high", r"\beval\(|new Function\(", "", ("javascript", "typescript")),
+    Rule("AGENT-SEC-66", "high", r"v-html\s*=|dangerouslySetInnerHTML|innerHTML\s*=", "", ("javascript", "typescript")),
+    Rule("AGENT-SEC-67", "high", r"(?i)[\"'`][^\"'`]*[?&]token=", "", ("javascript", "typescript")),
+    Rule("AGENT-SEC-68", "high", r"(?i)(app|router)\.(get|post|put|delete)\(\s*[\"'][^\"']*(admin|delete|exec|config)", r"(?i)auth", ("javascript", "typescript")),
+    # PHP
+    Rule("AGENT-SEC-38", "blocker", r"\b(shell_exec|system|passthru|proc_open|exec)\s*\(", "", ("php",)),
+    Rule("AGENT-SEC-39", "high", r"\b(eval|assert|create_function)\s*\(", "", ("php",)),
+    Rule("AGENT-SEC-44", "high", r"(?i)(display_errors|app_debug)[\"']?\s*(=>|=|,)\s*[\"']?(on|true|1)", "", ("php",)),
+    Rule("AGENT-SEC-45", "high", r"new\s+\$\w+|class_exists\(\s*\$", "", ("php",)),
+    Rule("AGENT-SEC-46", "high", r"\$this->\{?\$\w+|call_user_func(_array)?\(\s*\$", "", ("php",)),
+    Rule("AGENT-SEC-57", "high", r"(curl_setopt\(.*CURLOPT_URL|file_get_contents\()\s*.*\$", "", ("php",)),
+    # Java
+    Rule("AGENT-SEC-60", "high", r"(?i)(executeQuery|executeUpdate|prepareStatement|createQuery)\(\s*\"[^\"]*\"\s*\+", "", ("java",)),
+    Rule("AGENT-SEC-61", "high", r"(?i)@(Get|Post|Put|Delete|Request)Mapping\(.*(admin|delete|exec|config)", "", ("java",)),
+    Rule("AGENT-SEC-62", "blocker", r"ObjectInputStream\(|\breadObject\(\)", "", ("java",)),
+    Rule("AGENT-SEC-63", "high", r"(new File|Paths\.get)\(.*\+\s*\w*(name|path|file|param)", "", ("java",)),
+    Rule("AGENT-SEC-64", "high", r"(?i)(HttpClient|RestTemplate|URL\()\w*.*\b(url|target|endpoint)\w*\b", "", ("java",)),
+    Rule("AGENT-SEC-65", "high", r"(?i)String\s+\w*(password|secret|token|api_?key)\w*\s*=\s*\"[^\"]{8,}\"", r"(?i)token_?budget|changeme|example", ("java",)),
+    # data and graphs
+    Rule("AGENT-SEC-54", "medium", r"(?i)\b(json|pickle|yaml)\.loads?\(.*(knowledge|graph)"),
+    Rule("AGENT-SEC-58", "high", r"\b(json|yaml|pickle)\.(load|safe_load)\("),
+    Rule("AGENT-SEC-59", "high", r"(?i)\b(kg|graph|knowledge)\w*\.(search|query|from_dict|load)\w*\("),
+    Rule("AGENT-SEC-69", "medium", r"\[[^\n]*Image\.open\([^)]*\)\s*for\s"),
+    Rule("AGENT-SEC-70", "high", r"(?i)while\s+not\s+\w+\.(done|status|ready|complete|finished)\b"),
+    Rule("AGENT-SEC-42", "high", r"(?i)(promql|query_range|/api/v1/query)\w*.*(\{\w+\}|\+|format\()"),
+    Rule("AGENT-SEC-43", "high", r"(?i)if\s+not\s+\w*(users|keys|accounts)\b.*:\s*return\s+true|not\s+\w+\.get\(\s*[\"']authenticated"),
+    Rule("AGENT-SEC-AUTH", "high", r"@(router|app)\.(get|post|put|delete)\(", "", ("python",)),
+    Rule("AGENT-SEC-PT", "high", r"(?i)(open|join|Path)\(.*\b(request|args|params|user)\w*[.\[]\w*"),
+    Rule("AGENT-SEC-DESER", "blocker", r"\b(pickle|dill|jsonpickle)\.(loads?|decode)\("),
+    Rule("AGENT-SEC-SANDBOX", "medium", r"--no-sandbox|--disable-web-security|sandbox\s*[:=]\s*(false|False)"),
     Rule("AGENT-SEC-LEAK", "high", r"(?i)traceback\.(print_exc|format_exc)\(|printStackTrace\(|err\.stack"),
-    Rule("AGENT-SEC-SSRF", "high", r"(?i)(get|post|fetch|urlopen)\(\s*(url|target|address|endpoint)\w*\s*[,)]"),
+    Rule("AGENT-SEC-LMEXEC", "blocker", r"ShellTool\(|PythonREPL|SQLDatabaseChain|db_chain\.(run|invoke)\("),
+    Rule("AGENT-SEC-SECRET", "high", r"(?i)\bsave_env\(|open\([^)]*\.env[^)]*[\"']w|write_text\(.*(api_?key|secret|token)"),
+    Rule("AGENT-SEC-SSRF", "high", r"(?i)(get|post|fetch|urlopen|download)\w*\(\s*(url|target|address|endpoint)\w*\s*[,)]"),
 )
 #: What a robust project shows somewhere; AGENT-RESILIENCE checks report what no line of it shows.
 RESILIENCE = {

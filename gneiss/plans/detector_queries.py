@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
+from gneiss.operators import agentscan as A
 from gneiss.operators import dependencies as D
 from gneiss.operators import detectors as X
 from gneiss.operators import files as O
@@ -168,6 +169,15 @@ def prompts_governance(spark, d):
     return X.prompt_governance(table(spark, d, "documents"))
 
 
+def agent_findings(spark, d):
+    """The agent rules in context: what is left after suppression, with the severity that the context gives."""
+    return A.findings(_texts(spark, d)).select("file_id", "line_no", "rule", "severity", "why")
+
+
+def agent_fates(spark, d):
+    return A.fates(_texts(spark, d))
+
+
 def risks_with_models(spark, d):
     return X.model_risks(_rows(spark, d), L.AGENT)
 
@@ -177,7 +187,7 @@ QUERIES = {
     for f in (
         simplify_large_functions, simplify_large_classes, simplify_dead_classes, simplify_replaceable, simplify_thin_abstractions, simplify_thin_wrappers, simplify_savings, sca_unpinned_imports, sca_deprecated, sca_runtime_installs, sca_gated, sca_osv, sca_drift,
         gov_settings_secrets, gov_document_secrets, gov_secrets_written, gov_architecture, gov_mutual, gov_credential_lines, gov_undated_statistics, blind_undocumented_folders, blind_unindexed, junk_orphans, resources_missing_paths, findings_reverified, flow_broken_contracts,
-        code_go_functions, code_projects, findings_typed_whitelist, search_by_file, prompts_governance, risks_with_models,
+        code_go_functions, code_projects, findings_typed_whitelist, search_by_file, prompts_governance, agent_findings, agent_fates, risks_with_models,
     )
 }
 
@@ -232,7 +242,7 @@ SQL = {
     "risks_with_models": _W
     + ", "
     + _hits(L.AGENT, f" AND NOT {_COMMENT}")
-    + rf""", c AS (SELECT file_id, CASE rule WHEN 'AGENT-SEC-01' THEN 'LLM01' WHEN 'AGENT-SEC-02' THEN 'LLM01' WHEN 'AGENT-SEC-08' THEN 'LLM02' WHEN 'AGENT-SEC-36' THEN 'LLM02' WHEN 'AGENT-SEC-62' THEN 'LLM05' WHEN 'AGENT-SEC-06' THEN 'LLM07' WHEN 'AGENT-SEC-SSRF' THEN 'LLM07' ELSE 'LLM06' END AS risk FROM h
+    + rf""", c AS (SELECT file_id, CASE WHEN rule IN ('AGENT-SEC-01','AGENT-SEC-02','AGENT-SEC-03') THEN 'LLM01' WHEN rule IN ('AGENT-SEC-36','AGENT-SEC-37','AGENT-SEC-LMEXEC','AGENT-SEC-66') THEN 'LLM02' WHEN rule IN ('AGENT-SEC-04','AGENT-SEC-54','AGENT-SEC-58','AGENT-SEC-59') THEN 'LLM03' WHEN rule IN ('AGENT-SEC-10','AGENT-SEC-11','AGENT-SEC-12','AGENT-SEC-26','AGENT-SEC-70') THEN 'LLM04' WHEN rule IN ('AGENT-SEC-62','AGENT-SEC-DESER') THEN 'LLM05' WHEN rule IN ('AGENT-SEC-06','AGENT-SEC-07','AGENT-SEC-AUTH','AGENT-SEC-PT','AGENT-SEC-SSRF') THEN 'LLM07' WHEN rule IN ('AGENT-SEC-08','AGENT-SEC-16','AGENT-SEC-17') THEN 'LLM08' ELSE 'LLM06' END AS risk FROM h
  UNION ALL SELECT file_id, 'LLM09' FROM l WHERE NOT {_COMMENT} AND regexp_matches(line, '(?i)\b(eval|exec)\(\s*(response|answer|completion|llm\w*)|return\s+(response|answer|completion)\s*$') UNION ALL SELECT file_id, 'LLM10' FROM l WHERE NOT {_COMMENT} AND regexp_matches(line, '(?i)(model|weights)\w*\.(save|upload|push_to_hub|export)\w*\(|send_file\(.*\.(pt|onnx|safetensors)'))
  SELECT r.risk, count(c.file_id) AS n, count(DISTINCT c.file_id) AS n_files FROM (SELECT 'LLM' || lpad(unnest(range(1, 11))::VARCHAR, 2, '0') AS risk) r LEFT JOIN c ON c.risk = r.risk GROUP BY r.risk""",
 }

@@ -16,7 +16,7 @@ from gneiss.session import cut, table
 
 
 def _facts(spark, d):
-    return A.python_facts(L.latest(table(spark, d, "codefile").select("file_id", "file_path", "raw_content", "ingested_at")))
+    return A.python_facts(table(spark, d, "codefile"))
 
 
 def facts_counts(spark, d):
@@ -39,6 +39,30 @@ def facts_silent_handlers(spark, d):
     return A.silent_handlers(_facts(spark, d))
 
 
+def facts_undocumented_functions(spark, d):
+    return A.undocumented_functions(_facts(spark, d))
+
+
+def facts_single_letters(spark, d):
+    return A.single_letters(_facts(spark, d))
+
+
+def facts_class_names(spark, d):
+    return A.class_names(_facts(spark, d))
+
+
+def facts_blocking_calls(spark, d):
+    return A.blocking_calls(_facts(spark, d))
+
+
+def facts_shadowed_parameters(spark, d):
+    return A.shadowed_parameters(_facts(spark, d))
+
+
+def facts_missing_arguments(spark, d):
+    return A.missing_arguments(cut(_facts(spark, d)))
+
+
 def verify_flow(spark, d):
     steps = [V.Step(s) for s in ("load_", "trim", "publish", "no such step")]
     return V.verify_flow(table(spark, d, "nodes"), table(spark, d, "edges"), "trim_raw", steps)
@@ -89,7 +113,7 @@ def verify_ledger(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        facts_counts, facts_unknown_keywords, facts_unused_helpers, facts_undocumented_classes, facts_silent_handlers, verify_flow, verify_modules, verify_citations, verify_orphan_tests, verify_scopes,
+        facts_counts, facts_unknown_keywords, facts_unused_helpers, facts_undocumented_classes, facts_silent_handlers, facts_undocumented_functions, facts_single_letters, facts_class_names, facts_blocking_calls, facts_shadowed_parameters, facts_missing_arguments, verify_flow, verify_modules, verify_citations, verify_orphan_tests, verify_scopes,
         verify_confidence, verify_in_try, verify_line_kinds, verify_representation, verify_topology, verify_ledger,
     )
 }

@@ -117,3 +117,14 @@ def test_facts_have_cases(spark):
     facts = A.python_facts(files)
     assert got(A.unknown_keywords(facts), "name", "keyword") == [("f", "c")]
     assert got(A.unused_helpers(facts), "name") == [("_helper",)] and got(A.silent_handlers(facts), "line") == [(9,)]
+
+
+def test_parsed_facts(spark):
+    text = "class low:\n    pass\nasync def go(p):\n    time.sleep(1)\n    requests.get(p)\n    return p\ndef cut(row, width, limit=3):\n    q = config.limit\n    return row[:width] + q\ncut(row=1, limit=2)\ncut(row=1, width=2, limit=4)\ndef _own():\n    a = 1\n    b = 2\n    return a\n"
+    facts = A.python_facts(files_of(spark, {"text": text}, {"text": "def broken(:\n"}, {"text": None}))
+    assert got(A.class_names(facts), "name", "suggestion") == [("low", "Low")]
+    assert got(A.blocking_calls(facts), "name", "inside") == [("requests.get", "go"), ("time.sleep", "go")]
+    assert got(A.shadowed_parameters(facts), "name", "parameter") == [("cut", "limit")]
+    assert got(A.undocumented_functions(facts), "name") == [("go",)]
+    assert got(A.single_letters(facts), "name") == [("a",), ("b",), ("q",)]
+    assert got(A.missing_arguments(facts), "line", "parameter") == [(10, "width")]
