@@ -1,4 +1,4 @@
-"""Grammars of the languages. They recognise; precedence and targets of assignments are left to later passes."""
+"""Grammars of the languages. They recognise; precedence is left out, and what a grammar of symbols can't say is in early.py."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ PYTHON = """
 file = { stmt } ;
 stmt = line | compound ;
 line = simple { ';' simple } [ ';' ] NEWLINE ;
-simple = exprstmt | 'del' targets | 'pass' | 'break' | 'continue' | 'return' [ stars ] | 'raise' [ expr [ 'from' expr ] ]
+simple = exprstmt | 'del' dels | 'pass' | 'break' | 'continue' | 'return' [ stars ] | 'raise' [ expr [ 'from' expr ] ]
   | 'global' name { ',' name } | 'nonlocal' name { ',' name } | 'assert' expr [ ',' expr ]
   | 'import' dotas { ',' dotas } | 'from' from | 'type' name [ tparams ] '=' expr ;
 dotas = dotted [ 'as' name ] ;
@@ -29,13 +29,13 @@ from = ( dots [ dotted ] | dotted ) 'import' ( '*' | nameas { ',' nameas } | '('
 dots = ( '.' | '...' ) { '.' | '...' } ;
 nameas = name [ 'as' name ] ;
 name = NAME | 'match' | 'case' | 'type' ;
-exprstmt = rhs [ ':' expr [ '=' rhs ] | augop rhs | '=' rhs { '=' rhs } ] ;
+exprstmt = rhs | single ( ':' expr [ '=' rhs ] | augop rhs ) | targets '=' { targets '=' } rhs ;
 augop = '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '>>=' | '<<=' | '**=' ;
 rhs = yield | stars ;
 yield = 'yield' [ 'from' expr | stars ] ;
 stars = star { ',' star } [ ',' ] ;
 star = '*' flat | expr ;
-named = expr [ ':=' expr ] ;
+named = expr | name ':=' expr ;
 expr = 'lambda' [ lparams ] ':' expr | flat [ 'if' flat 'else' expr ] ;
 flat = unary { op unary } ;
 op = 'or' | 'and' | 'in' | 'not' 'in' | 'is' [ 'not' ] | '<' | '>' | '==' | '>=' | '<=' | '!=' | '|' | '^' | '&' | '<<' | '>>' | '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**' ;
@@ -47,20 +47,34 @@ member = '*' flat | named ;
 entries = entry [ comp | { ',' entry } [ ',' ] ] ;
 entry = '**' flat | '*' flat | named [ ':' expr ] ;
 comp = [ 'async' ] 'for' targets 'in' flat { 'if' compif | [ 'async' ] 'for' targets 'in' flat } ;
-compif = 'lambda' [ lparams ] ':' expr | flat [ ':=' flat ] ;
+compif = 'lambda' [ lparams ] ':' expr | flat | name ':=' flat ;
 targets = target { ',' target } [ ',' ] ;
-target = [ '*' ] primary ;
-args = arg { ',' arg } [ ',' ] ;
-arg = '*' expr | '**' expr | named [ '=' expr | comp ] ;
+target = [ '*' ] tatom ;
+tatom = tprim | '(' [ targets ] ')' | '[' [ targets ] ']' ;
+tprim = name | atom { '(' [ args ] ')' | '[' subs ']' | '.' name } ( '[' subs ']' | '.' name ) ;
+single = tprim | '(' single ')' ;
+dels = datom { ',' datom } [ ',' ] ;
+datom = tprim | '(' [ dels ] ')' | '[' [ dels ] ']' ;
+args = ( argp { ',' argp } [ ',' argk ] | argk ) [ ',' ] ;
+argp = '*' expr | named [ comp ] ;
+argk = name '=' expr { ',' ( name '=' expr | '*' expr ) } [ ',' argd ] | argd ;
+argd = '**' expr { ',' ( '**' expr | name '=' expr ) } ;
 subs = sub { ',' sub } [ ',' ] ;
 sub = '*' flat | named [ ':' [ expr ] [ ':' [ expr ] ] ] | ':' [ expr ] [ ':' [ expr ] ] ;
 strings = ( STRING | fstring ) { STRING | fstring } ;
 fstring = 'FS' { field } 'FE' ;
 field = 'F{' ( yield | stars ) [ 'F=' ] [ 'F!' name ] [ 'F:' { field } ] 'F}' ;
-lparams = lparam { ',' lparam } [ ',' ] ;
-lparam = name [ '=' expr ] | '*' [ name ] | '**' name | '/' ;
-params = param { ',' param } [ ',' ] ;
-param = name [ ':' expr ] [ '=' expr ] | '*' [ name [ ':' star ] ] | '**' name [ ':' expr ] | '/' ;
+lparams = ( lhead [ ',' ltail ] | ltail ) [ ',' ] ;
+lhead = name { ',' name } [ ',' '/' { ',' name } ] { ',' ldef } | { name ',' } ldef { ',' ldef } [ ',' '/' { ',' ldef } ] ;
+ldef = name '=' expr ;
+ltail = '*' name { ',' ( name | ldef ) } [ ',' lkw ] | '*' ',' ( name | ldef ) { ',' ( name | ldef ) } [ ',' lkw ] | lkw ;
+lkw = '**' name ;
+params = ( phead [ ',' ptail ] | ptail ) [ ',' ] ;
+phead = plain { ',' plain } [ ',' '/' { ',' plain } ] { ',' pdef } | { plain ',' } pdef { ',' pdef } [ ',' '/' { ',' pdef } ] ;
+plain = name [ ':' expr ] ;
+pdef = name [ ':' expr ] '=' expr ;
+ptail = '*' name [ ':' star ] { ',' ( plain | pdef ) } [ ',' pkw ] | '*' ',' ( plain | pdef ) { ',' ( plain | pdef ) } [ ',' pkw ] | pkw ;
+pkw = '**' name [ ':' expr ] ;
 tparams = '[' tparam { ',' tparam } [ ',' ] ']' ;
 tparam = [ '*' | '**' ] name [ ':' expr ] [ '=' star ] ;
 block = line | NEWLINE INDENT stmt { stmt } DEDENT ;
@@ -72,7 +86,7 @@ else = 'else' ':' block ;
 while = 'while' named ':' block [ else ] ;
 for = 'for' targets 'in' stars ':' block [ else ] ;
 with = 'with' ( withitem { ',' withitem } | '(' withitem { ',' withitem } [ ',' ] ')' ) ':' block ;
-withitem = expr [ 'as' target ] ;
+withitem = expr [ 'as' tatom ] ;
 try = 'try' ':' block ( except { except } [ else ] [ finally ] | finally ) ;
 except = 'except' [ '*' ] [ expr [ 'as' name ] ] ':' block ;
 finally = 'finally' ':' block ;
@@ -271,7 +285,7 @@ args = expr {{ ',' expr }} ;
 
 #: The lexer, grammar and dialects of each language; the first dialect is the strict one.
 LANGUAGES = {
-    "python": (lexers.python, PYTHON, ("python3",), {"inline": ("name", "op", "augop", "unary", "primary", "atom", "star", "rhs", "named", "member", "lparam", "param", "dots", "nameas", "dotted", "dotas", "entry", "strings", "sub", "withitem", "simple", "tparam", "closed")}),
+    "python": (lexers.python, PYTHON, ("python3",), {"inline": ("name", "op", "augop", "unary", "primary", "atom", "star", "rhs", "named", "member", "dots", "nameas", "dotted", "dotas", "entry", "strings", "sub", "withitem", "simple", "tparam", "closed", "target", "datom", "argp", "ldef", "lkw", "plain", "pdef", "pkw")}),
     "javascript": (lexers.javascript, JAVASCRIPT, ("module", "ts", "sloppy"), {"breaks": True, "eos": "eos", "barred": {"estmt": {"{", "function", "class"}}, "inline": ("ident", "anyname", "op", "aop", "unary", "primary", "spec", "modifier", "aelem", "note", "ret", "belem", "key", "decl", "var", "method", "fieldm", "index", "member", "prop")}),
     "go": (lexers.go, GO, ("go",), {"inline": ("op", "assignop", "unary", "operand", "iexpr", "arg", "names", "ispec", "field", "elem", "tpar", "param")}),
     "java": (lexers.java, JAVA, ("java",), {"inline": ("ident", "op", "prim", "first", "mod", "qname", "lparam", "apair", "par", "declarator", "targ", "tparam")}),

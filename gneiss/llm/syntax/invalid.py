@@ -1,7 +1,8 @@
 """Problem 3: source files that do not parse.
 
 Every file is read by the lexer of its extension's language and parsed once with all dialects of that language together;
-a file rejected by every dialect that the extension allows is flagged, with the line of the furthest token reached.
+a file rejected by every dialect that the extension allows is flagged, with the line of the furthest token reached. What a
+grammar accepts is then checked for the early errors of that dialect, over its tokens.
 
 Defined cases: null content is not judged; an empty Python, JavaScript, TypeScript or Java file is valid, an empty Go or
 JSON one is not; extensions without a grammar are never flagged; a file delivered twice counts once; whole files are
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm.batches import map_rows
-from gneiss.llm.syntax import grammars, lexers
+from gneiss.llm.syntax import early, grammars, lexers
 from gneiss.llm.syntax.gll import recognise
 
 #: Language and allowed dialects by extension.
@@ -39,9 +40,15 @@ def parse(text: str, language: str) -> tuple[tuple[str, ...], int, str]:
     except lexers.Bad as bad:
         return (), text.count("\n", 0, bad.at) + 1, bad.why
     mask, far = recognise(grammar, tokens)
-    accepted = tuple(d for d in dialects if mask & grammar.bits[d])
-    if accepted:
-        return accepted, 0, ""
+    accepted, first = [], None
+    for d in dialects:
+        if mask & grammar.bits[d]:
+            wrong = early.error(language, d, tokens, places, text)
+            first = first or wrong
+            if not wrong:
+                accepted.append(d)
+    if accepted or first:
+        return tuple(accepted), text.count("\n", 0, first[0]) + 1 if first else 0, first[1] if first else ""
     at = places[far] if far < len(places) else len(text)
     return (), text.count("\n", 0, at) + 1, f"unexpected {tokens[far].rstrip('~')}" if far < len(tokens) else "unexpected end"
 
@@ -51,7 +58,9 @@ def check(text: str, extension: str) -> tuple[bool, tuple[str, ...], int, str]:
     language, allowed = EXTENSIONS[extension]
     accepted, line, why = parse(text, language)
     valid = bool(set(accepted) & set(allowed))
-    return valid, accepted, line, why if valid or why else "only valid as " + ", ".join(accepted)
+    if valid:
+        return True, accepted, 0, ""
+    return valid, accepted, line, why if why else "only valid as " + ", ".join(accepted)
 
 
 def judged(files: DataFrame) -> DataFrame:
