@@ -2,12 +2,13 @@
 
 Vectors are scaled to length 1 and cut into halves; each half is quantised by its own codebook, and a pair of centroids
 is a cell. A query visits cells in the order of the summed distances of its halves to the cells' centroids, taken from
-a heap, until the cells visited hold CANDIDATES entries; the entries are then ranked by their exact cosine.
+a heap, until the cells visited hold CANDIDATES entries; the entries are then ranked by their cosine.
 
 Cells are gathered into groups of neighbouring cells and at most GROUP entries; cells above that are parted into blocks
 of their own. A query is sent once to each group it visits, with the cells it visits there; a task holds one group's
-entries and lets the queries stream past, so a cell that many queries visit needs no more memory. The best of each
-group are merged per query.
+entries and lets the queries stream past, so a cell that many queries visit needs no more memory. A group that more than
+VISITS queries are expected at, by the visits of PROBES of the sample, is copied, and its queries are dealt to the copies, so
+no task grows with the collection. The best of each group are merged per query. Vectors travel, and are ranked, as 16-bit floats.
 
 The codebooks are fitted on at most SAMPLE vectors, those with the smallest hashes of their ids; every vector is
 indexed and every vector is a query. The number of centroids grows with the root of the number of vectors.
@@ -32,6 +33,8 @@ SAMPLE, ROUNDS = 20_000, 8
 #: vectors per pair of centroids that the number aims at.
 CANDIDATES, GROUP = 10_000, 32_000
 FEWEST, MOST, DENSITY = 8, 1024, 150
+#: Queries that one copy of a group is expected to serve at most, and vectors of the sample that tell how many come.
+VISITS, PROBES = 120_000, 2_000
 #: Slots of the hashes of ids; those that hold a repeated id are broadcast.
 SLOTS = 1 << 20
 
@@ -73,6 +76,7 @@ class Index:
         self.books = books
         self.sizes: dict[int, int] = {}
         self.groups: dict[int, tuple[int, int]] = {}  # cell: first group, number of blocks
+        self.copies: list[tuple[int, int]] = []  # of each group: the number of its first copy, and how many there are
 
     def kind(self) -> type:
         """The smallest type that holds the number of a cell."""
@@ -106,6 +110,19 @@ class Index:
             arrays[cell // k2].append(cell % k2)
         self.by_first = [np.array(sorted(a), dtype=np.int64) for a in arrays]
 
+    def set_copies(self, probes: np.ndarray, n: int, candidates: int, most: int) -> None:
+        """Copies the groups at which the probes, each for its share of n queries, come more often than most."""
+        total = 1 + max((first + blocks - 1 for first, blocks in self.groups.values()), default=-1)
+        came = np.zeros(total)
+        for cells in self.visits(probes, candidates):
+            for g in {g for c in cells for g in range(self.groups[c][0], sum(self.groups[c]))}:
+                came[g] += n / max(1, len(probes))
+        at = 0
+        for load in came:
+            k = max(1, -(-int(load) // most))
+            self.copies.append((at, k))
+            at += k
+
     def visits(self, x: np.ndarray, candidates: int) -> list[list[int]]:
         """For each vector the cells to visit, by the heap over pairs of centroids in order of their distances."""
         h = x.shape[1] // 2
@@ -170,7 +187,7 @@ def _once(rows: DataFrame) -> tuple[DataFrame, int]:
     return single.unionAll(placed.join(repeated, "s_", "left_semi").groupBy("k_").agg(F.min("v_").alias("v_"))), n
 
 
-def neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", k: int = 5, candidates: int = CANDIDATES, group: int = GROUP) -> DataFrame:
+def neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", k: int = 5, candidates: int = CANDIDATES, group: int = GROUP, visits: int = VISITS) -> DataFrame:
     """(key string, near array<struct<id, cosine>> by falling cosine): the k most similar others of every usable vector."""
     spark = df.sparkSession
     schema = "k_ string, near array<struct<id:string,cosine:float>>"
@@ -182,7 +199,8 @@ def neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embedding",
     rows, n = _once(_usable(df, key, vector, dim))
     # the sample: an expected SAMPLE rows by hash, cut to SAMPLE
     share = min(1.0, SAMPLE / max(n, 1))
-    sample = rows.where(F.pmod(F.xxhash64("k_"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(SAMPLE).select("k_", "v_").toArrow()
+    slot = F.pmod(F.xxhash64("k_"), F.lit(1 << 20))
+    sample = rows.where(slot < int(share * (1 << 20)) + 1).orderBy(slot, "k_").limit(SAMPLE).select("k_", "v_").toArrow()
     if sample.num_rows == 0:
         return spark.createDataFrame([], schema).withColumnRenamed("k_", key)
     order = np.argsort(np.array(sample.column(0).to_pylist()), kind="stable")
@@ -202,6 +220,7 @@ def neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embedding",
 
     counted = rows.mapInArrow(sizes, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most the square of the centroids
     index.set_sizes(dict(zip(counted.column(0).to_pylist(), counted.column(1).to_pylist())), group)
+    index.set_copies(x[:: max(1, len(x) // PROBES)], n, candidates, visits)
     known = spark.sparkContext.broadcast(index)
 
     def spread(batches):
@@ -218,11 +237,13 @@ def neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embedding",
                 groups, keys, packed, lists, own = [], [], [], [], []
                 for i, cell in enumerate(cells.tolist()):
                     first, blocks = ix.groups[cell]
-                    groups.append(first + (hash_of(ids[i]) % blocks if blocks > 1 else 0))
-                    keys.append(ids[i])
-                    packed.append(small[i].tobytes())
-                    lists.append(None)
-                    own.append(cell)
+                    start, copies = ix.copies[first + (hash_of(ids[i]) % blocks if blocks > 1 else 0)]
+                    for g in range(start, start + copies):
+                        groups.append(g)
+                        keys.append(ids[i])
+                        packed.append(small[i].tobytes())
+                        lists.append(None)
+                        own.append(cell)
                 for i, visited in enumerate(ix.visits(v, candidates)):
                     there: dict[int, list[int]] = {}
                     for cell in visited:
@@ -230,7 +251,8 @@ def neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embedding",
                         for g in range(first, first + blocks):
                             there.setdefault(g, []).append(cell)
                     for g, list_ in there.items():
-                        groups.append(g)
+                        start, copies = ix.copies[g]
+                        groups.append(start + (hash_of(ids[i]) // 7 % copies if copies > 1 else 0))
                         keys.append(ids[i])
                         packed.append(small[i].tobytes())
                         lists.append(np.array(list_, kind).tobytes())

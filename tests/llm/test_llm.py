@@ -200,6 +200,8 @@ def test_knn_small_and_hot(spark):
     hot = spark.createDataFrame([(f"h{i:03d}", [1.0, 0.0, 0.0, 0.001 * i]) for i in range(300)], "chunk_id string, embedding array<float>")
     got = knn.neighbours(hot, candidates=300, group=50).collect()
     assert len(got) == 300 and all(len(r["near"]) == 5 for r in got)
+    copied = {r["chunk_id"]: [e["id"] for e in r["near"]] for r in knn.neighbours(hot, candidates=300, group=50, visits=40).collect()}
+    assert copied == {r["chunk_id"]: [e["id"] for e in r["near"]] for r in got}
 
 
 # 3 parsing
