@@ -2,7 +2,8 @@
 
 Comments (neighbouring lines together), string literals and docstrings are split into sentences; sentences of enough
 words are encoded with one zstandard dictionary per language, built from labelled documents and docstrings, and one built from code.
-The shortest encoding wins, and must beat that of code by a margin, else the span is code and not text.
+The shortest encoding wins, and must beat that of code, which statements of SQL are part of, by a margin, else the span is code
+and not text; nothing but the sizes of the encodings decides that, in every script and whatever the punctuation.
 
 The dictionaries are fitted on SAMPLE documents and SAMPLE chunks, those with the smallest hashes of their ids, and of
 each language at most DICTIONARY bytes. Sentences whose words speak for another language than the document's label, as
@@ -30,7 +31,7 @@ LANGS = ("en", "zh", "ja", "de", "fr", "es", "pt", "ru")
 #: Rows of each kind that the dictionaries are fitted on, their largest size, and the bytes of a dictionary.
 SAMPLE, SAMPLE_CHARS, DICTIONARY = 3000, 4000, 48 * 1024
 #: An encoding as text must be shorter than that as code by this share.
-MARGIN = 0.12
+MARGIN = 0.05
 MIN_WORDS, MIN_CJK = 5, 10
 #: Common words of the languages written with spaces, fixed values; labelled text besides the documents.
 COMMON = {
@@ -84,7 +85,10 @@ def pieces(code: str, language: str, kind: str) -> list[tuple[str, str]]:
             out.append(("comment", lexing.inside(code, sort, a, b)))
         elif sort in ("string", "text"):
             body = lexing.inside(code, sort, a, b)
-            if language == "python" and sort == "text" and re.search(r"(?:^|[:\n])\s*$", code[max(0, a - 200) : a]):
+            i = a
+            while i and code[i - 1] in " \t\r":
+                i -= 1
+            if language == "python" and sort == "text" and (not i or code[i - 1] in ":\n"):
                 out.append(("docstring", body))
             else:
                 out.append(("string", body.replace("\\n", "\n").replace('\\"', '"').replace("\\'", "'").replace("\\t", " ")))
@@ -159,19 +163,11 @@ class Identifier:
     def _language(self, sentence: str) -> str:
         raw = sentence.encode()
         names = self.candidates(sentence)
-        if not names or _SQL.match(sentence):
+        if not names:
             return ""
         n, _, best = min((self.size(name, raw), LANGS.index(name), name) for name in names)
-        if "code" in self.by:
-            code = self.size("code", raw)
-            words = sentence.split()
-            signs = len(_CODEY.findall(sentence))
-            if not signs and sentence[0].isupper() and sentence[-1] in ".!?":
-                margin = -MARGIN  # looks like a sentence; code must fit it clearly better to win
-            else:
-                margin = MARGIN + (0.25 if signs * 4 > len(words) else 0)
-            if n > code * (1 - margin) and not _CJK.search(sentence):
-                return ""
+        if "code" in self.by and n > self.size("code", raw) * (1 - MARGIN):
+            return ""
         return best if n < len(raw) * 1.1 + 8 else ""
 
 
