@@ -6,9 +6,14 @@ visited, and is checkpointed, so neither plans nor executors carry the whole his
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from gneiss.functions.text import clean_path
 from gneiss.session import cut
@@ -122,6 +127,9 @@ def orphan_edges(nodes: DataFrame, edges: DataFrame, known: DataFrame | None = N
 
 # closures
 
+#: Ids that are broadcast at most, and arcs that one task takes at most.
+FEW, LOCAL_ARCS = 100_000, 500_000
+
 
 def closure(edges: DataFrame, start: DataFrame, hops: int, backward: bool = False, types: tuple[str, ...] | None = None, stop_above: int | None = None) -> DataFrame:
     """(id, depth): what the start ids reach within some hops, with the fewest hops.
@@ -131,15 +139,18 @@ def closure(edges: DataFrame, start: DataFrame, hops: int, backward: bool = Fals
     """
     arcs = edges.where(F.col("type").isin(*types)) if types else edges
     a, b = ("target", "source") if backward else ("source", "target")
-    arcs = arcs.select(F.col(a).alias("id"), F.col(b).alias("to")).distinct()
+    arcs = arcs.select(F.col(a).alias("id"), F.col(b).alias("to"))  # a bag: what repeats goes with the ids reached
     known = cut(start.select("id").distinct().withColumn("depth", F.lit(0)))
-    frontier = known
+    frontier, n_new = known, known.count()
+    n_known = n_new
     for depth in range(1, hops + 1):
-        if stop_above is not None and known.count() > stop_above:
-            break
-        frontier = cut(arcs.join(frontier, "id").select(F.col("to").alias("id")).distinct().join(known, "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        if stop_above is not None and n_known > stop_above or not n_new:
             break
+        # as long as they are few, the frontier and what is known go to the arcs, which are not shuffled
+        ahead, behind = (F.broadcast(x) if n <= FEW else x for x, n in ((frontier.select("id"), n_new), (known.select("id"), n_known)))
+        frontier = cut(arcs.join(ahead, "id").select(F.col("to").alias("id")).join(behind, "id", "left_anti").distinct().withColumn("depth", F.lit(depth)))
+        n_new = frontier.count()
+        n_known += n_new
         known = known.unionByName(frontier)
     return known
 
@@ -175,9 +186,68 @@ def components(pairs: DataFrame) -> DataFrame:
     return labels
 
 
-def strong_components(arcs: DataFrame) -> DataFrame:
+def _strong(a: list[str], b: list[str]) -> dict[str, str]:
+    """Ids of a bounded number of arcs, with the smallest id of their strong component; Tarjan's walk without recursion."""
+    out: dict[str, list[str]] = {}
+    for x, y in zip(a, b):
+        out.setdefault(x, []).append(y)
+    order, low, on, stack, got = {}, {}, set(), [], {}
+    for root in out:
+        if root in order:
+            continue
+        walk = [(root, iter(out.get(root, ())))]
+        order[root] = low[root] = len(order)
+        stack.append(root)
+        on.add(root)
+        while walk:
+            v, following = walk[-1]
+            for w in following:
+                if w not in order:
+                    order[w] = low[w] = len(order)
+                    stack.append(w)
+                    on.add(w)
+                    walk.append((w, iter(out.get(w, ()))))
+                    break
+                if w in on:
+                    low[v] = min(low[v], order[w])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[v])
+                if low[v] == order[v]:
+                    members = []
+                    while True:
+                        w = stack.pop()
+                        on.discard(w)
+                        members.append(w)
+                        if w == v:
+                            break
+                    least = min(members)
+                    got.update((w, least) for w in members)
+    return got
+
+
+def in_one_task(arcs: DataFrame, solve: Callable[[list[str], list[str]], dict], schema: str) -> DataFrame:
+    """What solve says of all arcs (a, b) together; only for a number of arcs that has been checked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for batch in batches:
+            a += batch.column(0).to_pylist()
+            b += batch.column(1).to_pylist()
+        found = solve(a, b)
+        if found:
+            names = [f.name for f in fields]
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), fields[0].type), pa.array(list(found.values()), fields[1].type)], names=names)
+
+    fields = list(to_arrow_schema(_parse_datatype_string(schema)))
+    return arcs.select("a", "b").coalesce(1).mapInArrow(run, schema)
+
+
+def strong_components(arcs: DataFrame, local: int = LOCAL_ARCS) -> DataFrame:
     """(id, scc): strongly connected components of arcs (a, b), scc being the smallest id of each.
 
+    At most `local` arcs are walked in one task, be it at once or when trimming and colouring have left no more.
     Forward-backward colouring: ids without way in or out are trimmed; the smallest id that reaches a vertex colours it;
     what reaches the colour's own vertex within its colour is one component; the rest goes on.
     """
@@ -185,8 +255,12 @@ def strong_components(arcs: DataFrame) -> DataFrame:
     n = left.count()
     every = arcs.select(F.col("a").alias("id")).unionByName(arcs.select(F.col("b").alias("id"))).distinct()
     done = None
-    while True:
-        while n:  # trim, two layers a pass
+    while n:
+        if n <= local:
+            found = in_one_task(left, _strong, "id string, color string")
+            done = found if done is None else done.unionByName(found)
+            break
+        while n > local:  # trim, two layers a pass
             kept = left
             for _ in range(2):
                 inner = kept.select(F.col("a").alias("id")).intersect(kept.select(F.col("b").alias("id")))
@@ -195,8 +269,8 @@ def strong_components(arcs: DataFrame) -> DataFrame:
             n = left.count()
             if n == was:
                 break
-        if not n:
-            break
+        if n <= local:
+            continue
         color = cut(left.select(F.col("a").alias("id")).distinct().withColumn("color", F.col("id")))
         while True:  # forward: the smallest id that reaches each vertex, three steps a pass
             new = color.withColumn("was", F.col("color"))

@@ -119,10 +119,35 @@ def representation(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return symbols.join(fan, "module", "full_outer").select("module", G.layer(F.col("module")).alias("layer"), F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"), F.coalesce("fan_out", F.lit(0)).alias("n_out"), (F.coalesce("fan_in", F.lit(0)) == 0).alias("is_entry"))
 
 
-def topological_layers(arcs: DataFrame) -> DataFrame:
+def _layers(a: list[str], b: list[str]) -> dict[str, int | None]:
+    """Depths of the ids of a bounded number of arcs, round by round."""
+    waits, users = {}, {}
+    for x, y in zip(a, b):
+        waits[x] = waits.get(x, 0) + 1
+        waits.setdefault(y, 0)
+        users.setdefault(y, []).append(x)
+    depth = dict.fromkeys(waits)
+    level, n = [x for x, k in waits.items() if not k], 0
+    while level:
+        following = []
+        for y in level:
+            depth[y] = n
+            for x in users.get(y, ()):
+                waits[x] -= 1
+                if not waits[x]:
+                    following.append(x)
+        level, n = following, n + 1
+    return depth
+
+
+def topological_layers(arcs: DataFrame, local: int = G.LOCAL_ARCS) -> DataFrame:
     """(id, depth): ids by the round in which everything they depend on (a -> b: a depends on b) was placed; what lies on a
-    cycle, or depends on one, comes last with depth null."""
+    cycle, or depends on one, comes last with depth null. At most `local` arcs are walked in one task."""
     left = cut(arcs.where("a <> b").select("a", "b").distinct())
+    if left.count() <= local:
+        ids = arcs.select(F.col("a").alias("id")).unionByName(arcs.select(F.col("b").alias("id"))).distinct()
+        placed = G.in_one_task(left, _layers, "id string, depth int")
+        return ids.join(placed.withColumn("in_", F.lit(True)), "id", "left").select("id", F.when(F.col("in_"), F.col("depth")).otherwise(F.lit(0)).alias("depth"))
     ids = cut(arcs.select(F.col("a").alias("id")).unionByName(arcs.select(F.col("b").alias("id"))).distinct())
     placed = None
     for depth in count():

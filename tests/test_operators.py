@@ -40,6 +40,8 @@ def test_strong_components_against_brute_force(spark, seed):
                     r.add(b)
     want = {v: min(w for w in reach if w in reach[v] and v in reach[w]) for v in reach}
     got = {r["id"]: r["scc"] for r in G.strong_components(frame(spark, pairs, "a string, b string")).collect()}
+    for local in (0, 5):  # the distributed way alone, and finished in one task
+        assert {r["id"]: r["scc"] for r in G.strong_components(frame(spark, pairs, "a string, b string"), local=local).collect()} == got
     assert got == want
 
 

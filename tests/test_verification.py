@@ -60,6 +60,7 @@ def test_flow(spark):
 
 def test_topology(spark):
     arcs = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("z", "x"), ("c", "c")], "a string, b string")
+    assert {(r["id"], r["depth"]) for r in V.topological_layers(arcs, local=0).collect()} == {(r["id"], r["depth"]) for r in V.topological_layers(arcs).collect()}
     assert {(r["id"], r["depth"]) for r in V.topological_layers(arcs).collect()} == {("c", 0), ("b", 1), ("a", 2), ("x", None), ("y", None), ("z", None)}
 
 
