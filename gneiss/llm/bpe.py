@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,8 @@ class ByteBPE:
     def load(cls, path: str = VOCABULARY) -> "ByteBPE":
         """One instance per worker process and path."""
         if path not in _loaded:
-            _loaded[path] = cls(path)
+            sent = None if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+            _loaded[path] = cls(sent or path)
         return _loaded[path]
 
     def merge(self, word: bytes) -> list[int]:
@@ -93,8 +96,14 @@ class ByteBPE:
         return b"".join(map(self.strings.__getitem__, ids)).decode(errors="replace")
 
 
+def _send(df: DataFrame, path: str) -> None:
+    """Executors get the vocabulary from the driver; they may not have its path."""
+    df.sparkSession.sparkContext.addFile(path)
+
+
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """(key, ids array<int>): one row per row of df."""
+    _send(df, path)
 
     def run(batches):
         bpe = ByteBPE.load(path)
@@ -108,6 +117,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = V
 
 def count(df: DataFrame, text: str, path: str = VOCABULARY, out: str = "n_tokens") -> DataFrame:
     """df with the number of tokens of its column text; null and empty texts have 0."""
+    _send(df, path)
 
     @F.pandas_udf("int")
     def n(texts):
@@ -119,6 +129,8 @@ def count(df: DataFrame, text: str, path: str = VOCABULARY, out: str = "n_tokens
 
 
 def decoded(df: DataFrame, ids: str = "ids", out: str = "text", path: str = VOCABULARY) -> DataFrame:
+    _send(df, path)
+
     @F.pandas_udf("string")
     def text(column):
         bpe = ByteBPE.load(path)

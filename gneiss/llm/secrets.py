@@ -423,12 +423,12 @@ def scan(text: str | None) -> list[tuple[tuple[int, int], ...]]:
     return [tuple(x) for x in out]
 
 
-def redact(text: str | None, mark: str = "REDACTED") -> str | None:
+def redact(text: str | None, mark: str = "REDACTED", found: list | None = None) -> str | None:
     """The text with each secret replaced by mark; of one in several parts, the first by mark and the others by nothing."""
     if not text:
         return text
     out, at = [], 0
-    for parts in scan(text):
+    for parts in scan(text) if found is None else found:
         for i, (a, b) in enumerate(parts):
             out += [text[at:a], "" if i else mark, "".join(re.findall(r"\r?\n", text[a:b]))]  # a block leaves as many lines
             at = b
@@ -460,7 +460,7 @@ def redacted(df: DataFrame, src: str, key: str, text: str) -> DataFrame:
         def call(k, t):
             found = scan(t)
             if found:
-                yield src, k, len(found), redact(t)
+                yield src, k, len(found), redact(t, found=found)
 
         return call
 
