@@ -289,7 +289,9 @@ def shares(chunks: DataFrame, known: dict[str, bytes]) -> DataFrame:
 
     Class chunks are left out, for their methods are chunks of their own; repeated rows count once.
     """
-    rows = chunks.where(~F.lower(F.trim("chunk_type")).eqNullSafe("class")).dropDuplicates(["chunk_id"])
-    text = found(rows, known).groupBy("file_path", "lang").agg(F.sum("n_chars").alias("n_chars"))
-    total = rows.groupBy("file_path").agg(F.sum(F.length(F.coalesce("code", F.lit("")))).alias("total"))
+    rows = chunks.where(~F.lower(F.trim("chunk_type")).eqNullSafe("class"))
+    # repeated rows are dropped where nothing but numbers is left of them
+    text = found(rows, known).dropDuplicates(["chunk_id", "kind", "lang"]).groupBy("file_path", "lang").agg(F.sum("n_chars").alias("n_chars"))
+    sizes = rows.select("chunk_id", "file_path", F.length(F.coalesce("code", F.lit(""))).alias("n_")).dropDuplicates(["chunk_id"])
+    total = sizes.groupBy("file_path").agg(F.sum("n_").alias("total"))
     return text.join(total, "file_path").select("file_path", "lang", "n_chars", (F.col("n_chars") / F.greatest("total", F.lit(1))).alias("share"))
