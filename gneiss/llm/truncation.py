@@ -161,23 +161,40 @@ def limits(found: DataFrame) -> DataFrame:
     return piles.groupBy("source", "encoding").agg(F.max(F.struct("own", "length")).alias("top")).select("source", "encoding", F.col("top.length").alias("most"), F.col("top.own").alias("own"))
 
 
-def words_seen(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(before, word, n_end, n_inside, n_any): words by the word before them; where they end or stand inside list items that
-    aren't a text's last line, and anywhere but at the end of a text."""
+#: Words that are sent to the tasks at most, to count only what is asked for; beyond, every pair of words is counted.
+ASKED = 200_000
+
+
+def words_seen(docs: DataFrame, unsure: DataFrame, text: str = "text", most: int = ASKED) -> DataFrame:
+    """(before, word, n_end, n_inside, n_any): words by the word before them, where either is asked for by unsure (before, last);
+    where they end or stand inside list items that aren't a text's last line, and anywhere but at the end of a text."""
+    sides = unsure.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("w")), F.struct(F.lit(1).alias("side"), F.col("last").alias("w")))).alias("s")).select("s.*").distinct()
+    few = sides.limit(most + 1).collect()
+    asked = docs.sparkSession.sparkContext.broadcast(tuple(frozenset(r["w"] for r in few if r["side"] == i) for i in (0, 1)) if len(few) <= most else None)
 
     def run(batches):
+        known = asked.value
         for b in batches:
             ends, inside, anywhere = Counter(), Counter(), Counter()
             for t in b.column(0).to_pylist():
                 lines = t.replace("\r", "").rstrip().split("\n")
                 for i, line in enumerate(lines):
-                    words = [w.lower() for w in _WORD.findall(_bare(line.strip()))]
-                    pairs = list(zip([""] + words, words))
-                    last = i == len(lines) - 1
-                    anywhere.update(pairs[:-1] if last else pairs)
-                    if not last and _ITEM.match(line):
-                        inside.update(pairs[:-1])
-                        ends.update(pairs[-1:])
+                    item, last = _ITEM.match(line), i == len(lines) - 1
+                    words = _WORD.findall((_bare(line.strip()) if item or last else line).lower())
+                    if not words:
+                        continue
+                    pairs = list(zip(["", *words], words))
+                    final = pairs.pop()
+                    if not last:
+                        pairs.append(final)
+                    if known is not None:
+                        befores, lasts = known
+                        pairs = [p for p in pairs if p[0] in befores or p[1] in lasts]
+                    anywhere.update(pairs)
+                    if item and not last:
+                        if pairs and pairs[-1] is final:
+                            ends[pairs.pop()] += 1
+                        inside.update(pairs)
             keys = list(anywhere)
             counts = [pa.array([c[k] for k in keys], pa.int64()) for c in (ends, inside, anywhere)]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *counts], names=["before", "word", "n_end", "n_inside", "n_any"])
@@ -219,8 +236,8 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     at = limits(found).groupBy("source").agg(F.collect_list(F.struct("encoding", "most")).alias("limits"))  # at most one per encoding
     none = F.array().cast("array<struct<encoding:int,most:int>>")
     found = found.join(at, "source", "left").withColumn("at_limit", F.exists(F.coalesce("limits", none), lambda x: F.get(F.col("n"), x["encoding"]) == x["most"])).drop("limits", "n")
-    asked = found.where("verdict = 'unsure' and not at_limit").select("before", "last").distinct()
-    told = told_by_words(asked, cut(words_seen(docs, text)))
+    asked = cut(found.where("verdict = 'unsure' and not at_limit").select("before", "last").distinct())
+    told = told_by_words(asked, cut(words_seen(docs, asked, text)))
     found = found.join(told, ["before", "last"], "left")
     by_words = F.when(F.col("kind") == "list", F.col("mid_item")).otherwise(F.col("mid_word"))
     cut_itself = F.when(F.col("at_limit"), F.col("verdict") != "whole").otherwise((F.col("verdict") == "cut") | (F.col("verdict") == "unsure") & F.coalesce(by_words, F.lit(False)))

@@ -553,6 +553,9 @@ def test_truncation_of_short_texts(spark):
     got = {r["doc_id"]: r for r in truncation.judged(df).collect()}
     assert {k for k, r in got.items() if r["cut"]} == {100} | set(range(200, 212))
     assert got[200]["at_limit"] and not got[100]["at_limit"]
+    most, truncation.words_seen.__defaults__ = truncation.words_seen.__defaults__, ("text", 0)  # all pairs of words are counted
+    assert {r["doc_id"] for r in truncation.judged(df).where("cut").collect()} == {100} | set(range(200, 212))
+    truncation.words_seen.__defaults__ = most
 
 
 # all
