@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 from collections import Counter
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,16 +37,17 @@ def complexity(fs: DataFrame, above: int = 10) -> DataFrame:
 
 
 def cognitive(fs: DataFrame, at_least: int = 15) -> DataFrame:
-    """(file_id, name, start_line, load): branches weigh more the deeper the words before have nested, as one fold over the words."""
+    """(file_id, name, start_line, load): branches weigh more the deeper the words before have nested, which only grows; every return
+    but the last weighs one; as one fold over the words."""
     words = F.regexp_extract_all("code", F.lit(r"\b(?:if|for|while|except|catch|else|and|or|return)\b|&&|\|\|"), F.lit(0))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"))
     branch = lambda w: w.isin("if", "for", "while", "except", "catch")
-    step = lambda acc, w: F.struct((acc["n"] + F.when(branch(w), 1 + acc["depth"]).when(w == "return", 0).otherwise(1)).alias("n"), (acc["depth"] + F.when(branch(w) & (acc["depth"] < 3), 1).otherwise(0)).alias("depth"))
-    load = F.aggregate(words, zero, step, lambda acc: acc["n"])
+    step = lambda acc, w: F.struct((acc["n"] + F.when(branch(w), 1 + acc["depth"]).otherwise(1)).alias("n"), (acc["depth"] + F.when(branch(w), 1).otherwise(0)).alias("depth"))
+    load = F.aggregate(words, zero, step, lambda acc: acc["n"]) - F.array_contains(words, "return").cast("int")
     return fs.withColumn("load", load).where(F.col("load") >= at_least).select("file_id", "name", "start_line", "load")
 
 
-def parameters(fs: DataFrame, above: int = 2) -> DataFrame:
+def parameters(fs: DataFrame, above: int = 8) -> DataFrame:
     """(file_id, name, start_line, n): functions with many parameters, counted by commas at the first bracket."""
     inside = F.regexp_extract("code", r"\(([^()]*)\)", 1)
     n = F.when(F.trim(inside) == "", 0).otherwise(T.count_matches(inside, ",") + 1)
@@ -242,12 +244,20 @@ def capability_gaps(found: DataFrame, below: float = 0.6) -> DataFrame:
     return g.where((F.col("adoption") > 0) & (F.col("adoption") < below))
 
 
-def signature_pairs(found: DataFrame, shared: int = 8) -> DataFrame:
-    """(a, b): distinct signatures that share enough capabilities. There are at most 2^15 signatures, however many files."""
-    s = found.select("signature").distinct()
-    tags = s.select("signature", F.explode(F.sequence(F.lit(0), F.lit(len(CAPABILITIES) - 1))).alias("i")).where("shiftright(signature, i) & 1 = 1")
-    a, b = tags.select(F.col("signature").alias("a"), "i"), tags.select(F.col("signature").alias("b"), "i")
-    return a.join(b, "i").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= shared).select("a", "b")
+#: Capabilities that set a file apart from most others.
+SPECIAL = ("async", "sql", "http", "regex", "main")
+
+
+def signature_pairs(found: DataFrame, shared: int = 5, special: tuple[str, ...] = SPECIAL) -> DataFrame:
+    """(a, b): links of each distinct signature with the sets of `shared` capabilities it holds, one of them a special one (b below 0).
+
+    Signatures that share enough capabilities share such a set, so their components are those of these links; no two
+    signatures are compared. There are at most 2^15 signatures, however many files."""
+    bits = {n: i for i, n in enumerate(CAPABILITIES)}
+    sets = [sum(1 << bits[n] for n in c) for c in combinations(CAPABILITIES, shared) if set(c) & set(special)]
+    every = F.array(*[F.lit(x) for x in sets])
+    held = F.filter(every, lambda x: F.col("signature").bitwiseAND(x) == x)
+    return found.select("signature").distinct().select(F.col("signature").alias("a"), F.explode(held).alias("x")).select("a", (-F.col("x")).alias("b"))
 
 
 #: Architectures by words in paths and text.

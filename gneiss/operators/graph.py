@@ -155,6 +155,13 @@ def closure(edges: DataFrame, start: DataFrame, hops: int, backward: bool = Fals
     return known
 
 
+def entry_chain(nodes: DataFrame, edges: DataFrame, entry: str, hops: int = 8) -> DataFrame:
+    """(name, file_path, start_line, depth): functions and methods that an entry, resolved like any name, leads to by calls."""
+    functions = unique_nodes(nodes).where(F.col("type").isin("function", "method"))
+    reached = closure(edges, resolve(functions, [entry]).select("id"), hops, types=("CALLS",))
+    return functions.join(reached, "id").select("name", clean_path(F.col("file_path")).alias("file_path"), "start_line", "depth")
+
+
 def neighbourhood(edges: DataFrame, start: DataFrame, depth: int = 2, type_: str = "CALLS") -> DataFrame:
     """(source, target): the edges of a type met within some undirected hops from the start ids."""
     arcs = edges.where(F.col("type") == type_).select("source", "target").distinct()

@@ -12,8 +12,8 @@ from gneiss.session import shared_dir, table
 from gneiss.sources import code
 from gneiss.streaming import sync
 
-#: The day that parts the two snapshots compared here.
-DAY = "2025-07-01"
+#: Files: what came before DAY, and what was scanned since SINCE; graph: what was scanned up to UNTIL, and since SINCE.
+DAY, UNTIL, SINCE = "2025-07-01", "2025-08-01", "2025-06-01"
 
 
 def _shot(files):
@@ -23,17 +23,13 @@ def _shot(files):
 
 def changes_files(spark, d):
     f = table(spark, d, "codefile").where("file_path is not null")
-    return S.classify(_shot(f.where(F.col("ingested_at") < F.lit(DAY).cast("timestamp_ntz"))), _shot(f.where("n_lines > 20")))
+    return S.classify(_shot(f.where(F.col("ingested_at") < F.lit(DAY).cast("timestamp_ntz"))), _shot(f.where(F.col("scanned_at") >= F.lit(SINCE).cast("timestamp_ntz"))))
 
 
 def changes_strategy(spark, d):
     return S.strategy(changes_files(spark, d), baseline_exists=True, fresh=True, closure_size=40)
 
 
-#: Two snapshots of the graph: what was scanned up to UNTIL, and what a later clean-up kept, scanned since SINCE.
-UNTIL, SINCE = "2025-08-01", "2025-06-01"
-
-
 def _scanned(spark, d):
     """(id, scanned_at): when the file of every node was last scanned."""
     from gneiss.functions.text import clean_path
@@ -136,7 +132,7 @@ from gneiss.plans.graph_queries import _CLEAN, _UNIQUE  # noqa: E402
 
 _SCANNED = _UNIQUE + f", s AS (SELECT u.*, c.scanned_at FROM u JOIN (SELECT file_path AS p, max(scanned_at) AS scanned_at FROM codefile GROUP BY 1) c ON {_CLEAN} = c.p)"
 _SHOT = "(SELECT file_path AS path, epoch(max_by(scanned_at, ingested_at)) ::DOUBLE AS mtime, max_by(n_lines, ingested_at) AS size FROM codefile WHERE file_path IS NOT NULL AND %s GROUP BY 1)"
-_CLASSIFY = f"c AS (SELECT path, CASE WHEN b.mtime IS NULL THEN 'added' WHEN a.mtime IS NULL THEN 'deleted' WHEN abs(floor(a.mtime) - floor(b.mtime)) <= 0.1 AND a.size IS NOT DISTINCT FROM b.size THEN 'unchanged' ELSE 'changed' END AS change FROM {_SHOT % f'ingested_at < TIMESTAMP {_q(DAY)}'} b FULL JOIN {_SHOT % 'n_lines > 20'} a USING (path))"
+_CLASSIFY = f"c AS (SELECT path, CASE WHEN b.mtime IS NULL THEN 'added' WHEN a.mtime IS NULL THEN 'deleted' WHEN abs(floor(a.mtime) - floor(b.mtime)) <= 0.1 AND a.size IS NOT DISTINCT FROM b.size THEN 'unchanged' ELSE 'changed' END AS change FROM {_SHOT % f'ingested_at < TIMESTAMP {_q(DAY)}'} b FULL JOIN {_SHOT % f'scanned_at >= TIMESTAMP {_q(SINCE)}'} a USING (path))"
 _PACKAGES = "p AS (SELECT repo, file_path, unnest(json_keys(json_extract(raw_content, '$.packages'))) AS package, raw_content FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id) AS rn FROM codefile) WHERE rn = 1) WHERE file_path LIKE '%.json' AND contains(raw_content, '\"packages\"') AND json_valid(raw_content)), k AS (SELECT repo, file_path, package, json_extract_string(raw_content, '$.packages.\"' || package || '\".version') AS version FROM p)"
 _V = "list_transform(string_split(version, '.'), lambda x: x::INT)"
 

@@ -178,8 +178,10 @@ def files_capability_clusters(spark, d):
     from gneiss.session import cut
 
     found = cut(O.capabilities(_files(spark, d, "repo")))
-    clusters = components(O.signature_pairs(found))
-    return found.join(clusters, found.signature == clusters.id, "left").select(F.coalesce("component", "signature").alias("cluster")).groupBy("cluster").agg(F.count("*").alias("n_files"))
+    ids = components(O.signature_pairs(found)).where("id >= 0")  # without the sets, which have numbers below 0
+    least = ids.groupBy("component").agg(F.min("id").alias("cluster"))
+    clusters = ids.join(least, "component").select("id", "cluster")
+    return found.join(clusters, found.signature == clusters.id, "left").select(F.coalesce("cluster", "signature").alias("cluster")).groupBy("cluster").agg(F.count("*").alias("n_files"))
 
 
 def files_architectures(spark, d):
@@ -266,8 +268,8 @@ SQL = {
     "files_complexity": _FUNCS + r", b AS (SELECT *, len(regexp_extract_all(code, '\b(?:if|elif|for|while|except|case|catch)\b')) + 1 AS branches FROM fs) SELECT file_id, name, start_line, branches, CASE WHEN branches > 30 THEN 'critical' WHEN branches > 20 THEN 'high' WHEN branches > 15 THEN 'medium' ELSE 'low' END AS severity FROM b WHERE branches > 10",
     "files_cognitive": _FUNCS
     + r""", w AS (SELECT file_id, name, start_line, list_prepend({'w': '', 'n': 0, 'd': 0}, list_transform(regexp_extract_all(code, '\b(?:if|for|while|except|catch|else|and|or|return)\b|&&|\|\|'), lambda x: {'w': x, 'n': 0, 'd': 0})) AS s FROM fs),
- r AS (SELECT file_id, name, start_line, list_reduce(s, lambda a, b: {'w': '', 'n': a.n + CASE WHEN b.w IN ('if','for','while','except','catch') THEN 1 + a.d WHEN b.w = 'return' THEN 0 ELSE 1 END, 'd': a.d + CASE WHEN b.w IN ('if','for','while','except','catch') AND a.d < 3 THEN 1 ELSE 0 END}).n AS load FROM w) SELECT file_id, name, start_line, load FROM r WHERE load >= 15""",
-    "files_parameters": _FUNCS + r", b AS (SELECT *, regexp_extract(code, '\(([^()]*)\)', 1) AS p FROM fs), c AS (SELECT *, CASE WHEN trim(p) = '' THEN 0 ELSE len(regexp_extract_all(p, ',')) + 1 END AS n FROM b) SELECT file_id, name, start_line, n FROM c WHERE n > 2",
+ r AS (SELECT file_id, name, start_line, -(len(list_filter(s, lambda x: x.w = 'return')) > 0)::INT + list_reduce(s, lambda a, b: {'w': '', 'n': a.n + CASE WHEN b.w IN ('if','for','while','except','catch') THEN 1 + a.d ELSE 1 END, 'd': a.d + CASE WHEN b.w IN ('if','for','while','except','catch') THEN 1 ELSE 0 END}).n AS load FROM w) SELECT file_id, name, start_line, load FROM r WHERE load >= 15""",
+    "files_parameters": _FUNCS + r", b AS (SELECT *, regexp_extract(code, '\(([^()]*)\)', 1) AS p FROM fs), c AS (SELECT *, CASE WHEN trim(p) = '' THEN 0 ELSE len(regexp_extract_all(p, ',')) + 1 END AS n FROM b) SELECT file_id, name, start_line, n FROM c WHERE n > 8",
     "files_naming": _FUNCS + "SELECT DISTINCT file_id, name, lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g')) AS suggestion FROM fs WHERE lang = 'python' AND regexp_matches(name, '[A-Z]')",
     "files_duplicates": "SELECT digest, count(*) AS n, min(file_id) AS first_id FROM (SELECT DISTINCT file_id, md5(raw_content) AS digest FROM codefile WHERE trim(raw_content) <> '') GROUP BY digest HAVING count(*) > 1",
     "files_same_heads": f"WITH {_FILES} SELECT length(raw_content) AS size, md5(array_to_string(string_split(replace(raw_content, chr(13), ''), chr(10))[1:100], chr(10))) AS digest, count(*) AS n, min(file_path) AS first_path FROM f WHERE trim(raw_content) <> '' GROUP BY 1, 2 HAVING count(*) > 1",
@@ -287,7 +289,7 @@ SQL = {
     "files_maturity": f"WITH {_FILES}, m AS (SELECT repo, list_sum([{_MATURE}])::INT AS n_passed FROM f GROUP BY repo) SELECT repo, n_passed, round(n_passed / {len(O.MATURITY)} * 100, 1) AS score, CASE WHEN n_passed / {len(O.MATURITY)} >= 0.9 THEN 'A' WHEN n_passed / {len(O.MATURITY)} >= 0.75 THEN 'B' WHEN n_passed / {len(O.MATURITY)} >= 0.6 THEN 'C' WHEN n_passed / {len(O.MATURITY)} >= 0.4 THEN 'D' ELSE 'F' END AS grade FROM m",
     "files_capabilities": _CAPS + " SELECT * FROM c",
     "files_capability_gaps": _CAPS + ", e AS (SELECT repo, unnest([" + ", ".join(_q(n) for n in O.CAPABILITIES) + f"]) AS capability, unnest(range(0, {len(O.CAPABILITIES)})) AS i, signature FROM c), g AS (SELECT repo, capability, round(avg((signature >> i) & 1), 4) AS adoption FROM e GROUP BY 1, 2) SELECT * FROM g WHERE adoption > 0 AND adoption < 0.6",
-    "files_capability_clusters": _CAPS + ", s AS (SELECT DISTINCT signature FROM c), p AS (SELECT x.signature AS a, y.signature AS b FROM s x, s y WHERE x.signature <> y.signature AND bit_count((x.signature & y.signature)::INT) >= 8), r AS (SELECT signature AS a, signature AS b FROM s UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a), k AS (SELECT a, min(b) AS cluster FROM r GROUP BY a) SELECT cluster, count(*) AS n_files FROM c JOIN k ON c.signature = k.a GROUP BY 1",
+    "files_capability_clusters": _CAPS + ", s AS (SELECT DISTINCT signature FROM c), p AS (SELECT x.signature AS a, y.signature AS b FROM s x, s y WHERE x.signature <> y.signature AND bit_count((x.signature & y.signature)::INT) >= 5 AND x.signature & y.signature & 9265 <> 0), r AS (SELECT signature AS a, signature AS b FROM s UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a), k AS (SELECT a, min(b) AS cluster FROM r GROUP BY a) SELECT cluster, count(*) AS n_files FROM c JOIN k ON c.signature = k.a GROUP BY 1",
     "files_architectures": "WITH f AS (SELECT DISTINCT repo, file_path FROM codefile), h AS (" + " UNION ALL ".join(f"SELECT repo, {_q(n)} AS architecture FROM f WHERE regexp_matches(file_path, {_q(p)})" for n, p in O.ARCHITECTURES.items()) + "), g AS (SELECT repo, architecture, count(*) AS n FROM h GROUP BY ALL) SELECT repo, max_by(architecture, (n, architecture)) AS architecture, max(n) AS n_hits, round(max(n) / sum(n), 4) AS confidence FROM g GROUP BY repo",
     "files_languages": f"WITH {_FILES} SELECT lang AS language, count(*) AS n_files, sum(n_lines) AS n_lines FROM f GROUP BY 1",
 }

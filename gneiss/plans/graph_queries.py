@@ -122,12 +122,27 @@ def graph_import_cycles(spark, d):
     return scc.join(big, "scc").select(F.col("id").alias("module"), "scc", "n")
 
 
-def graph_call_components(spark, d):
-    """Connected components of the import graph: size by component."""
-    arcs = table(spark, d, "edges").where("type = 'IMPORTS'").select(F.col("source").alias("a"), F.col("target").alias("b"))
+def _parts(spark, d, type_):
+    arcs = table(spark, d, "edges").where(F.col("type") == type_).select(F.col("source").alias("a"), F.col("target").alias("b"))
     return G.components(arcs).groupBy("component").agg(F.count("*").alias("n"))
 
 
+def graph_import_components(spark, d):
+    """Connected components of the import graph: size by component."""
+    return _parts(spark, d, "IMPORTS")
+
+
+def graph_call_components(spark, d):
+    """Connected components of the call graph; SQL would have to build all pairs that reach each other."""
+    return _parts(spark, d, "CALLS")
+
+
+def graph_entry_chain(spark, d):
+    """What an entry, given by name, leads to by calls: functions and methods by file and line."""
+    nodes, edges = _ne(spark, d)
+    return G.entry_chain(nodes, edges, "trim_raw", hops=8)
+
+
 def graph_fan_stats(spark, d):
     return G.fan_stats(G.module_arcs(*_ne(spark, d)))
 
@@ -163,7 +178,7 @@ QUERIES = {
     for f in (
         graph_stats, graph_entity_lookup, graph_file_entities, graph_search, graph_resolve, graph_callers, graph_callees, graph_impact, graph_relations, graph_containing_node,
         graph_import_targets, graph_without_callers, graph_isolated, graph_orphan_edges, graph_downstream, graph_impact_closure, graph_neighbourhood, graph_module_arcs, graph_import_cycles,
-        graph_call_components, graph_fan_stats, graph_layer_violations, graph_large_modules, graph_health, graph_tiers, graph_cross_flows, graph_entry_points,
+        graph_import_components, graph_call_components, graph_entry_chain, graph_fan_stats, graph_layer_violations, graph_large_modules, graph_health, graph_tiers, graph_cross_flows, graph_entry_points,
     )
 }
 
@@ -196,7 +211,9 @@ SQL = {
     "graph_import_cycles": f"""WITH RECURSIVE {_UNIQUE}, {_MODULE}, arcs AS (SELECT DISTINCT x.module AS a, y.module AS b FROM edges e JOIN m x ON e.source = x.id JOIN m y ON e.target = y.id WHERE e.type = 'IMPORTS' AND x.module <> y.module),
  r AS (SELECT a, b FROM arcs UNION SELECT r.a, arcs.b FROM r JOIN arcs ON r.b = arcs.a), s AS (SELECT x.a AS module, least(x.a, min(x.b)) AS scc FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
  SELECT module, scc, count(*) OVER (PARTITION BY scc) AS n FROM s""",
-    "graph_call_components": """WITH RECURSIVE e2 AS (SELECT source AS a, target AS b FROM edges WHERE type = 'IMPORTS' UNION SELECT target, source FROM edges WHERE type = 'IMPORTS'), r AS (SELECT a, a AS b FROM e2 UNION SELECT r.a, e2.b FROM r JOIN e2 ON r.b = e2.a)
+    "graph_entry_chain": f"""WITH RECURSIVE {_UNIQUE}, fn AS (SELECT * FROM u WHERE type IN ('function','method')), e0 AS (SELECT min_by(id, (CASE WHEN name = 'trim_raw' THEN 0 ELSE 1 END, id)) AS id FROM fn WHERE contains(lower(name), 'trim_raw') HAVING count(*) > 0),
+ r AS (SELECT id, 0 AS depth FROM e0 UNION SELECT e.target, r.depth + 1 FROM r JOIN edges e ON e.source = r.id AND e.type = 'CALLS' WHERE r.depth < 8) SELECT name, {_CLEAN} AS file_path, start_line, min(depth) AS depth FROM fn JOIN r USING (id) GROUP BY id, name, file_path, start_line""",
+    "graph_import_components": """WITH RECURSIVE e2 AS (SELECT source AS a, target AS b FROM edges WHERE type = 'IMPORTS' UNION SELECT target, source FROM edges WHERE type = 'IMPORTS'), r AS (SELECT a, a AS b FROM e2 UNION SELECT r.a, e2.b FROM r JOIN e2 ON r.b = e2.a)
  SELECT component, count(*) AS n FROM (SELECT a, min(b) AS component FROM r GROUP BY a) GROUP BY component""",
     "graph_fan_stats": _BASE + "SELECT * FROM fan",
     "graph_layer_violations": _BASE + f"SELECT * FROM (SELECT a, b, {_LAYER % 'a'} AS layer_a, {_LAYER % 'b'} AS layer_b FROM arcs WHERE a <> b) WHERE layer_a < layer_b",

@@ -128,3 +128,18 @@ def test_parsed_facts(spark):
     assert got(A.undocumented_functions(facts), "name") == [("go",)]
     assert got(A.single_letters(facts), "name") == [("a",), ("b",), ("q",)]
     assert got(A.missing_arguments(facts), "line", "parameter") == [(10, "width")]
+
+
+def test_functions_with_thresholds(spark):
+    from gneiss.operators import files as O
+
+    code = "def f(a, b, c, d, e, f, g, h, i):\n" + "    if a:\n        return 1\n" * 4 + "    return 2\n"
+    fs = spark.createDataFrame([(1, "f", 1, code), (2, "g", 1, "def g(a, b, c, d, e, f, g, h):\n    return 1")], "file_id bigint, name string, start_line int, code string")
+    assert got(O.parameters(fs), "file_id", "n") == [(1, 9)]
+    # branches weigh 1, 2, 3 and 4; of five returns all but the last count
+    assert got(O.cognitive(fs, at_least=1), "file_id", "load") == [(1, 14)]
+    sig = spark.createDataFrame([(0b100011111,), (0b110011111,), (0b1,), (0b111001110,)], "signature int")
+    from gneiss.operators.graph import components
+
+    ids = components(O.signature_pairs(sig.withColumn("file_id", sig.signature))).where("id >= 0").collect()
+    assert len({r["component"] for r in ids if r["id"] in (0b100011111, 0b110011111)}) == 1 and 0b1 not in {r["id"] for r in ids}
