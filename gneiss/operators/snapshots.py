@@ -117,3 +117,20 @@ def corrected_ends(functions: DataFrame) -> DataFrame:
     nxt = F.lead("start_line").over(order)
     end = F.when(nxt.isNotNull() & (F.col("end_line") >= nxt) & (nxt > F.col("start_line")), nxt - 1).otherwise(F.col("end_line"))
     return functions.select("file_id", "name", "start_line", end.alias("end_line"))
+
+
+def signatures(files: DataFrame) -> DataFrame:
+    """(path, name, head): the first line of every function of every file, without spaces around; a name counts once per file."""
+    f = files.where("raw_content is not null").select("file_path", F.split(F.regexp_replace("raw_content", "\r", ""), "\n", -1).alias("all_"), F.explode("functions").alias("f"))
+    head = F.trim(F.get("all_", F.col("f.start_line") - 1))
+    return f.groupBy(F.col("file_path").alias("path"), F.col("f.name").alias("name")).agg(F.min(head).alias("head"))
+
+
+def signature_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, name, change, breaking): functions added, removed, or with another head; what callers relied on breaks unless parameters
+    were only added at the end."""
+    both = before.withColumnRenamed("head", "h0").join(after.withColumnRenamed("head", "h1"), ["path", "name"], "full_outer")
+    change = F.when(F.col("h0").isNull(), "added").when(F.col("h1").isNull(), "removed").when(F.col("h0") != F.col("h1"), "changed")
+    inside = lambda c: F.regexp_replace(F.regexp_extract(c, r"\((.*)\)", 1), r"\s", "")
+    longer = F.startswith(inside("h1"), inside("h0"))
+    return both.withColumn("change", change).where("change is not null").select("path", "name", "change", ((F.col("change") == "removed") | (F.col("change") == "changed") & ~longer).alias("breaking"))

@@ -53,6 +53,12 @@ def changes_edges(spark, d):
     return S.edge_diff(*_snapshots(table(spark, d, "edges").join(at, "source")))
 
 
+def changes_signatures(spark, d):
+    f = L.latest(table(spark, d, "codefile").where("file_path is not null").select("file_id", "file_path", "functions", "raw_content", "scanned_at", "ingested_at"))
+    before, after = _snapshots(f)
+    return S.signature_changes(S.signatures(before), S.signatures(after)).groupBy("change", "breaking").agg(F.count("*").alias("n"))
+
+
 def changes_ends(spark, d):
     f = L.latest(table(spark, d, "codefile")).select("file_id", F.explode("functions").alias("f"))
     return S.corrected_ends(f.select("file_id", F.col("f.name").alias("name"), F.col("f.start_line").alias("start_line"), (F.col("f.end_line") + 3).alias("end_line")))
@@ -122,7 +128,7 @@ def _uri(path):
 QUERIES = {
     f.__name__: f
     for f in (
-        changes_files, changes_strategy, changes_nodes, changes_edges, changes_ends, deps_packages, deps_affected, deps_scores, deps_env, deps_built_graph, prompts_mined, prompts_injections, prompts_formats,
+        changes_files, changes_strategy, changes_nodes, changes_edges, changes_signatures, changes_ends, deps_packages, deps_affected, deps_scores, deps_env, deps_built_graph, prompts_mined, prompts_injections, prompts_formats,
         prompts_scored, prompts_contradictions, stream_sync,
     )
 }
@@ -152,6 +158,9 @@ _T = "lower(coalesce(text, ''))"
 _NWORDS = " + ".join(f"contains({_T}, {_q(w)})::INT" for w in P.WORDS)
 
 SQL = {
+    "changes_signatures": """WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC) AS rn FROM codefile WHERE file_path IS NOT NULL) WHERE rn = 1 AND raw_content IS NOT NULL), u AS (SELECT file_path AS path, scanned_at, string_split(replace(raw_content, chr(13), ''), chr(10)) AS s, unnest(functions) AS fn FROM f),
+ a AS (SELECT path, fn.name AS name, min(trim(s[fn.start_line])) AS h0 FROM u WHERE scanned_at < TIMESTAMP '2025-08-01' GROUP BY 1, 2), b AS (SELECT path, fn.name AS name, min(trim(s[fn.start_line])) AS h1 FROM u WHERE scanned_at >= TIMESTAMP '2025-06-01' GROUP BY 1, 2),
+ c AS (SELECT CASE WHEN h0 IS NULL THEN 'added' WHEN h1 IS NULL THEN 'removed' WHEN h0 <> h1 THEN 'changed' END AS change, starts_with(regexp_replace(regexp_extract(h1, '\\((.*)\\)', 1), '\\s', '', 'g'), regexp_replace(regexp_extract(h0, '\\((.*)\\)', 1), '\\s', '', 'g')) AS longer FROM a FULL JOIN b USING (path, name)) SELECT change, change = 'removed' OR change = 'changed' AND NOT longer AS breaking, count(*) AS n FROM c WHERE change IS NOT NULL GROUP BY 1, 2""",
     "changes_files": f"WITH {_CLASSIFY} SELECT * FROM c",
     "changes_strategy": f"WITH {_CLASSIFY}, n AS (SELECT sum((change = 'added')::INT) AS n_added, sum((change = 'changed')::INT) AS n_changed, sum((change = 'deleted')::INT) AS n_deleted FROM c) SELECT *, CASE WHEN n_added + n_changed + n_deleted = 0 THEN 'no_change' WHEN n_added + n_changed + n_deleted > 30 THEN 'full' WHEN n_added + n_changed + n_deleted <= 10 THEN 'incremental' ELSE 'full' END AS strategy FROM n",
     "changes_nodes": f"WITH {_SCANNED}, b AS (SELECT * FROM s WHERE scanned_at < TIMESTAMP {_q(UNTIL)}), a AS (SELECT * FROM s WHERE scanned_at >= TIMESTAMP {_q(SINCE)}) SELECT id, CASE WHEN b.name IS NULL THEN 'added' WHEN a.name IS NULL THEN 'removed' ELSE 'same' END AS change FROM b FULL JOIN a USING (id)",

@@ -12,6 +12,7 @@ from gneiss.operators import files as O
 from gneiss.operators import findings as N
 from gneiss.operators import graph as G
 from gneiss.operators import lines as L
+from gneiss.operators import maturity as M
 from gneiss.plans.change_queries import _AFFECTED, ADVISORIES
 from gneiss.plans.file_queries import _COMMENT, _FILES, _FUNCS, _LINES, _files, _fs, _hits, _rows, _texts
 from gneiss.plans.graph_queries import _BASE
@@ -169,6 +170,14 @@ def prompts_governance(spark, d):
     return X.prompt_governance(table(spark, d, "documents"))
 
 
+def maturity_checks(spark, d):
+    return M.checks(_files(spark, d, "repo", "file_path"))
+
+
+def maturity_scores(spark, d):
+    return M.scores(M.checks(_files(spark, d, "repo", "file_path")))
+
+
 def agent_findings(spark, d):
     """The agent rules in context: what is left after suppression, with the severity that the context gives."""
     return A.findings(_texts(spark, d)).select("file_id", "line_no", "rule", "severity", "why")
@@ -187,7 +196,7 @@ QUERIES = {
     for f in (
         simplify_large_functions, simplify_large_classes, simplify_dead_classes, simplify_replaceable, simplify_thin_abstractions, simplify_thin_wrappers, simplify_savings, sca_unpinned_imports, sca_deprecated, sca_runtime_installs, sca_gated, sca_osv, sca_drift,
         gov_settings_secrets, gov_document_secrets, gov_secrets_written, gov_architecture, gov_mutual, gov_credential_lines, gov_undated_statistics, blind_undocumented_folders, blind_unindexed, junk_orphans, resources_missing_paths, findings_reverified, flow_broken_contracts,
-        code_go_functions, code_projects, findings_typed_whitelist, search_by_file, prompts_governance, agent_findings, agent_fates, risks_with_models,
+        code_go_functions, code_projects, findings_typed_whitelist, search_by_file, prompts_governance, maturity_checks, maturity_scores, agent_findings, agent_fates, risks_with_models,
     )
 }
 
@@ -201,6 +210,33 @@ _SETS = r"regexp_matches(line, '(?i)(password|passwd|secret|token|api_?key)\w*[\
 _AREA = "coalesce(map_extract(MAP {'web': 'interface', 'app': 'interface', 'api': 'interface', 'handlers': 'interface', 'service': 'logic', 'pipeline': 'logic', 'jobs': 'logic', 'domain': 'logic', 'core': 'logic', 'storage': 'data', 'adapters': 'data', 'lib': 'support', 'pkg': 'support', 'internal': 'support', 'tools': 'support'}, split_part(%s, '/', 2))[1], 'other')"
 _KEYS = "password|passwd|pwd|secret|token|api_?key|access_key|private_key"
 
+_P, _T = "coalesce(file_path, '')", "coalesce(raw_content, '')"
+#: name, category, what its absence counts as, and the test of a file
+_CHECKS = (
+    ("MAT-TEST-01", "testing", "fail", rf"regexp_matches({_T}, '(?m)\bimport (unittest|pytest)\b|\bfrom unittest\b|\"testing\"|org\.junit|\bdescribe\(')"),
+    ("MAT-TEST-02", "testing", "fail", rf"regexp_matches({_P}, '(^|/)tests?/|(^|/)test_[^/]*\.py$|_test\.(py|go)$|\.(test|spec)\.[jt]s$')"),
+    ("MAT-TEST-03", "testing", "warn", rf"regexp_matches({_T}, 'pytest-cov|\bcoverage\b|\bnyc\b|jacoco')"),
+    ("MAT-CI-01", "cicd", "fail", rf"regexp_matches({_P}, '(^|/)\.github/workflows/[^/]*\.ya?ml$|(^|/)\.gitlab-ci\.yml$|(^|/)Jenkinsfile$')"),
+    ("MAT-CI-02", "cicd", "warn", f"regexp_matches({_P}, '(^|/)(Dockerfile|Containerfile)$')"),
+    ("MAT-CI-03", "cicd", "warn", rf"regexp_matches({_P}, '(^|/)(Makefile|justfile|Taskfile\.ya?ml)$')"),
+    ("MAT-MON-01", "monitoring", "fail", rf"(regexp_matches({_P}, '(^|/)(logging\.conf|log_config\.ya?ml)$') OR regexp_matches({_T}, '\blogging\.(basicConfig|getLogger|config)|\bloguru\b|\bstructlog\b|\blogger\.\w+\('))"),
+    ("MAT-MON-02", "monitoring", "warn", rf"regexp_matches({_T}, '(?i)\bsentry')"),
+    ("MAT-MON-03", "monitoring", "fail", rf"regexp_matches({_T}, '[\"'']/(health|healthz|ready|ping)[\"'']|\bdef (health|healthz|health_check|ready|liveness)\b')"),
+    ("MAT-CFG-01", "config", "fail", rf"(regexp_matches({_P}, '(^|/)[^/]*\.env(\.\w+)?$') OR regexp_matches({_T}, '\bload_dotenv\b|\bdotenv\b'))"),
+    ("MAT-CFG-02", "config", "warn", rf"regexp_matches({_P}, '\.env\.(example|template|sample)$')"),
+    ("MAT-ERR-01", "error_handling", "fail", rf"regexp_matches({_T}, '(?m)exception_handler|errorhandler|register_error_handler|process_exception|@ControllerAdvice|\bcatch\s*\(|^\s*except\b')"),
+    ("MAT-DEP-01", "deps", "fail", rf"regexp_matches({_P}, '(^|/)(requirements[\w.-]*\.txt|pyproject\.toml|package\.json|Pipfile|go\.mod)$')"),
+    ("MAT-DEP-02", "deps", "warn", rf"regexp_matches({_P}, '(^|/)(Pipfile\.lock|poetry\.lock|package-lock\.json|yarn\.lock|go\.sum)$|lock\.json$')"),
+    ("MAT-QLY-01", "quality", "warn", rf"(regexp_matches({_P}, '(^|/)(mypy\.ini|tsconfig\.json)$') OR regexp_matches({_T}, '\bmypy\b'))"),
+    ("MAT-QLY-02", "quality", "warn", rf"(regexp_matches({_P}, '(^|/)(\.prettierrc\w*|ruff\.toml)$') OR regexp_matches({_T}, '\b(ruff|black|gofmt|prettier)\b'))"),
+    ("MAT-QLY-03", "quality", "warn", rf"regexp_matches({_P}, '(^|/)\.pre-commit-config\.yaml$')"),
+    ("MAT-DOC-02", "docs", "warn", rf"(regexp_matches({_P}, '(?i)(^|/)(openapi|swagger)\.(json|ya?ml)$') OR regexp_matches({_T}, 'docs_url|FastAPI\('))"),
+)
+_MATURE = f"{_F}, m AS (" + " UNION ALL ".join(f"SELECT repo, '{n}' AS name, '{c}' AS category, CASE WHEN bool_or({t}) THEN 'pass' ELSE '{s}' END AS status FROM f GROUP BY repo" for n, c, s, t in _CHECKS) + rf""" UNION ALL
+ SELECT repo, 'MAT-CFG-03', 'config', CASE WHEN bool_or(regexp_matches({_T}, '(?i)(api_key|api_secret|password|secret|token)\s*[:=]\s*[\"'']\w{{10,}}')) THEN 'fail' ELSE 'pass' END FROM f GROUP BY repo UNION ALL
+ SELECT repo, 'MAT-CFG-04', 'config', CASE WHEN bool_or(regexp_matches({_P}, '(^|/)\.gitignore$') AND contains({_T}, '.env') AND contains({_T}, '__pycache__')) THEN 'pass' WHEN bool_or(regexp_matches({_P}, '(^|/)\.gitignore$')) THEN 'warn' ELSE 'fail' END FROM f GROUP BY repo UNION ALL
+ SELECT repo, 'MAT-DOC-01', 'docs', CASE WHEN max(CASE WHEN regexp_matches({_P}, '(?i)(^|/)readme\.(md|txt|rst)$') THEN length({_T}) ELSE 0 END) > 500 THEN 'pass' WHEN bool_or(regexp_matches({_P}, '(?i)(^|/)readme\.(md|txt|rst)$')) THEN 'warn' ELSE 'fail' END FROM f GROUP BY repo)"""
+
 SQL = {
     "simplify_large_functions": _FUNCS + "SELECT file_id, name, start_line, n_lines, CASE WHEN n_lines > 200 THEN 'critical' WHEN n_lines > 120 THEN 'high' ELSE 'medium' END AS severity, n_lines - 40 AS savings FROM fs WHERE n_lines > 80",
     "simplify_large_classes": f"WITH {_CLASSES} SELECT chunk_id, name, n_lines, CASE WHEN n_lines > 1000 THEN 'critical' WHEN n_lines > 800 THEN 'high' ELSE 'medium' END AS severity, n_lines - 200 AS savings FROM c WHERE n_lines > 500",
@@ -239,6 +275,8 @@ SQL = {
     "search_by_file": "SELECT DISTINCT chunk_id, file_path, chunk_type, name, start_line, end_line FROM chunks WHERE contains(lower(file_path), '/rules/') ORDER BY file_path, start_line, chunk_id LIMIT 100",
     "prompts_governance": r"""SELECT doc_id, 'plain credentials' AS label, 'critical' AS severity FROM documents WHERE regexp_matches(text, '(?i)(api[_ ]?key|password|token)\s*(is|=|:)\s*\S{8,}') UNION ALL SELECT doc_id, 'bypassing review', 'high' FROM documents WHERE regexp_matches(text, '(?i)(skip|bypass|without) (the )?(review|approval|gate)')
  UNION ALL SELECT doc_id, 'hiding risks', 'high' FROM documents WHERE regexp_matches(text, '(?i)(do not|don''t|never) (mention|report|flag)|hide the') UNION ALL SELECT doc_id, 'foreign content', 'medium' FROM documents WHERE regexp_matches(text, '(?i)ignore (all |the )?(previous|above)|as an ai')""",
+    "maturity_checks": _MATURE + " SELECT * FROM m",
+    "maturity_scores": _MATURE + ", g AS (SELECT repo, sum((status = 'pass')::INT) AS n_passed, sum((status = 'warn')::INT) AS n_half, sum((status = 'fail')::INT) AS n_failed, count(*) AS n FROM m GROUP BY repo), h AS (SELECT *, floor((n_passed * 2 + n_half) * 50 / n)::INT AS score FROM g) SELECT repo, n_passed, n_half, n_failed, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM h",
     "risks_with_models": _W
     + ", "
     + _hits(L.AGENT, f" AND NOT {_COMMENT}")

@@ -143,3 +143,28 @@ def test_functions_with_thresholds(spark):
 
     ids = components(O.signature_pairs(sig.withColumn("file_id", sig.signature))).where("id >= 0").collect()
     assert len({r["component"] for r in ids if r["id"] in (0b100011111, 0b110011111)}) == 1 and 0b1 not in {r["id"] for r in ids}
+
+
+def test_maturity(spark):
+    from gneiss.operators import maturity as M
+
+    files = files_of(
+        spark, {"path": "r/README.md", "text": "x" * 501}, {"path": "r/.gitignore", "text": ".env"}, {"path": "r/tests/test_a.py", "text": "import pytest"}, {"path": "r/a.py", "text": "@app.errorhandler(500)\npassword = 'abcdefghijk'"},
+        {"repo": "q", "path": "q/readme.txt", "text": "x"}, {"repo": "q", "path": "q/.gitignore", "text": ".env\n__pycache__"}, {"repo": "q", "path": None, "text": None},
+    )
+    found = M.checks(files)
+    status = {(r["repo"], r["name"]): r["status"] for r in found.collect()}
+    assert len(status) == 42
+    assert [status["r", f"MAT-{n}"] for n in ("DOC-01", "CFG-04", "TEST-01", "TEST-02", "TEST-03", "ERR-01", "CFG-03", "CI-01")] == ["pass", "warn", "pass", "pass", "warn", "pass", "fail", "fail"]
+    assert [status["q", f"MAT-{n}"] for n in ("DOC-01", "CFG-04", "CFG-03")] == ["warn", "pass", "pass"]
+    got_ = {r["repo"]: (r["n_passed"], r["n_half"], r["n_failed"], r["score"], r["grade"]) for r in M.scores(found).collect()}
+    assert got_["r"] == (4, 11, 6, 45, "D") and sum(got_["q"][:3]) == 21
+
+
+def test_signature_changes(spark):
+    from gneiss.operators import snapshots as S
+
+    one = lambda text, *fs: {"path": "r/a.py", "text": text, "functions": [(n, i, i) for n, i in fs]}
+    before = S.signatures(files_of(spark, one("def f(a):\n  x\ndef g(a, b):\ndef h(a):", ("f", 1), ("g", 3), ("h", 4))))
+    after = S.signatures(files_of(spark, one("def f(a, b=1):\ndef g(b, a):\ndef k():", ("f", 1), ("g", 2), ("k", 3))))
+    assert got(S.signature_changes(before, after), "name", "change", "breaking") == [("f", "changed", False), ("g", "changed", True), ("h", "removed", True), ("k", "added", False)]
